@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact import OP5_SQL, op5_exact_dedup
+from .mixing import OP6_SQL, op6_mixing
 from .simhash import op10_simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_simhash": op10_simhash}
+    return {"op5_exact_dedup": op5_exact_dedup, "op6_mixing": op6_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
