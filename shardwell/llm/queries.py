@@ -7,15 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .exact import OP5_SQL, op5_exact_dedup
+from .langid import op9_language_id
 from .mixing import OP6_SQL, op6_mixing
 from .simhash import op10_simhash
+from .toxicity import op3_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op6_mixing": op6_mixing, "op10_simhash": op10_simhash}
+    return {"op3_toxicity": op3_toxicity, "op9_language_id": op9_language_id, "op5_exact_dedup": op5_exact_dedup, "op6_mixing": op6_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op3_toxicity": op3_toxicity, "op9_language_id": op9_language_id, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
