@@ -59,17 +59,17 @@ def fingerprint(data: bytes | None, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(id, fp): one row per row of `docs`, fp as a signed 64-bit integer."""
+    """(id, hash, fp): one row per row of `docs`; hash is the text's xxHash64, fp a signed 64-bit integer."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            out = [fingerprint(t, width) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "fp"])
+            out = [fingerprint(t, width) for t in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.uint64).view(np.int64))], names=["id", "hash", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, fp bigint")
 
 
 def _roots(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,24 +207,46 @@ def links(fps: DataFrame, budget: int = 3, max_group: int = 1024, levels: int =
     return dealt.repartition(partitions(spark), "g").sortWithinPartitions("g", "fp").mapInArrow(lambda batches: _forest(batches, budget), "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, max_group: int = 1024) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, max_group: int = 1024) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and (fp, root, component) of the fingerprints whose component has more
+    than one row; root is the component's smallest fingerprint, component its smallest id."""
+    rows = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    nodes = rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    roots = components(links(nodes.select("fp"), budget, max_group))
+    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
+    several = linked.filter("root <> fp or n > 1").select("root").distinct()
+    joined = linked.join(several, "root", "left_semi")
+    of_root = joined.groupBy("root").agg(F.min("rep").alias("component"))
+    return rows, cut(joined.join(of_root, "root").select("fp", "root", "component"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row per row of `docs`: id, fp (signed 64 bits), component (smallest id reachable by links).
 
     Null, empty and blank texts have fingerprint 0 and link like any other. Repeated rows each get a row. A
     null id is passed over when the smallest id is taken; a component of null ids only has a null component.
     An empty table gives an empty result; other columns are not read.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    roots = components(links(nodes.select("fp"), budget, max_group))
-    linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
-    least = linked.filter("root <> fp or n > 1").select("root").distinct()
-    joined = linked.join(least, "root", "left_semi")
-    of_root = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    found = cut(joined.join(of_root, "root").select("fp", "component"), "classes")
+    rows, found = classes(docs, id_col, text_col, **options)
     return rows.join(found, "fp", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of `docs` less those whose component of near copies has another row that stays: the row with
+    the smallest id (null last), then the smallest text hash. All columns stay as they are.
+
+    Rows equal in id and text share their fate, so exact copies should go first.
+    """
+    rows, found = classes(docs, id_col, text_col, **options)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
+    several = rows.join(found, "fp").select("root", "id", "hash")
+    stays = several.groupBy("root").agg(F.min(order).alias("stays"))
+    goes = several.join(stays, "root").filter(~(F.col("id").eqNullSafe(F.col("stays.id")) & F.col("hash").eqNullSafe(F.col("stays.hash")))).select("id", "hash").distinct()
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"))
+    left = whole.join(goes, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")), "left_anti")
+    return left.select("_row.*")
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
