@@ -13,13 +13,14 @@ from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
 from .simhash import op10_simhash
 from .toxicity import op3_toxicity
+from .warc import op1_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_toxicity": op3_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op5_exact_dedup": op5_exact_dedup, "op6_mixing": op6_mixing, "op10_simhash": op10_simhash}
+    return {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op5_exact_dedup": op5_exact_dedup, "op6_mixing": op6_mixing, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_toxicity": op3_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op7_secrets": op7_secrets, "op8_decontamination": op8_decontamination, "op9_language_id": op9_language_id, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
