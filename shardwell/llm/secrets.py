@@ -194,5 +194,6 @@ def op7_secrets(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["via"] == "")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
+    of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
