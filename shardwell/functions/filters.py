@@ -78,7 +78,7 @@ def literal(text: str, kind: T.DataType) -> Column:
             if isinstance(kind, T.TimestampNTZType):
                 naive = moment.astimezone(dt.timezone.utc).replace(tzinfo=None) if moment.tzinfo else moment
                 return F.lit(naive.isoformat(sep=" ")).cast("timestamp_ntz")
-            return F.lit(moment.isoformat(sep=" ")).cast("timestamp")  # a naive literal is in the session's zone
+            return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ltz")  # a naive literal is in the session's zone
         if isinstance(kind, T.BooleanType):
             if plain.lower() not in ("true", "false"):
                 raise ValueError("a boolean is true or false")

@@ -40,7 +40,7 @@ def median_text(column: Column, kind: T.DataType) -> Column:
         middle = F.median(F.unix_date(column)) * 86_400_000_000
         return iso(F.timestamp_micros(middle.cast("bigint")).cast("timestamp_ntz"), T.TimestampNTZType())
     if is_datetime(kind):
-        moment = F.timestamp_micros(F.median(F.unix_micros(column.cast("timestamp"))).cast("bigint"))
+        moment = F.timestamp_micros(F.median(F.unix_micros(column.cast("timestamp_ltz"))).cast("bigint"))
         return iso(moment.cast(kind), kind)
     if is_duration(kind) and isinstance(kind, T.DayTimeIntervalType):
         return shown(F.median(column), kind)

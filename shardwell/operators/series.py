@@ -30,7 +30,7 @@ def to_number(column: Column, kind: T.DataType) -> Column:
     if is_numeric(kind) or isinstance(kind, T.BooleanType):
         return column.cast("double")
     if is_datetime(kind):
-        return F.unix_micros(column.cast("timestamp")) / 1e6
+        return F.unix_micros(column.cast("timestamp_ltz")) / 1e6
     if isinstance(kind, T.DateType):
         return (F.unix_date(column) * 86400).cast("double")
     if isinstance(kind, T.DayTimeIntervalType):

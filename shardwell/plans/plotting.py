@@ -138,8 +138,8 @@ def histogram(df: DataFrame, column: str, options: Options, source: str = "") ->
 
 
 def plot_dataset(spark: SparkSession, dataset: Dataset, columns: Sequence[str], options: Options, n: int | None = None) -> list[Plot]:
-    """The charts that the columns ask for: a histogram of the first, or line or scatter charts of the first
-    against each other.
+    """The charts that the columns ask for: a histogram of each, or line or scatter charts of each but the
+    first against the first.
 
     A folder's histogram is of all files together unless n is given; other folder charts are of the first n
     files (1) one by one, where files that fail are warnings unless all do.
@@ -154,22 +154,26 @@ def plot_dataset(spark: SparkSession, dataset: Dataset, columns: Sequence[str],
         raise PlotError("Line and scatter charts need an x and at least one y column")
 
     def charts(df: DataFrame, source: str) -> list[Plot]:
-        return [histogram(df, columns[0], options, source)] if is_histogram else [xy(df, columns[0], y, options, source) for y in columns[1:]]
+        return [histogram(df, c, options, source) for c in columns] if is_histogram else [xy(df, columns[0], y, options, source) for y in columns[1:]]
 
     if dataset.kind is not Kind.FOLDER:
         return charts(read_all(spark, dataset, ordered=True), dataset.path.name)
-    frames, warnings, files = [], [], dataset.files()
+    warnings, files = [], dataset.files()
     if is_histogram and n is None:
-        for path in files:
-            try:
-                df = read(spark, path)
-                _need(df, columns[:1])
-                frames.append(df.select(*[quoted(c) for c in df.columns if c == columns[0] or (options.filter and c == parse(options.filter).column)]))
-            except Exception as e:  # any unreadable file is passed over, and said
-                warnings.append(f"Skipped {dataset.relative(path)}: {str(e).splitlines()[0]}")
-        if not frames:
-            raise PlotError(f"No file has the column {columns[0]}")
-        out = charts(union_relaxed(frames), dataset.path.name)
+        out = []
+        for column in columns:
+            frames = []
+            for path in files:
+                try:
+                    df = read(spark, path)
+                    _need(df, [column])
+                    wanted = {column, parse(options.filter).column} if options.filter else {column}
+                    frames.append(df.select(*[quoted(c) for c in df.columns if c in wanted]))
+                except Exception as e:  # any unreadable file is passed over, and said
+                    warnings.append(f"Skipped {dataset.relative(path)}: {str(e).splitlines()[0]}")
+            if not frames:
+                raise PlotError(f"No file has the column {column}")
+            out.append(histogram(union_relaxed(frames), column, options, dataset.path.name))
     else:
         out = []
         for path in itertools.islice(files, n or DEFAULT_FILES):

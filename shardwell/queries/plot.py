@@ -158,7 +158,7 @@ select i, round(gx, 3) as x, round({}, 6) as y from m"""
 def _resampled(method: str):
     def run(spark, sf_dir):
         days = table(spark, sf_dir, "orders").groupBy(F.date_trunc("day", "o_orderdate").alias("d")).agg(F.count("*").cast("double").alias("y"))
-        points = days.select((F.unix_micros(F.col("d").cast("timestamp")) / 1e6).alias("x"), "y")
+        points = days.select((F.unix_micros(F.col("d").cast("timestamp_ltz")) / 1e6).alias("x"), "y")
         return series.resample(points, 60, method).select("i", F.round("x", 3).alias("x"), F.round("y", 6).alias("y"))
 
     return run

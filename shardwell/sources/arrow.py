@@ -16,7 +16,7 @@ def arrow_fields(path: str) -> StructType:
     from pyspark.sql.pandas.types import from_arrow_schema
 
     with pa.ipc.open_file(pa.OSFile(path)) as reader:
-        return from_arrow_schema(readable(reader.schema))
+        return from_arrow_schema(readable(reader.schema), prefer_timestamp_ntz=True)
 
 
 def readable(schema):
