@@ -73,7 +73,7 @@ class ArrowReader(DataSourceReader):
 
         with pa.ipc.open_file(pa.OSFile(partition.path)) as reader:
             batch = reader.get_batch(partition.batch)
-            part = pa.Table.from_batches([batch]).cast(readable(reader.schema))
+            part = pa.Table.from_batches([batch]).cast(readable(reader.schema), safe=False)  # nanoseconds are cut
         if self.tagged:
             part = part.append_column(FILE, pa.array([partition.path] * part.num_rows, pa.string()))
             part = part.append_column(ROW, pa.array(range(partition.first, partition.first + part.num_rows), pa.int64()))
