@@ -119,7 +119,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs:
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 6000, held_out: tuple[int, int] = (4, 2)) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, held_out: tuple[int, int] = (4, 2)) -> Model:
     """Train on at most `sample` rows: those with the smallest hash of the id, among rows with a lang whose
     crc32(id as text) mod held_out[0] is not held_out[1]. Only their subword shares come to the driver."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
