@@ -104,7 +104,7 @@ def aligned(frame: DataFrame, kinds: dict[str, T.DataType]) -> DataFrame:
         if name not in have:
             out.append(F.lit(None).cast(kind).alias(name))
         else:
-            out.append((quoted(name) if have[name] == kind else quoted(name).cast(kind)).alias(name))
+            out.append((quoted(name) if have[name].simpleString() == kind.simpleString() else quoted(name).cast(kind)).alias(name))
     return frame.select(*out)
 
 
