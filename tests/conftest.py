@@ -4,12 +4,11 @@ import datetime as dt
 import sys
 from pathlib import Path
 
-import pyarrow as pa
 import pytest
-from pyarrow import csv, feather
-from pyarrow import parquet as pq
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+from helpers import put  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,25 +22,6 @@ def spark(tmp_path_factory):
     s.stop()
 
 
-def put(path: Path, **columns) -> Path:
-    """Write columns as a CSV, Feather, Arrow or Parquet file."""
-    path.parent.mkdir(parents=True, exist_ok=True)
-    found = pa.table(columns)
-    if path.suffix == ".csv":
-        csv.write_csv(found, path)
-    elif path.suffix == ".parquet":
-        pq.write_table(found, path)
-    else:
-        feather.write_feather(found, path)
-    return path
-
-
-def rows(spark, path: Path) -> list[tuple]:
-    from shardwell.sources.files import read
-
-    return [tuple(r) for r in read(spark, path).collect()]
-
-
 @pytest.fixture
 def same(tmp_path):
     """A folder of one schema in two formats."""

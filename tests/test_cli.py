@@ -1,5 +1,5 @@
 import pytest
-from conftest import put, rows
+from helpers import put, rows
 
 from shardwell import cli
 

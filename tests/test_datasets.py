@@ -2,7 +2,7 @@ import datetime as dt
 import json
 
 import pytest
-from conftest import put, rows
+from helpers import put, rows
 
 from shardwell.plans import compiling, diffing, plotting, preview, transforming
 from shardwell.plans.analysis import Analysis, Cache, Mode, analyse, build, schema_groups, type_changes
