@@ -66,6 +66,7 @@ def swapped(conversations: DataFrame) -> DataFrame:
     """Rejected conversations for a table that has none: each conversation with the text of its last assistant
     turn replaced by that of its neighbour's (conv_id xor 1) last assistant turn; without such a turn next
     door, that turn is missing."""
+    conversations = conversations.select("conv_id", "turn", "role", "text")
     last = conversations.filter(F.col("role") == SCORED).groupBy("conv_id").agg(F.max(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
     own = last.select(F.col("conv_id").alias("own_id"), F.col("last.turn").alias("own_turn"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("other_id"), F.col("last.text").alias("other_text"))

@@ -190,10 +190,14 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, spans array<struct<kind:string,start:bigint,end:bigint,via:string>>")
 
 
-def op7_secrets(spark, sf_dir: str) -> DataFrame:
-    found = find(table(spark, sf_dir, "documents"))
+def op7_secrets_of(documents: DataFrame) -> DataFrame:
+    found = find(documents)
     base = F.filter("spans", lambda s: s["via"] == "")
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of_kind = lambda k: F.filter(base, lambda s: s["kind"] == k)
     counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in KINDS]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+def op7_secrets(spark, sf_dir: str) -> DataFrame:
+    return op7_secrets_of(table(spark, sf_dir, "documents"))
