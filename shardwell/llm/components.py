@@ -12,16 +12,35 @@ from pyspark.sql import functions as F
 from .common import cut, forget
 
 
-def _large(edges: DataFrame) -> DataFrame:
+HOT_KEYS = 100_000
+
+
+def hot_size(rows: int) -> int:
+    """A key counts as hot above this many rows, so that at most HOT_KEYS keys can be hot at any size."""
+    return max(1000, rows // HOT_KEYS)
+
+
+def attach(rows: DataFrame, key: str, found: DataFrame, size: str, most: int) -> DataFrame:
+    """Inner join of `rows` with `found`, which has each key once and in `size` the rows that it has.
+
+    Keys with over `most` rows, of which hot_size() allows HOT_KEYS, are broadcast, and their rows stay where
+    they are; only rows of smaller keys are shuffled by key.
+    """
+    hot = F.broadcast(found.filter(F.col(size) > most))
+    cold = rows.join(hot.select(key), key, "left_anti").join(found.filter(F.col(size) <= most), key)
+    return cold.unionByName(rows.join(hot, key)).drop(size)
+
+
+def _large(edges: DataFrame, most: int) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+    return attach(both.filter("b > a"), "a", least, "n", most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, most: int) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    moved = attach(down, "a", least, "n", most).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -39,7 +58,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = cut(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        after = cut(_small(_large(now)), "edges")
+        most = hot_size(state[0])
+        after = cut(_small(_large(now, most), most), "edges")
         forget(spark, now)
         now, before, state = after, state, _state(after)
         if state == before:

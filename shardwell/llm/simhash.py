@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, pieces, texts
-from .components import components
+from .components import attach, components, hot_size
 
 BITS = 64
 FRONTIER = 1 << 18
@@ -214,10 +214,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     nodes = rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     roots = components(links(nodes.select("fp"), budget, max_group))
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
-    several = linked.filter("root <> fp or n > 1").select("root").distinct()
-    joined = linked.join(several, "root", "left_semi")
-    of_root = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    return rows, cut(joined.join(of_root, "root").select("fp", "root", "component"), "classes")
+    of_root = linked.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("fps"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
+    joined = attach(linked.select("root", "fp"), "root", of_root, "fps", hot_size(rows.count()))
+    return rows, cut(joined.select("fp", "root", "component"), "classes")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -240,8 +239,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     rows, found = classes(docs, id_col, text_col, **options)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
     several = rows.join(found, "fp").select("root", "id", "hash")
-    stays = several.groupBy("root").agg(F.min(order).alias("stays"))
-    goes = several.join(stays, "root").filter(~(F.col("id").eqNullSafe(F.col("stays.id")) & F.col("hash").eqNullSafe(F.col("stays.hash")))).select("id", "hash").distinct()
+    stays = several.groupBy("root").agg(F.min(order).alias("stays"), F.count("*").alias("n"))
+    goes = attach(several, "root", stays, "n", hot_size(rows.count())).filter(~(F.col("id").eqNullSafe(F.col("stays.id")) & F.col("hash").eqNullSafe(F.col("stays.hash")))).select("id", "hash").distinct()
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"))
     left = whole.join(goes, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")), "left_anti")
     return left.select("_row.*")
