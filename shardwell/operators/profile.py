@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 
 from ..functions.digest import digest, digestible
 from ..functions.histogram import MOST_BINS, finite
-from ..functions.types import is_datetime, is_duration, is_float, is_nested, is_numeric, is_temporal, is_time, no_nan, quoted
+from ..functions.types import is_datetime, is_float, is_nested, is_numeric, is_temporal, no_nan, quoted
+from .quantiles import medians
 
 STATISTICS = ("null_rate", "min", "max", "n", "mean", "median", "stddev", "unique")
 ISO = {"timestamp": "yyyy-MM-dd'T'HH:mm:ss{}xxx", "timestamp_ntz": "yyyy-MM-dd'T'HH:mm:ss{}"}
@@ -34,21 +35,35 @@ def shown(column: Column, kind: T.DataType) -> Column:
     return no_nan(column, kind).cast("string")
 
 
-def median_text(column: Column, kind: T.DataType) -> Column:
-    """The median of a temporal column as text."""
+def as_number(column: Column, kind: T.DataType) -> Column | None:
+    """The number by which a column's median is taken: itself, days, or microseconds; None if it has none."""
+    if is_numeric(kind):
+        return column.cast("double")
     if isinstance(kind, T.DateType):
-        middle = F.median(F.unix_date(column)) * 86_400_000_000
-        return iso(F.timestamp_micros(middle.cast("bigint")).cast("timestamp_ntz"), T.TimestampNTZType())
+        return F.unix_date(column).cast("double")
     if is_datetime(kind):
-        moment = F.timestamp_micros(F.median(F.unix_micros(column.cast("timestamp_ltz"))).cast("bigint"))
-        return iso(moment.cast(kind), kind)
-    if is_duration(kind) and isinstance(kind, T.DayTimeIntervalType):
-        return shown(F.median(column), kind)
+        return F.unix_micros(column.cast("timestamp_ltz")).cast("double")
+    if isinstance(kind, T.DayTimeIntervalType):
+        part = lambda name: F.date_part(F.lit(name), column).cast("double")
+        return part("DAY") * 86_400e6 + part("HOUR") * 3_600e6 + part("MINUTE") * 60e6 + part("SECOND") * 1e6
+    return None
+
+
+def median_text(median: Column, kind: T.DataType) -> Column:
+    """The median's number as text."""
+    if is_numeric(kind):
+        return F.when(~F.isnan(median), median).cast("string")
+    if isinstance(kind, T.DateType):
+        return iso(F.timestamp_micros((median * 86_400e6).cast("bigint")).cast("timestamp_ntz"), T.TimestampNTZType())
+    if is_datetime(kind):
+        return iso(F.timestamp_micros(median.cast("bigint")).cast(kind), kind)
+    if isinstance(kind, T.DayTimeIntervalType):
+        return shown(F.make_dt_interval(secs=(median / 1e6).cast("decimal(18,6)")), kind)
     return F.lit(None).cast("string")
 
 
 def statistics(column: str, kind: T.DataType, deep: bool = False) -> dict[str, Column]:
-    """The aggregates of one column by name, all nullable; text for min, max and a temporal median."""
+    """The aggregates of one column by name but for the median, all nullable; text for min and max."""
     value = quoted(column)
     none_text, none_number = F.lit(None).cast("string"), F.lit(None).cast("double")
     plain = no_nan(value, kind)
@@ -59,27 +74,33 @@ def statistics(column: str, kind: T.DataType, deep: bool = False) -> dict[str, C
         "max": none_text if is_nested(kind) else shown(F.max(plain), kind),
         "n": F.count(value),
         "mean": F.avg(value.cast("double")) if numeric else none_number,
-        "median": F.median(value.cast("double")).cast("string") if numeric else median_text(value, kind) if is_temporal(kind) and not is_time(kind) else none_text,
         "stddev": F.stddev_samp(value.cast("double")) if numeric else none_number,
         "unique": F.approx_count_distinct(value) + F.max(value.isNull().cast("int")) if deep and not is_nested(kind) else F.lit(None).cast("bigint"),
     }
     if numeric and is_float(kind):
         for name in ("mean", "stddev"):
             out[name] = F.when(~F.isnan(out[name]), out[name])
-        out["median"] = F.when(out["median"] != "NaN", out["median"])
     return out
 
 
 def profile(df: DataFrame, deep: bool = False) -> DataFrame:
     """One row per column, in order: column, dtype and STATISTICS.
 
-    All columns share one scan and one aggregate; the wide row is unpivoted where it lands. A frame without
-    rows has null rates of 0 and nulls else.
+    All columns share one aggregate, whose wide row is unpivoted where it lands, and the two passes of the exact
+    medians, which hold no more than brackets in memory. A frame without rows has null rates of 0 and nulls else.
     """
     fields = df.schema.fields
     wide = df.agg(*[F.struct(*[c.alias(n) for n, c in statistics(f.name, f.dataType, deep).items()]).alias(f"c{i}") for i, f in enumerate(fields)])
-    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), *[F.col(f"c{i}.{n}").alias(n) for n in STATISTICS]) for i, f in enumerate(fields)])
-    return wide.select(F.inline(rows)).orderBy("i").drop("i")
+    plain = [n for n in STATISTICS if n != "median"]
+    rows = wide.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), *[F.col(f"c{i}.{n}").alias(n) for n in plain]) for i, f in enumerate(fields)])))
+    numbers = [(i, f, n) for i, f in enumerate(fields) if (n := as_number(quoted(f.name), f.dataType)) is not None]
+    median = F.lit(None).cast("string")
+    if numbers:
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("g"), n.alias("v")) for i, _, n in numbers])))
+        rows = rows.join(F.broadcast(medians(long, "g", "v")), F.col("i") == F.col("g"), "left")  # a row per column
+        for i, f, _ in numbers:
+            median = F.when(F.col("i") == i, median_text(F.col("median"), f.dataType)).otherwise(median)
+    return rows.orderBy("i").select("column", "dtype", *[median.alias(n) if n == "median" else n for n in STATISTICS])
 
 
 def histograms(df: DataFrame, bounds: dict[str, list[float]]) -> dict[str, list[int]]:

@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 
 from ..functions.histogram import finite
 from ..functions.types import is_datetime, is_numeric, is_temporal, is_time, quoted
+from .quantiles import exact_quantiles, medians
 
-AGGREGATES = {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sum": F.sum, "count": lambda y: F.count(y).cast("double")}
+AGGREGATES = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": lambda y: F.count(y).cast("double")}
 MOST_BUCKETS, LEAST_IN_BUCKET, LEAST_POINTS = 24, 6, 8
 MAD_SCALE, MAD_LIMIT, IQR_FACTOR, TINY = 1.4826022185056018, 3.5, 1.5, 1e-12
 
@@ -70,8 +71,10 @@ def duplicates(points: DataFrame) -> DataFrame:
 
 def aggregate(points: DataFrame, how: str) -> DataFrame:
     """One y per x, in order of x."""
+    if how == "median":
+        return medians(points, "x", "y").withColumnRenamed("median", "y").orderBy("x")
     if how not in AGGREGATES:
-        raise PlotError(f"Unknown aggregate {how!r}; one of {', '.join(AGGREGATES)}")
+        raise PlotError(f"Unknown aggregate {how!r}; one of median, {', '.join(AGGREGATES)}")
     return points.groupBy("x").agg(AGGREGATES[how](F.col("y")).alias("y")).orderBy("x")
 
 
@@ -95,7 +98,7 @@ def outliers(points: DataFrame) -> DataFrame:
     x is cut into about the root of n equal buckets, 24 at most. In a bucket of 6 points or more a point is out
     if it is over 3.5 scaled MADs from the bucket's median, or, where the MAD vanishes, outside 1.5 IQR fences.
     Points of smaller buckets are judged together if they are 8 or more. Fewer than 8 points: none is out.
-    Two aggregates by bucket and broadcast joins of at most 25 rows.
+    Quantiles by bucket are exact in bounded memory; what is broadcast is at most 25 rows.
     """
     span = points.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"))
     close = F.abs(F.col("hi") - F.col("lo")) <= F.greatest(1e-9 * F.greatest(F.abs("hi"), F.abs("lo")), F.lit(1e-9))
@@ -105,9 +108,9 @@ def outliers(points: DataFrame) -> DataFrame:
     rows = rows.withColumn("bucket", F.when(F.col("buckets") == 1, 0).otherwise(F.least(F.greatest(at, F.lit(0)), F.col("buckets") - 1)).cast("int"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"))
     rows = rows.join(F.broadcast(sizes), "bucket").withColumn("pool", F.when((F.col("size") < LEAST_IN_BUCKET) & (F.col("buckets") > 1), -1).otherwise(F.col("bucket")))
-    middle = rows.groupBy("pool").agg(F.median("y").alias("median"), F.percentile("y", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("members"))
+    middle = exact_quantiles(rows, "pool", "y", [0.25, 0.5, 0.75]).select("pool", F.col("q")[1].alias("median"), F.array(F.col("q")[0], F.col("q")[2]).alias("q"), F.col("n").alias("members"))
     rows = rows.join(F.broadcast(middle), "pool")
-    spread = rows.groupBy("pool").agg(F.median(F.abs(F.col("y") - F.col("median"))).alias("mad"))
+    spread = medians(rows.withColumn("away", F.abs(F.col("y") - F.col("median"))).select("pool", "away"), "pool", "away").withColumnRenamed("median", "mad")
     rows = rows.join(F.broadcast(spread), "pool")
     scaled, iqr = F.col("mad") * MAD_SCALE, F.col("q")[1] - F.col("q")[0]
     by_mad = F.abs(F.col("y") - F.col("median")) / scaled > MAD_LIMIT

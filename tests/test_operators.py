@@ -153,3 +153,20 @@ def test_chart_kind():
     assert series.chart_kind("temporal", 0, False) == "line" and series.chart_kind("temporal", 1, True) == "scatter"
     assert series.chart_kind("numeric", 0, False) == "scatter" and series.chart_kind("numeric", 0, True) == "line"
     assert series.chart_kind("categorical", 0, True) == "scatter"
+
+
+@pytest.mark.parametrize("accuracy", [10, 1000])
+def test_exact_quantiles_like_numpy(spark, accuracy):
+    import numpy as np
+
+    from shardwell.operators.quantiles import exact_quantiles
+
+    rng = random.Random(accuracy)
+    groups = {"one": [3.0], "two": [1.0, 2.0], "ties": [5.0] * 400 + [1.0] * 399, "many": [rng.gauss(0, 9) for _ in range(3001)], None: [float(i) for i in range(10)], "odd": [math.inf, -math.inf, 0.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("one", None), ("none", None)]
+    found = {r["g"]: r["q"] for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "g", "v", [0.0, 0.25, 0.5, 1.0], accuracy).collect()}
+    assert set(found) == set(groups)
+    for g, vs in groups.items():
+        if g != "odd":
+            assert found[g] == pytest.approx(list(np.quantile(vs, [0.0, 0.25, 0.5, 1.0])))
+    assert found["odd"][2] == 0.0
