@@ -18,15 +18,18 @@ def exact_quantiles(rows: DataFrame, group: str, value: str, shares: list[float]
     """(group, n, q): the count of values that are not null and the quantiles at `shares`, linearly interpolated
     as numpy does, for each group that has a value. Values are doubles; NaN ranks above all others."""
     number = rows.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v is not null")
-    # the sketch's rank is off by n / accuracy at most, so the bracket holds the ranks wanted
-    ends = [min(1.0, max(0.0, s + d)) for s in shares for d in (-2 / accuracy, 2 / accuracy)]
+    # the sketch's rank is off by n / accuracy at most and interpolation looks two ranks on, so for groups of
+    # `accuracy` rows and more the bracket holds the ranks wanted; smaller groups are ranked as a whole
+    ends = [min(1.0, max(0.0, s + d)) for s in shares for d in (-4 / accuracy, 4 / accuracy)]
     sketch = number.groupBy("g").agg(F.count("v").alias("n"), F.percentile_approx("v", ends, accuracy).alias("ends"))
     told = number.alias("a").join(sketch.alias("b"), F.col("a.g").eqNullSafe(F.col("b.g"))).select("b.g", "v", "n", "ends")
 
     def place(j: int) -> Column:
         low, high = F.col("ends")[2 * j], F.col("ends")[2 * j + 1]
         # below: counted without its value; inside: counted by value; above: gone
-        return F.when(F.col("v") < low, F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("v"))).when(F.col("v") <= high, F.struct(F.lit(j).alias("j"), F.col("v").alias("v")))
+        inside = F.struct(F.lit(j).alias("j"), F.col("v").alias("v"))
+        small = F.col("n") < accuracy
+        return F.when(small, inside).when(F.col("v") < low, F.struct(F.lit(j).alias("j"), F.lit(None).cast("double").alias("v"))).when(F.col("v") <= high, inside)
 
     kept = told.select("g", "n", F.explode(F.filter(F.array(*[place(j) for j in range(len(shares))]), lambda x: x.isNotNull())).alias("x"))
     counts = kept.groupBy("g", "n", F.col("x.j").alias("j"), F.col("x.v").alias("v")).agg(F.count("*").alias("c"))
