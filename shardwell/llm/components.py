@@ -12,36 +12,34 @@ from pyspark.sql import functions as F
 from .common import cut, forget
 
 
-HOT_KEYS = 100_000
+def attach(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+    """Inner join of `rows` with `found`, which has each key once.
 
-
-def hot_size(rows: int) -> int:
-    """A key counts as hot above this many rows, so that at most HOT_KEYS keys can be hot at any size."""
-    return max(1000, rows // HOT_KEYS)
-
-
-def attach(rows: DataFrame, key: str, found: DataFrame, size: str, most: int) -> DataFrame:
-    """Inner join of `rows` with `found`, which has each key once and in `size` the rows that it has.
-
-    Keys with over `most` rows, of which hot_size() allows HOT_KEYS, are broadcast, and their rows stay where
-    they are; only rows of smaller keys are shuffled by key.
+    `found` comes from the shared folder and so brings no partitioning along: the join shuffles both sides
+    itself, and adaptive execution can then split a hot key's rows over several tasks.
     """
-    hot = F.broadcast(found.filter(F.col(size) > most))
-    cold = rows.join(hot.select(key), key, "left_anti").join(found.filter(F.col(size) <= most), key)
-    return cold.unionByName(rows.join(hot, key)).drop(size)
+    return rows.join(found, key)
 
 
-def _large(edges: DataFrame, most: int) -> DataFrame:
+def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
-    return attach(both.filter("b > a"), "a", least, "n", most).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+    moved = attach(both.filter("b > a"), "a", least).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
+    return _written(moved.distinct(), edges, least)
 
 
-def _small(edges: DataFrame, most: int) -> DataFrame:
+def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-    moved = attach(down, "a", least, "n", most).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
+    least = cut(down.groupBy("a").agg(F.min("b").alias("m")), "least")
+    moved = attach(down, "a", least).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _written(moved.union(least.select("a", F.col("m").alias("b"))).distinct(), edges, least)
+
+
+def _written(edges: DataFrame, *used: DataFrame) -> DataFrame:
+    out = cut(edges, "edges")
+    for df in used:
+        forget(df.sparkSession, df)
+    return out
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -54,14 +52,11 @@ def components(edges: DataFrame) -> DataFrame:
     Self-links and repeated links are allowed; a node that only links to itself is not returned. No edges:
     an empty result.
     """
-    spark = edges.sparkSession
     now = cut(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = _state(now)
     while state[0]:
-        most = hot_size(state[0])
-        after = cut(_small(_large(now, most), most), "edges")
-        forget(spark, now)
-        now, before, state = after, state, _state(after)
+        now = _small(_large(now))
+        before, state = state, _state(now)
         if state == before:
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -14,13 +14,14 @@ of its own, so no group has to fit in one task. Only a spanning forest of the li
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, pieces, texts
-from .components import attach, components, hot_size
+from .components import attach, components
 
 BITS = 64
 FRONTIER = 1 << 18
@@ -47,15 +48,50 @@ def shingle_hashes(data: bytes | None, width: int = 3) -> Iterator[list[int]]:
         yield [xxh64_intdigest(b" ".join(held), 42)]
 
 
+#: Each byte with its bits spread over the bytes of a word, so that sums of up to 255 words count bits apart.
+SPREAD = np.array([sum((b >> j & 1) << (8 * j) for j in range(8)) for b in range(256)], np.uint64)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the uint64 hashes set each of the 64 bits."""
+    total = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), 255 * 64):
+        spread = SPREAD[hashes[at : at + 255 * 64].view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(spread, np.arange(0, len(spread), 255), axis=0)
+        total += sums.view(np.uint8).reshape(-1, BITS).sum(axis=0, dtype=np.int64)
+    return total
+
+
+def majority(votes: np.ndarray, n: int) -> int:
+    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(data: bytes | None, width: int = 3) -> int:
     """The 64-bit fingerprint of one text (null, empty or without words: 0)."""
     votes, n = np.zeros(BITS, np.int64), 0
     for hashes in shingle_hashes(data, width):
         n += len(hashes)
-        for at in range(0, len(hashes), 1 << 16):
-            part = np.array(hashes[at : at + (1 << 16)], np.uint64)
-            votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+        votes += bit_counts(np.array(hashes, np.uint64))
+    return majority(votes, n)
+
+
+def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Another hash of what was hashed, by two rounds of multiply and shift."""
+    h = hashes ^ np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+    return h ^ (h >> np.uint64(33))
+
+
+def sketch(data: bytes | None, width: int, tables: int, words64: int) -> tuple[list[int], list[int]]:
+    """`tables` fingerprints of the set of a text's words, by which near copies are found, and a fingerprint of
+    `words64` * 64 bits of the set of its shingles of `width` words, by which their similarity is told."""
+    out = []
+    for size, n in ((1, tables), (width, words64)):
+        parts = [np.unique(np.array(h, np.uint64)) for h in shingle_hashes(data, size)]
+        hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+        out.append([majority(bit_counts(remixed(hashes, t + 1)), len(hashes)) for t in range(n)])
+    return out[0], out[1]
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
@@ -146,12 +182,13 @@ def trie_links(fps: np.ndarray, starts: np.ndarray, budget: int = 3) -> np.ndarr
 
 
 def _forest(batches, budget: int, rows_at_once: int = 1 << 20):
-    """Arrow batches of (g, fp), sorted by both -> links (a, b) of a spanning forest."""
+    """Arrow batches of (g, fp, t), sorted by the first two -> links (t, a, b) of a spanning forest of each g;
+    t is the same all over a g."""
     import pyarrow as pa
 
-    def links(g: np.ndarray, fp: np.ndarray):
+    def links(g: np.ndarray, fp: np.ndarray, t: np.ndarray):
         keep = np.concatenate(([True], (g[1:] != g[:-1]) | (fp[1:] != fp[:-1])))
-        g, fp = g[keep], fp[keep]
+        g, fp, t = g[keep], fp[keep], t[keep]
         unsigned = fp.view(np.uint64)
         starts = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
         # the JVM sorts signed values: put each group's negative ones last
@@ -159,21 +196,21 @@ def _forest(batches, budget: int, rows_at_once: int = 1 << 20):
         g, unsigned = g[order], unsigned[order]
         labels = trie_links(unsigned, starts, budget)
         a = np.flatnonzero(labels != np.arange(len(labels)))
-        return pa.RecordBatch.from_arrays([pa.array(unsigned[a].view(np.int64)), pa.array(unsigned[labels[a]].view(np.int64))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(t[a]), pa.array(unsigned[a].view(np.int64)), pa.array(unsigned[labels[a]].view(np.int64))], names=["t", "a", "b"])
 
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, ...]] = []
     count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)))
+        held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
         count += batch.num_rows
         if count >= rows_at_once:
-            g, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = int(np.searchsorted(g, g[-1]))
+            whole = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = int(np.searchsorted(whole[0], whole[0][-1]))
             if last:
-                yield links(g[:last], fp[:last])
-                held, count = [(g[last:], fp[last:])], len(g) - last
+                yield links(*(x[:last] for x in whole))
+                held, count = [tuple(x[last:] for x in whole)], len(whole[0]) - last
     if held:
         yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
@@ -195,16 +232,23 @@ def masks(budget: int = 3, levels: int = 1) -> list[int]:
     return [sum(1 << b for b in m) for m in out]
 
 
-def links(fps: DataFrame, budget: int = 3, max_group: int = 1024, levels: int = 1) -> DataFrame:
-    """Links (a, b) between distinct fingerprints `fps(fp)`: a spanning forest of each group, which joins exactly what the links of at most `budget` bits join."""
+def links(fps: DataFrame, budget: int = 3, max_group: int = 1024, levels: int | None = None) -> DataFrame:
+    """Links (t, a, b) between distinct fingerprints `fps(t, fp)` of the same table t: a spanning forest of each
+    group, which joins exactly what the links of at most `budget` bits join.
+
+    Groups go by masks of one level, or of two from 2^26 fingerprints on, where groups of one level would
+    hold over a thousand each; the links are the same.
+    """
+    levels = levels or (1 if fps.count() < 1 << 26 else 2)
     signed = [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks(budget, levels)]
-    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in signed])).alias("mask", "key"))
-    hot = keyed.groupBy("mask", "key").count().filter(F.col("count") > max_group).select("mask", "key", F.ceil(F.col("count") / max_group).cast("int").alias("chunks"))
-    dealt = keyed.join(hot, ["mask", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    keyed = fps.select("t", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("bigint")) for m in signed])).alias("mask", "key"))
+    hot = keyed.groupBy("t", "mask", "key").count().filter(F.col("count") > max_group).select("t", "mask", "key", F.ceil(F.col("count") / max_group).cast("int").alias("chunks"))
+    # one level has 2^16 keys a mask at most
+    dealt = keyed.join(F.broadcast(hot) if levels == 1 else hot, ["t", "mask", "key"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.filter("chunks = 1 or own <> other").select(F.xxhash64("mask", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp")
+    dealt = dealt.filter("chunks = 1 or own <> other").select(F.xxhash64("t", "mask", "key", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "fp", "t")
     spark = fps.sparkSession
-    return dealt.repartition(partitions(spark), "g").sortWithinPartitions("g", "fp").mapInArrow(lambda batches: _forest(batches, budget), "a bigint, b bigint")
+    return dealt.repartition(partitions(spark), "g").sortWithinPartitions("g", "fp").mapInArrow(lambda batches: _forest(batches, budget), "t int, a bigint, b bigint")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 3, max_group: int = 1024) -> tuple[DataFrame, DataFrame]:
@@ -212,10 +256,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wid
     than one row; root is the component's smallest fingerprint, component its smallest id."""
     rows = cut(fingerprints(docs, id_col, text_col, width), "fingerprints")
     nodes = rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    roots = components(links(nodes.select("fp"), budget, max_group))
+    found = links(nodes.select(F.lit(0).alias("t"), "fp"), budget, max_group)
+    roots = components(found.select("a", "b"))
     linked = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
-    of_root = linked.groupBy("root").agg(F.min("rep").alias("component"), F.count("*").alias("fps"), F.sum("n").alias("rows")).filter("rows > 1").drop("rows")
-    joined = attach(linked.select("root", "fp"), "root", of_root, "fps", hot_size(rows.count()))
+    linked = cut(linked, "roots")
+    of_root = cut(linked.groupBy("root").agg(F.min("rep").alias("component"), F.sum("n").alias("n")).filter("n > 1").drop("n"), "components")
+    joined = attach(linked.select("root", "fp"), "root", of_root)
     return rows, cut(joined.select("fp", "root", "component"), "classes")
 
 
@@ -230,17 +276,113 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
 
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, tables: int, words64: int) -> DataFrame:
+    """(id, hash, fps, check): see sketch(); one row per row of `docs`."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            got = [sketch(t, width, tables, words64) for t in texts(batch.column(2))]
+            columns = [pa.FixedSizeListArray.from_arrays(pa.array(np.array([g[i] for g in got], np.uint64).view(np.int64).ravel()), n).cast(pa.list_(pa.int64())) for i, n in ((0, tables), (1, words64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "hash", "fps", "check"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, fps array<bigint>, check array<bigint>")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tables: int = 6, words64: int = 8, budget: int = 3, max_group: int = 1024, class_size: int = 2048) -> DataFrame:
+    """(id, hash) of the rows of `docs` that are near copies of an earlier row.
+
+    Candidates are the components of links of at most `budget` bits in any of `tables` fingerprints of the set
+    of words: a text with a few words changed keeps most of that set, so one of the tables finds it. In each
+    component a row goes if a row with a smaller id (null last), then hash, has similar shingles of `width` words;
+    similarity (Jaccard) is told from the bits in which the long fingerprints differ. So of rows that stay no two
+    in a component are similar. Components of over `class_size` rows are judged in chunks, which leaves few, and
+    what stays is dealt and judged anew, in the end by all pairs of chunks.
+    """
+    rows = cut(sketches(docs, id_col, text_col, width, tables, words64).withColumn("node", F.xxhash64("id", "hash")), "sketches")
+    flat = rows.select("node", F.posexplode("fps").alias("t", "fp"))
+    nodes = flat.groupBy("t", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    found = cut(links(nodes.select("t", "fp"), budget, max_group), "links")
+    key = lambda fp: F.xxhash64(F.lit("fp"), "t", fp)
+    # a node per fingerprint that several rows or a link have in common, beside the rows' own nodes
+    linked = found.select("t", F.col("a").alias("fp")).union(found.select("t", F.col("b").alias("fp")))
+    shared = nodes.filter("first <> last").select("t", "fp").union(linked).distinct()
+    edges = flat.join(cut(shared, "shared"), ["t", "fp"]).select(F.col("node").alias("a"), key("fp").alias("b")).union(found.select(key("a").alias("a"), key("b").alias("b")))
+    roots = components(edges.distinct())
+    left = cut(rows.join(roots.select("node", F.col("root").alias("class")), "node").select("class", "id", "hash", "check"), "classes")
+    cosine = 2 * similarity / (1 + similarity)  # of sets of one size with that Jaccard similarity
+    limit = int(np.arccos(cosine) / np.pi * words64 * BITS)
+    gone, turn, pairs = [], 0, False
+    while True:
+        sizes = left.groupBy("class").agg(F.count("*").alias("n")).filter("n > 1").select("class", F.ceil(F.col("n") / class_size).cast("int").alias("chunks"))
+        dealt = attach(left, "class", cut(sizes, "sizes")).withColumn("own", F.pmod(F.xxhash64("id", "hash", F.lit(turn)), F.col("chunks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.when(F.lit(pairs) & (F.col("chunks") > 1), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
+        dealt = dealt.filter(f"other <> own or not ({str(pairs).lower()} and chunks > 1)")
+        judged = cut(_judged(dealt.withColumn("g", F.xxhash64("class", F.least("own", "other"), F.greatest("own", "other"))), limit), "judged")
+        gone.append(judged.filter("near").select("id", "hash"))
+        large = judged.filter("chunks > 1")
+        before = large.count()
+        if pairs or not before:
+            break
+        # rows of large classes that stay are dealt anew; once that stops to help, all pairs of chunks are compared
+        left = cut(large.filter("not near").select("class", "id", "hash", "check"), "classes")
+        turn, pairs = turn + 1, left.count() > 0.8 * before
+    return reduce(DataFrame.union, gone).distinct()
+
+
+def near_earlier(check: np.ndarray, limit: int, block: int = 256) -> np.ndarray:
+    """For long fingerprints (rows of uint64) in order: whether an earlier one differs in at most `limit` bits."""
+    out = np.zeros(len(check), bool)
+    for at in range(0, len(check), block):
+        part = check[at : at + block]
+        differ = np.zeros((len(part), at + len(part)), np.int32)
+        for i in range(check.shape[1]):
+            differ += np.bitwise_count(part[:, i, None] ^ check[None, : at + len(part), i])
+        earlier = np.arange(at + len(part))[None, :] < (at + np.arange(len(part)))[:, None]
+        out[at : at + block] = ((differ <= limit) & earlier).any(axis=1)
+    return out
+
+
+def _judged(dealt: DataFrame, limit: int) -> DataFrame:
+    """Adds near to (class, id, hash, check, chunks) by near_earlier() within each g, in order of id and hash."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def judge(part):
+            check = part.column("check").combine_chunks()
+            words = len(check.values) // max(len(check), 1)
+            bits = check.flatten().to_numpy().view(np.uint64).reshape(-1, words)
+            near = pa.array(near_earlier(bits, limit))
+            return part.select(["class", "id", "hash", "check", "chunks"]).append_column("near", near).combine_chunks().to_batches()
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            g = held.column("g").to_numpy()
+            cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
+            starts = [0, *cuts.tolist()]
+            for x, y in zip(starts, starts[1:], strict=False):
+                yield from judge(held.slice(x, y - x))
+            held = held.slice(starts[-1])
+        if held is not None and held.num_rows:
+            yield from judge(held)
+
+    kind = dealt.schema["id"].dataType.simpleString()
+    rows = dealt.select("g", "class", "id", "hash", "check", "chunks", F.col("id").isNull().alias("none"))
+    rows = rows.repartition(partitions(dealt.sparkSession), "g").sortWithinPartitions("g", "none", "id", "hash")
+    return rows.mapInArrow(run, f"class bigint, id {kind}, hash bigint, check array<bigint>, chunks int, near boolean")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of `docs` less those whose component of near copies has another row that stays: the row with
-    the smallest id (null last), then the smallest text hash. All columns stay as they are.
+    """The rows of `docs` that copies() leaves, with all columns as they are.
 
-    Rows equal in id and text share their fate, so exact copies should go first.
+    Rows equal in id and text share their fate, so exact copies should go first. Null, empty and blank texts
+    are copies of each other; an empty table stays empty.
     """
-    rows, found = classes(docs, id_col, text_col, **options)
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "hash")
-    several = rows.join(found, "fp").select("root", "id", "hash")
-    stays = several.groupBy("root").agg(F.min(order).alias("stays"), F.count("*").alias("n"))
-    goes = attach(several, "root", stays, "n", hot_size(rows.count())).filter(~(F.col("id").eqNullSafe(F.col("stays.id")) & F.col("hash").eqNullSafe(F.col("stays.hash")))).select("id", "hash").distinct()
+    goes = copies(docs, id_col, text_col, **options)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"))
     left = whole.join(goes, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_hash") == F.col("hash")), "left_anti")
     return left.select("_row.*")

@@ -111,8 +111,9 @@ def test_links_and_components_of_hot_groups(spark, max_group, levels):
     rng = np.random.default_rng(9)
     ball = np.packbits(rng.random((150, 64)) < 0.035, axis=1, bitorder="little").view(np.uint64).ravel() ^ np.uint64(0xF0F0F0F0F0F0F0F0)
     fps = sorted({int(v) - (1 << 64) if v >> 63 else int(v) for v in map(int, np.concatenate([ball, rng.integers(0, 2**63, 60, dtype=np.uint64)]))})
-    df = spark.createDataFrame([(f,) for f in fps], "fp bigint")
-    found = {r["node"]: r["root"] for r in components(simhash.links(df, 3, max_group, levels)).collect()}
+    df = spark.createDataFrame([(t, f) for f in fps for t in (0, 1)], "t int, fp bigint")
+    both = simhash.links(df, 3, max_group, levels)
+    found = {r["node"]: r["root"] for r in components(both.filter("t = 1").select("a", "b")).collect()}
     want = brute_components({f: f & (2**64 - 1) for f in fps})
     assert {f: found.get(f, f) for f in fps} == want
 
@@ -140,7 +141,62 @@ def test_near_duplicates_of_odd_rows(docs):
     assert simhash.near_duplicates(docs(["a"]).limit(0)).count() == 0
 
 
-def test_one_of_each_component_stays(docs):
-    df = docs(["p q r s", "P Q R S", None, "", "alone here"], [3, 2, 8, 5, 1])
+def shingles(text, width=5):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").split()
+    return {" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+
+
+def similarity(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def test_one_of_near_copies_stays(docs):
+    df = docs(["p q r s", "P Q R S", None, "", "alone here", "here alone"], [3, 2, 8, 5, 1, 9])
     kept = simhash.keep_one(df)
-    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5, 9]
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("class_size", [2048, 2])
+def test_near_copies_go_and_others_stay(docs, class_size):
+    rng = random.Random(12)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    bases = [[rng.choice(vocabulary) for _ in range(rng.randrange(60, 700))] for _ in range(40)]
+    texts = []
+    for base in bases:
+        texts.append(" ".join(base))
+        for _ in range(rng.randrange(0, 4)):
+            words = list(base)
+            for _ in range(max(1, len(words) // 100)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            texts.append(" ".join(words))
+    texts += [" ".join(b) for b in ([rng.choice(vocabulary) for _ in range(12)] for _ in range(60))]
+    texts += [" ".join(rng.sample(bases[0], len(bases[0])))]  # the same words in another order are no copy
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(texts), class_size=class_size).collect()}
+    rest = [i for i in range(1, len(texts) + 1) if i not in kept]
+    for i in rest:
+        assert max(similarity(texts[i - 1], texts[j - 1]) for j in range(1, i)) >= 0.7
+    missed = [(i, j) for i in kept for j in kept if i < j and similarity(texts[i - 1], texts[j - 1]) >= 0.85]
+    assert len(rest) > 30 and len(missed) <= 1 and len(texts) in kept
+
+
+def test_long_fingerprints_tell_similarity():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(800)]
+    for changed in (0, 4, 10, 20, 60):
+        other = list(words)
+        for i in rng.sample(range(800), changed):
+            other[i] = "x" + str(i)
+        a, b = (simhash.sketch(" ".join(t).encode(), 5, 1, 32)[1] for t in (words, other))
+        bits = sum(bin(x ^ y).count("1") for x, y in zip(a, b, strict=True)) / (32 * 64)
+        cosine = np.cos(np.pi * bits)
+        assert abs(cosine / (2 - cosine) - similarity(" ".join(words), " ".join(other))) < 0.08
+
+
+def test_near_earlier_like_brute_force():
+    rng = np.random.default_rng(3)
+    check = np.concatenate([np.packbits(rng.random((600, 128)) < 0.12, axis=1).view(np.uint64), rng.integers(0, 2**63, (40, 2), dtype=np.uint64)])
+    rng.shuffle(check)
+    want = [any(sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(check[i], check[j], strict=True)) <= 22 for j in range(i)) for i in range(len(check))]
+    assert simhash.near_earlier(check, 22, block=100).tolist() == want
