@@ -6,7 +6,9 @@ import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -22,7 +24,9 @@ def session(cores: str = "*", **more: str) -> SparkSession:
     """A local session for the command line; on a cluster the caller brings its own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("shardwell")
     defaults = {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": os.environ.get("SHARDWELL_MEMORY", "4g"), "spark.log.level": "ERROR"}
-    return builder.config(map=defaults | SETTINGS | more).getOrCreate()
+    spark = builder.config(map=defaults | SETTINGS | more).getOrCreate()
+    ship(spark)
+    return spark
 
 
 @contextlib.contextmanager
@@ -43,3 +47,17 @@ def shared_path(spark: SparkSession, what: str) -> str:
     """A fresh path in the folder that driver and executors share; a temporary one only where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/shardwell-{what}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application, so that they need no installation of it."""
+    context = spark.sparkContext
+    if getattr(context, "_shardwell_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="shardwell-ship-")) / "shardwell_package.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent).as_posix())
+    context.addPyFile(str(target))
+    context._shardwell_shipped = True
