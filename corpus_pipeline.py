@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shardwell.llm import decontaminate, exact, langid, mixing, simhash
 from shardwell.llm.common import cut, table
+from shardwell.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model gives; null, letterless and doubtful texts go."""
+    ship(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -51,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
