@@ -291,7 +291,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, tables: in
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, fps array<bigint>, check array<bigint>")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tables: int = 6, words64: int = 8, budget: int = 3, max_group: int = 1024, class_size: int = 2048) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tables: int = 6, words64: int = 8, budget: int = 3, max_group: int = 1024, class_size: int = 256) -> DataFrame:
     """(id, hash) of the rows of `docs` that are near copies of an earlier row.
 
     Candidates are the components of links of at most `budget` bits in any of `tables` fingerprints of the set
