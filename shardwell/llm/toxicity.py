@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pieces, remainder, table, texts
+from .simhash import shingle_hashes
 
 # Letters that look Latin, and digits and signs written for letters.
 HOMOGLYPHS = {
@@ -121,17 +122,32 @@ def measure(automaton, text: bytes | None) -> tuple[float, int, list]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, held_out: tuple[int, int]) -> DataFrame:
-    """(toxic, text) of at most `sample` labelled documents outside the held-out fold, by the hash of the id."""
+    """(toxic, text, _id) of at most `sample` labelled documents outside the held-out fold, by the hash of the id."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (remainder(id_col, held_out[0]) != held_out[1]))
     marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic")).orderBy(F.xxhash64(F.lit("toxic"), "_id")).limit(sample)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id").select(F.col("toxic").cast("int").alias("toxic"), "text")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id").select(F.col("toxic").cast("int").alias("toxic"), "text", "_id")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """One row of each group that shares its least three-word shingle hash: near copies of a document are no
+    further witnesses for its words. What is broadcast is ids of the bounded sample."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            least = [min(map(min, shingle_hashes(t)), default=0) for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.array(least, np.uint64).view(np.int64))], names=["_id", "least"])
+
+    first = rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, least bigint").groupBy("least").agg(F.min("_id").alias("_id"))
+    return rows.join(F.broadcast(first.select("_id")), "_id", "left_semi").select("toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 256, held_out: tuple[int, int] = (3, 1)) -> Lexicon:
     """Learn terms, weights and the score's curve from at most `sample` labelled rows whose crc32(id as text)
     mod held_out[0] is not held_out[1]. A document labelled twice counts as toxic if any label says so; null
     ids and labels are passed over. Without labels the seed list and a default curve hold."""
-    rows = labelled(docs, labels, id_col, text_col, label_col, sample, held_out)
+    rows = apart(labelled(docs, labels, id_col, text_col, label_col, sample, held_out))
 
     def count(batches):
         import pyarrow as pa
@@ -176,7 +192,8 @@ def chosen(counts: dict[str, tuple[int, int]], totals: tuple[int, int], terms: i
     A stem is lengthened, and made a whole word, as long as it keeps 95 % of its toxic documents.
     """
     odds = {w: math.log((t + 0.5) / (totals[0] + 1)) - math.log((c + 0.5) / (totals[1] + 1)) for w, (t, c) in counts.items()}
-    good = sorted((w for w in counts if odds[w] >= least), key=lambda w: (-round(min(odds[w], 6.0)), -counts[w][0], len(w), w))
+    enough = max(5, 0.01 * totals[0])
+    good = sorted((w for w in counts if odds[w] >= least and counts[w][0] >= enough), key=lambda w: (-round(min(odds[w], 6.0)), -counts[w][0], len(w), w))
     out: dict[str, float] = {}
     for w in good:
         if len(out) >= terms:
