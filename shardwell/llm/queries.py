@@ -15,7 +15,7 @@ from .mixing import OP6_SQL, op6_mixing
 from .secrets import op7_secrets
 from .simhash import op10_simhash
 from .toxicity import op3_toxicity
-from .warc import op1_warc
+from .warc import OP1_SQL, op1_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,4 +36,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_preferences": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}
+    return {"op1_warc": OP1_SQL, "op2_preferences": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op6_mixing": OP6_SQL}

@@ -257,4 +257,18 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     path = scratch(spark, "archives")
     write(pages, path, time_col="captured")
     found = index(spark, path)
-    return found.select(F.col("page").cast("bigint").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"), "urlkey", F.col("date").alias("captured"))
+    return found.select(F.col("page").cast("bigint").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to").cast("bigint").alias("refers_to"), F.col("date").alias("captured"))
+
+
+OP1_SQL = """
+with payloads as (select page_id, coalesce(html, '') as payload from pages),
+hashed as (select page_id, strlen(payload) as size, sha1(payload) as hex, min(page_id) over (partition by payload) as first from payloads),
+digits as (  -- base32: 32 groups of five bits, each within two hex digits
+  select page_id, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((((instr('0123456789abcdef', substr(hex, 1 + i * 5 // 4, 1)) - 1) * 16 + instr('0123456789abcdef', substr(hex || '0', 2 + i * 5 // 4, 1)) - 1) >> (3 - i * 5 % 4)) & 31), 1), '' order by i) as digest
+  from hashed, (select cast(unnest(range(0, 32)) as integer) as i) group by page_id)
+select page_id, cast(size as bigint) as payload_bytes, digest as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to,
+       strftime(timestamp '2024-01-01' + to_seconds(page_id), '%Y-%m-%dT%H:%M:%SZ') as captured
+from hashed join digits using (page_id)
+"""

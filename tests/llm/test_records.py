@@ -52,6 +52,11 @@ def test_archive_round_trip(spark):
     assert {r["urlkey"] for r in got if r["page"] == "3"} == {"example,a)/y?a=1&b=2", "example,b)/z"}
 
 
+def test_archive_sql(spark, table):
+    got, want = against_sql(warc.op1_warc(spark, "/root/testdata/sf0.01"), warc.OP1_SQL, pages=table("pages", "sf0.01"))
+    assert got == want
+
+
 def test_archive_of_the_table(spark, table):
     pages = table("pages")
     rows = {r["page_id"]: r for r in warc.op1_warc(spark, "/root/testdata/sf0.001").collect()}
