@@ -14,7 +14,6 @@ of its own, so no group has to fit in one task. Only a spanning forest of the li
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -276,104 +275,198 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(found, "fp", "left").select("id", "fp", F.coalesce("component", "id").alias("component"))
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, tables: int, words64: int) -> DataFrame:
-    """(id, hash, fps, check): see sketch(); one row per row of `docs`."""
+def shingle_set(data: bytes | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending; one fixed value for a text without words."""
+    parts = [np.array(h, np.uint64) for h in shingle_hashes(data, width)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
+    """(token, node, n, at): of each row of `docs(node, text)` the first tokens of its shingle set, in order of
+    hash with the ascending hashes `late` after all others; n is the set's size, at the token's place.
+
+    Two sets of at least that Jaccard similarity have a token in common among the first n - ceil(similarity * n) + 1
+    of each, in any one order of all tokens.
+    """
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            got = [sketch(t, width, tables, words64) for t in texts(batch.column(2))]
-            columns = [pa.FixedSizeListArray.from_arrays(pa.array(np.array([g[i] for g in got], np.uint64).view(np.int64).ravel()), n).cast(pa.list_(pa.int64())) for i, n in ((0, tables), (1, words64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["id", "hash", "fps", "check"])
-
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, hash bigint, fps array<bigint>, check array<bigint>")
+            tokens, sizes = [], []
+            for text in texts(batch.column(1)):
+                h = shingle_set(text, width)
+                most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+                if len(late):
+                    last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
+                    sizes.append(len(h))
+                    tokens.append(np.concatenate((h[~last], h[last]))[:most])
+                else:
+                    sizes.append(len(h))
+                    tokens.append(h[:most])
+            if not tokens:
+                continue
+            counts = np.array([len(t) for t in tokens])
+            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            node = np.repeat(batch.column(0).to_numpy(), counts)
+            columns = [np.concatenate(tokens).view(np.int64), node, np.repeat(np.array(sizes), counts).astype(np.int32), at.astype(np.int32)]
+            out = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "node", "n", "at"])
+            yield from (out.slice(i, 1 << 17) for i in range(0, out.num_rows, 1 << 17))
+
+    return docs.select("node", "text").mapInArrow(run, "token bigint, node bigint, n int, at int")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of (token, node, n, at) whose token several rows have."""
 
+    def run(batches):
+        import pyarrow as pa
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, tables: int = 6, words64: int = 8, budget: int = 3, max_group: int = 1024, class_size: int = 256) -> DataFrame:
-    """(id, hash) of the rows of `docs` that are near copies of an earlier row.
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # held: the last row so far, and whether its token stood before it
+            whole = pa.Table.from_batches([batch] if held is None else [held[0], batch])
+            token = whole.column("token").to_numpy()
+            same = token[1:] == token[:-1]
+            keep = np.concatenate(([held is not None and held[1]], same)) | np.concatenate((same, [False]))
+            yield from whole.slice(0, whole.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
+            held = whole.slice(whole.num_rows - 1).combine_chunks().to_batches()[0], bool(keep[-1])
+        if held is not None and held[1]:
+            yield held[0]
 
-    Candidates are the components of links of at most `budget` bits in any of `tables` fingerprints of the set
-    of words: a text with a few words changed keeps most of that set, so one of the tables finds it. In each
-    component a row goes if a row with a smaller id (null last), then hash, has similar shingles of `width` words;
-    similarity (Jaccard) is told from the bits in which the long fingerprints differ. So of rows that stay no two
-    in a component are similar. Components of over `class_size` rows are judged in chunks, which leaves few, and
-    what stays is dealt and judged anew, in the end by all pairs of chunks.
-    """
-    rows = cut(sketches(docs, id_col, text_col, width, tables, words64).withColumn("node", F.xxhash64("id", "hash")), "sketches")
-    flat = rows.select("node", F.posexplode("fps").alias("t", "fp"))
-    nodes = flat.groupBy("t", "fp").agg(F.min("node").alias("first"), F.max("node").alias("last"))
-    found = cut(links(nodes.select("t", "fp"), budget, max_group), "links")
-    key = lambda fp: F.xxhash64(F.lit("fp"), "t", fp)
-    # a node per fingerprint that several rows or a link have in common, beside the rows' own nodes
-    linked = found.select("t", F.col("a").alias("fp")).union(found.select("t", F.col("b").alias("fp")))
-    shared = nodes.filter("first <> last").select("t", "fp").union(linked).distinct()
-    edges = flat.join(cut(shared, "shared"), ["t", "fp"]).select(F.col("node").alias("a"), key("fp").alias("b")).union(found.select(key("a").alias("a"), key("b").alias("b")))
-    roots = components(edges.distinct())
-    left = cut(rows.join(roots.select("node", F.col("root").alias("class")), "node").select("class", "id", "hash", "check"), "classes")
-    cosine = 2 * similarity / (1 + similarity)  # of sets of one size with that Jaccard similarity
-    limit = int(np.arccos(cosine) / np.pi * words64 * BITS)
-    gone, turn, pairs = [], 0, False
-    while True:
-        sizes = left.groupBy("class").agg(F.count("*").alias("n")).filter("n > 1").select("class", F.ceil(F.col("n") / class_size).cast("int").alias("chunks"))
-        dealt = attach(left, "class", cut(sizes, "sizes")).withColumn("own", F.pmod(F.xxhash64("id", "hash", F.lit(turn)), F.col("chunks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.when(F.lit(pairs) & (F.col("chunks") > 1), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))))
-        dealt = dealt.filter(f"other <> own or not ({str(pairs).lower()} and chunks > 1)")
-        judged = cut(_judged(dealt.withColumn("g", F.xxhash64("class", F.least("own", "other"), F.greatest("own", "other"))), limit), "judged")
-        gone.append(judged.filter("near").select("id", "hash"))
-        large = judged.filter("chunks > 1")
-        before = large.count()
-        if pairs or not before:
-            break
-        # rows of large classes that stay are dealt anew; once that stops to help, all pairs of chunks are compared
-        left = cut(large.filter("not near").select("class", "id", "hash", "check"), "classes")
-        turn, pairs = turn + 1, left.count() > 0.8 * before
-    return reduce(DataFrame.union, gone).distinct()
+    return rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
 
 
-def near_earlier(check: np.ndarray, limit: int, block: int = 256) -> np.ndarray:
-    """For long fingerprints (rows of uint64) in order: whether an earlier one differs in at most `limit` bits."""
-    out = np.zeros(len(check), bool)
-    for at in range(0, len(check), block):
-        part = check[at : at + block]
-        differ = np.zeros((len(part), at + len(part)), np.int32)
-        for i in range(check.shape[1]):
-            differ += np.bitwise_count(part[:, i, None] ^ check[None, : at + len(part), i])
-        earlier = np.arange(at + len(part))[None, :] < (at + np.arange(len(part)))[:, None]
-        out[at : at + block] = ((differ <= limit) & earlier).any(axis=1)
-    return out
+def _fits(similarity: float, n, at, m, bt):
+    """Whether sets of n and m tokens can be so similar if their first common token has the places at and bt."""
+    low, rest = F.least(n, m), F.least(n - at, m - bt)
+    return (low >= similarity * F.greatest(n, m) - 1e-9) & (rest >= similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
-def _judged(dealt: DataFrame, limit: int) -> DataFrame:
-    """Adds near to (class, id, hash, check, chunks) by near_earlier() within each g, in order of id and hash."""
+def _all_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """(a, b): pairs of nodes of different components that a token of (token, node, n, at, comp) allows. Tokens of
+    over `chunk` rows are dealt into chunks, and each pair of chunks is compared on its own."""
 
     def run(batches):
         import pyarrow as pa
 
-        def judge(part):
-            check = part.column("check").combine_chunks()
-            words = len(check.values) // max(len(check), 1)
-            bits = check.flatten().to_numpy().view(np.uint64).reshape(-1, words)
-            near = pa.array(near_earlier(bits, limit))
-            return part.select(["class", "id", "hash", "check", "chunks"]).append_column("near", near).combine_chunks().to_batches()
+        def pairs(part):
+            node, n, at, comp = (part.column(c).to_numpy() for c in ("node", "n", "at", "comp"))
+            for i in range(len(node) - 1):
+                m, bt = n[i + 1 :], at[i + 1 :]
+                ok = (comp[i + 1 :] != comp[i]) & (np.minimum(m, n[i]) >= similarity * np.maximum(m, n[i]) - 1e-9)
+                ok &= np.minimum(n[i] - at[i], m - bt) >= similarity / (1 + similarity) * (m + n[i]) - 1e-9
+                if ok.any():
+                    other = node[i + 1 :][ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], names=["a", "b"])
 
         held = None
         for batch in batches:
             held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             g = held.column("g").to_numpy()
-            cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
-            starts = [0, *cuts.tolist()]
+            starts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
             for x, y in zip(starts, starts[1:], strict=False):
-                yield from judge(held.slice(x, y - x))
+                yield from pairs(held.slice(x, y - x))
             held = held.slice(starts[-1])
         if held is not None and held.num_rows:
-            yield from judge(held)
+            yield from pairs(held)
+
+    sizes = cut(rows.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "sizes")
+    dealt = attach(rows, "token", sizes).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.filter("chunks = 1 or own <> other").select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "n", "at", "comp")
+    return dealt.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+
 
-    kind = dealt.schema["id"].dataType.simpleString()
-    rows = dealt.select("g", "class", "id", "hash", "check", "chunks", F.col("id").isNull().alias("none"))
-    rows = rows.repartition(partitions(dealt.sparkSession), "g").sortWithinPartitions("g", "none", "id", "hash")
-    return rows.mapInArrow(run, f"class bigint, id {kind}, hash bigint, check array<bigint>, chunks int, near boolean")
+def _similar(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of which the texts in `held(node, text)` have so similar shingle sets (Jaccard)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known: dict[int, np.ndarray] = {}
+
+        def tokens(node: int, text: bytes | None) -> np.ndarray:
+            if node not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[node] = shingle_set(text, width)
+            return known[node]
+
+        for batch in batches:
+            near = []
+            for a, b, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), texts(batch.column(3)), strict=True):
+                x, y = tokens(a, s), tokens(b, t)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    left = attach(pairs, "a", held.select(F.col("node").alias("a"), F.col("text").alias("s")))
+    both = attach(left, "b", held.select(F.col("node").alias("b"), F.col("text").alias("t")))
+    return both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = 16, most_late: int = 1 << 15, class_size: int = 1024) -> DataFrame:
+    """(id, hash) of the rows of `docs` that go: of each component of near copies all but the row with the smallest
+    id (null last), then hash. Near copies are rows whose sets of shingles of `width` words have at least that
+    Jaccard similarity.
+
+    Candidates come from an exact prefix filter (see prefixes()), so no pair is missed whatever the edit. Tokens that
+    over `common` rows have go last in the order, the `most_late` commonest of them; which ones do changes the cost
+    alone. Each candidate pair is judged by the sets themselves. Rows are first compared with a few rows of
+    their token's; once that stops to join components, all pairs that are still in different ones are compared.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text")).withColumn("node", F.xxhash64("id", "hash"))
+    spark = docs.sparkSession
+    counts = prefixes(rows, width, similarity, np.zeros(0, np.uint64)).groupBy("token").count().filter(F.col("count") > common)
+    late = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count")).limit(most_late).select("token").collect()], np.int64).view(np.uint64))
+    shared = cut(_shared(prefixes(rows, width, similarity, late)), "shared")
+    names = cut(shared.select("node").distinct(), "nodes")
+    held = cut(attach(rows, "node", names), "texts")
+    edges = spark.createDataFrame([], "a bigint, b bigint")
+    left, turn, before, roots = shared.withColumn("comp", F.col("node")), 0, None, None
+    while True:
+        several = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(4)), F.lit(turn)), "node", "comp", "n", "at")).alias("rep")).filter("x <> y").select("token", "rep")
+        open_rows = cut(attach(left, "token", cut(several, "several")), "open")
+        now = open_rows.count()
+        if not now:
+            break
+        last = before is not None and now > 0.7 * before
+        if last:
+            pairs = _all_pairs(open_rows.drop("rep"), similarity, class_size)
+        else:
+            near = open_rows.filter((F.col("comp") != F.col("rep.comp")) & _fits(similarity, F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at")))
+            pairs = near.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct()
+        found = cut(_similar(cut(pairs, "pairs"), held.select("node", "text"), width, similarity), "near")
+        edges = edges.union(found)
+        if last or not found.isEmpty():
+            roots = cut(components(edges), "roots")
+            left = open_rows.drop("rep", "comp").join(roots, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("comp"))
+        else:
+            left = open_rows.drop("rep")
+        if last:
+            break
+        turn, before = turn + 1, now
+    if roots is None:
+        return held.select("id", "hash").limit(0)
+    own = cut(attach(held.select("node", "id", "hash"), "node", roots).distinct(), "components")
+    first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first"))
+    told = attach(own, "root", cut(first, "first"))
+    return told.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")))).select("id", "hash").distinct()
+
+
+def near_earlier(check: np.ndarray, limit: int, block: int = 256) -> np.ndarray:
+    """For long fingerprints (rows of uint64) in order: whether an earlier one differs in at most `limit` bits."""
+    out = np.zeros(len(check), bool)
+    for at in range(0, len(check), block):
+        part = check[at : at + block]
+        differ = np.zeros((len(part), at + len(part)), np.int32)
+        for i in range(check.shape[1]):
+            differ += np.bitwise_count(part[:, i, None] ^ check[None, : at + len(part), i])
+        earlier = np.arange(at + len(part))[None, :] < (at + np.arange(len(part)))[:, None]
+        out[at : at + block] = ((differ <= limit) & earlier).any(axis=1)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -200,3 +200,53 @@ def test_near_earlier_like_brute_force():
     rng.shuffle(check)
     want = [any(sum(bin(int(x) ^ int(y)).count("1") for x, y in zip(check[i], check[j], strict=True)) <= 22 for j in range(i)) for i in range(len(check))]
     assert simhash.near_earlier(check, 22, block=100).tolist() == want
+
+
+def brute_kept(texts, least=0.8):
+    up = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+    for j in range(len(texts)):
+        for i in range(j):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                x, y = sorted((up[i], up[j]))
+                up = [x if u == y else u for u in up]
+    return {i + 1 for i, u in enumerate(up) if u == i}
+
+
+def test_near_copies_with_a_passage_more_or_less_go(docs):
+    rng = random.Random(21)
+    words = lambda n: [f"w{int(rng.paretovariate(0.6))}" for _ in range(n)]
+    texts = []
+    for n in (60, 200, 1000):
+        for share in (0.82, 0.87, 0.92):
+            for _ in range(6):
+                base = words(n)
+                more = words(int(n / share) - n)
+                texts += [" ".join(base), " ".join(base + more if rng.random() < 0.5 else base[: int(n * share) + 1])]
+    assert {r["doc_id"] for r in simhash.keep_one(docs(texts)).collect()} == brute_kept(texts)
+
+
+def test_similarity_is_exact_at_the_threshold(docs):
+    rng = random.Random(22)
+    texts = []
+    for n in (4, 9, 30, 100, 400):
+        for share in (0.74, 0.77, 0.79, 0.8, 0.81, 0.83):
+            base = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]  # n shingles
+            texts += [" ".join(base), " ".join(base[: round(n * share) + 4])]
+    texts += ["p q r s t u v w x", "p q r s t u v w"]  # 5 shingles and 4 of them: 0.8 exactly
+    kept = {r["doc_id"] for r in simhash.keep_one(docs(texts)).collect()}
+    assert kept == brute_kept(texts) and len(texts) not in kept
+
+
+@pytest.mark.parametrize("class_size", [1024, 2])
+def test_chains_of_near_copies_leave_the_smallest_id(docs, class_size):
+    rng = random.Random(23)
+    texts = []
+    for _ in range(8):
+        b = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        a, c = b[:270], b[40:]  # both like b, not like each other
+        texts += [" ".join(a), " ".join(c), " ".join(b)]
+    b = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    texts += [" ".join(b[i : i + 400]) for i in (0, 120, 80, 40, 160, 200)]  # only neighbours by 40 are alike
+    assert similarity(texts[0], texts[1]) < 0.8 < similarity(texts[0], texts[2])
+    assert {r["doc_id"] for r in simhash.keep_one(docs(texts), class_size=class_size).collect()} == brute_kept(texts)
