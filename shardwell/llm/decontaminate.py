@@ -143,7 +143,8 @@ def distance(item: np.ndarray, region: np.ndarray, k: int) -> tuple[int, int, in
 
 def matches(found: Items, text: str) -> Iterator[tuple[int, int, int, int]]:
     """(segment, edits, start, end) of the segments that occur in a run of folded characters (texts parted by
-    newlines). A band that holds the segment unchanged needs no alignment."""
+    newlines). Shared q-grams count for the text they stand in, and a band ends with it. A band that holds the
+    segment unchanged needs no alignment."""
     chars = codes(text)
     hashes = gram_hashes(chars, found.q)
     if not len(found.grams) or not len(hashes):
@@ -165,14 +166,19 @@ def matches(found: Items, text: str) -> Iterator[tuple[int, int, int, int]]:
     width = 2 * found.budget[segment] + 1
     band = diagonal // width
     n_bands = 2 * len(chars) + 2
-    key, hits = np.unique(np.concatenate((segment * n_bands + band, segment * n_bands + band - 1)), return_counts=True)
-    owner = key // n_bands
+    borders = np.concatenate(([-1], np.flatnonzero(chars == 10), [len(chars)]))
+    n_texts = len(borders) - 1
+    within = np.repeat(np.searchsorted(borders, spots) - 1, counts)
+    base = (segment * n_texts + within) * n_bands + band
+    key, hits = np.unique(np.concatenate((base, base - 1)), return_counts=True)
+    owner = key // n_bands // n_texts
     enough = hits >= found.bound[owner]
-    for s, b in zip(owner[enough].tolist(), (key[enough] % n_bands).tolist(), strict=True):
+    key = key[enough]
+    for s, t, b in zip(owner[enough].tolist(), (key // n_bands % n_texts).tolist(), (key % n_bands).tolist(), strict=True):
         k, item = int(found.budget[s]), found.chars[s]
         w = 2 * k + 1
-        low = max(0, b * w - len(chars) - k)
-        high = min(len(chars), (b + 2) * w - len(chars) + len(item) + k)
+        low = max(int(borders[t]) + 1, b * w - len(chars) - k)
+        high = min(int(borders[t + 1]), (b + 2) * w - len(chars) + len(item) + k)
         if (same := text.find(found.texts[s], low, high)) >= 0:
             yield s, 0, same, same + len(item)
         elif low < high and (best := distance(item, chars[low:high], k)):

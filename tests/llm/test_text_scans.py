@@ -220,6 +220,20 @@ def test_planted_passages_with_edits():
         assert (got is None) == (best > k) and (got is None or got[0] == best)
 
 
+def test_passages_at_the_borders_of_documents():
+    found = decontaminate.items(ITEMS)
+    clean = b"a clean document about stones and rivers"
+    for s, item in enumerate(found.texts):
+        for k in range(int(found.budget[s])):  # fold may take a space beside
+            swapped = "#" * k
+            for dirty in (item[k:] + " and more", "and more " + item[: len(item) - k], item[k:], item[: len(item) - k], "q" * k + item[k:], swapped + item):
+                got = list(decontaminate.scan(found, iter([clean, dirty.encode(), clean])))
+                alone = next(decontaminate.scan(found, iter([dirty.encode()])))
+                assert got == [{}, alone, {}] and found.ids[s] in alone and alone[found.ids[s]][0] <= k + 1
+    half = len(found.texts[0]) // 2  # a passage cut by a border is in neither document
+    assert list(decontaminate.scan(found, iter([found.texts[0][:half].encode(), found.texts[0][half:].encode()]))) == [{}, {}]
+
+
 def test_contamination_of_the_table(spark, table):
     docs, items = table("documents", "sf0.01"), table("benchmark", "sf0.01")
     folded = {r["doc_id"]: decontaminate.fold(r["text"].encode()) for r in docs.collect()}
