@@ -345,8 +345,22 @@ def _fits(similarity: float, n, at, m, bt):
     return (low >= similarity * F.greatest(n, m) - 1e-9) & (rest >= similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
+def parities(held: DataFrame, width: int) -> DataFrame:
+    """(node, bits): for each of 512 buckets of hashes whether a row of `held(node, text)` has an odd number of tokens
+    in it. Two sets differ in at least as many tokens as such bits, so bits rule pairs out without a miss."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            bits = [np.packbits(np.bincount((shingle_set(t, width) & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes() for t in texts(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    return held.select("node", "text").mapInArrow(run, "node bigint, bits binary").dropDuplicates(["node"])
+
+
 def _all_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """(a, b): pairs of nodes of different components that a token of (token, node, n, at, comp) allows. Tokens of
+    """(a, b): pairs of nodes of different components that a token of (token, node, n, at, comp, bits) allows. Tokens of
     over `chunk` rows are dealt into chunks, and each pair of chunks is compared on its own."""
 
     def run(batches):
@@ -354,11 +368,15 @@ def _all_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
 
         def pairs(part):
             node, n, at, comp = (part.column(c).to_numpy() for c in ("node", "n", "at", "comp"))
+            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
             for i in range(len(node) - 1):
                 m, bt = n[i + 1 :], at[i + 1 :]
                 ok = (comp[i + 1 :] != comp[i]) & (np.minimum(m, n[i]) >= similarity * np.maximum(m, n[i]) - 1e-9)
                 ok &= np.minimum(n[i] - at[i], m - bt) >= similarity / (1 + similarity) * (m + n[i]) - 1e-9
-                if ok.any():
+                ok = np.flatnonzero(ok)
+                differ = np.bitwise_count(bits[i + 1 + ok] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                ok = ok[differ <= (1 - similarity) / (1 + similarity) * (m[ok] + n[i]) + 1e-9]
+                if len(ok):
                     other = node[i + 1 :][ok]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], names=["a", "b"])
 
@@ -375,7 +393,7 @@ def _all_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
 
     sizes = cut(rows.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "sizes")
     dealt = attach(rows, "token", sizes).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.filter("chunks = 1 or own <> other").select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "n", "at", "comp")
+    dealt = dealt.filter("chunks = 1 or own <> other").select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "n", "at", "comp", "bits")
     return dealt.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -434,7 +452,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             break
         last = before is not None and now > 0.7 * before
         if last:
-            pairs = _all_pairs(open_rows.drop("rep"), similarity, class_size)
+            pairs = _all_pairs(attach(open_rows.drop("rep"), "node", cut(parities(held, width), "parities")), similarity, class_size)
         else:
             near = open_rows.filter((F.col("comp") != F.col("rep.comp")) & _fits(similarity, F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at")))
             pairs = near.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct()
