@@ -250,3 +250,18 @@ def test_chains_of_near_copies_leave_the_smallest_id(docs, class_size):
     texts += [" ".join(b[i : i + 400]) for i in (0, 120, 80, 40, 160, 200)]  # only neighbours by 40 are alike
     assert similarity(texts[0], texts[1]) < 0.8 < similarity(texts[0], texts[2])
     assert {r["doc_id"] for r in simhash.keep_one(docs(texts), class_size=class_size).collect()} == brute_kept(texts)
+
+
+def test_all_pairs_like_brute_force(spark):
+    rng = random.Random(24)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        texts += [" ".join(base[: rng.randrange(70, 121)]) for _ in range(6)]
+    held = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    shared = simhash._shared(simhash.prefixes(held, 5, 0.8, np.zeros(0, np.uint64))).withColumn("comp", F.col("node"))
+    rows = shared.join(simhash.parities(held, 5), "node").select("token", "node", "n", "at", "comp", "bits")
+    want = {(i, j) for j in range(len(texts)) for i in range(j) if similarity(texts[i], texts[j]) >= 0.8}
+    for chunk in (1024, 2):
+        got = simhash._similar(simhash._all_pairs(rows, 0.8, chunk), held, 5, 0.8).collect()
+        assert want and {(r["a"], r["b"]) for r in got} == want
