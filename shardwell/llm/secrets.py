@@ -1,21 +1,26 @@
 """Secret scans with recursive decoding.
 
 A text is scanned for three kinds of secret, and so is every layer that decoding it gives: percent escapes,
-Unicode escapes, base64 runs, and gzip or zlib streams inside those. Each layer is a work item and is decoded in
-turn until nothing new appears; a layer whose content was seen before is not taken again, so cycles end. Every
-span is mapped back to the code points of the text it came from.
+Unicode escapes, base64 runs (wrapped ones too), and gzip or zlib streams inside those. Every layer, texts and
+decoded bytes alike, is an item of one worklist and is decoded in turn until nothing new appears; an item whose
+content was seen before is not taken again, so cycles end. Every span is mapped back to the code points of the
+text it came from.
+
+No layer is left out for what it holds: bytes that are not UTF-8 are read as Latin-1, and UTF-16 text within
+them once more by itself. A run under 16 base64 characters holds no 12 bytes, which the shortest secret has.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,70 +32,111 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # maximal runs, so short ones need no dropping
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
+NAMES = tuple(w.decode() for w in WORDS)
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\[uUx]([0-9A-Fa-f]+)")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+# an escape of the escape sign, nested any number of times
+NESTED = re.compile(r"%(?:25){2,}|\\(?:u005[cC]){2,}|\\(?:x5[cC]){2,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+# runs that go on in the next line, as wrapped base64 does
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+BREAK = re.compile(r"[^A-Za-z0-9+/_-]+")
 #: Bytes of runs that base64, access and hex secrets are made of.
-RUN = bytes(97 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-") else 32 for c in range(256))
+PLAIN = bytes(97 if chr(c).isascii() and (chr(c).isalnum() or chr(c) in "+/_-") else 32 for c in range(256))
 LONG = b"a" * 16
-#: A compressed stream is followed up to this many bytes, so that no bomb fills memory.
-INFLATED = 1 << 26
+PACKED = ("H4sI", "eJ", "eA", "eF", "eN")  # how base64 of gzip and zlib streams begins
+GZIP = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]")
+ZLIB = (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+WIDE = re.compile(rb"(?:[\x09\x0a\x0d\x20-\x7e]\x00){12,}|(?:\x00[\x09\x0a\x0d\x20-\x7e]){12,}")
+
+SLICE = 1 << 18  # compressed bytes fed at a time
+#: An inflated stream of up to this size is one item; a longer one is taken in windows of it, so that a bomb costs
+#: time in proportion to what it holds but no more memory. Windows overlap by the second figure.
+WHOLE, OVERLAP = 1 << 26, 1 << 20
+#: From this depth on a nest of one escape sign's escapes is unwrapped at once, so that its cost does not grow with the square.
+ONE_BY_ONE = 8
+#: Where nests of mixed kinds, and streams that inflate to ever other streams, end.
+DEPTH = 256
 
 
 @dataclass
 class Layer:
-    """A decoded text; starts and ends give each character's place in the whole text. An opaque layer, whose
-    characters have no place of their own, maps to one span."""
+    """A decoded text. `cuts` holds where its pieces begin and `olds` the parent's (start, end) of each piece, end -1
+    for a piece that stands there unchanged; an opaque layer, whose characters have no place of their own, maps to
+    one span of the root."""
 
     text: str
-    via: str
-    starts: np.ndarray | None = None
-    ends: np.ndarray | None = None
+    via: str = ""
+    parent: Layer | None = None
+    cuts: list[int] = field(default_factory=list)
+    olds: list[tuple[int, int]] = field(default_factory=list)
     span: tuple[int, int] | None = None
+    depth: int = 0
 
     def place(self, start: int, end: int) -> tuple[int, int]:
-        if self.span is not None:
-            return self.span
-        if self.starts is None:
-            return start, end
-        return int(self.starts[start]), int(self.ends[end - 1])
+        """The root's code points from which these came."""
+        layer: Layer | None = self
+        while layer is not None:
+            if layer.span is not None:
+                return layer.span
+            if layer.parent is None:
+                break
+            a, b = bisect.bisect_right(layer.cuts, start) - 1, bisect.bisect_right(layer.cuts, end - 1) - 1
+            x, y = layer.olds[a], layer.olds[b]
+            start, end = x[0] if x[1] >= 0 else x[0] + start - layer.cuts[a], y[1] if y[1] >= 0 else y[0] + end - layer.cuts[b]
+            layer = layer.parent
+        return start, end
+
+
+@dataclass
+class Blob:
+    """Decoded bytes, which all map to one span of the root."""
+
+    data: bytes
+    via: str
+    span: tuple[int, int]
+    depth: int
+
+
+def _named(low: str | bytes) -> bool:
+    return any(w in low for w in (NAMES if isinstance(low, str) else WORDS))
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the secrets that stand in a text as it is: leftmost, not overlapping, per kind."""
-    out = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
+    out: list[tuple[str, int, int]] = []
+    if _named(text.lower()):
+        out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     out += [("access", *m.span()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     return out + [("hex", *m.span()) for m in HEX.finditer(text)]
 
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode, via: str) -> Iterator[Layer]:
     """The layer with every match replaced by what it decodes to, or nothing if none decodes."""
-    at, parts, starts, ends, changed = 0, [], [], [], False
-    own = np.arange(len(layer.text) + 1)
+    at, size, parts, cuts, olds = 0, 0, [], [], []
+
+    def add(text: str, start: int, end: int) -> None:
+        nonlocal size
+        if text:
+            parts.append(text)
+            cuts.append(size)
+            olds.append((start, end))
+            size += len(text)
+
+    changed = False
     for m in pattern.finditer(layer.text):
         new = decode(m[0])
         if new is None or new == m[0]:
             continue
         changed = True
-        a, b = m.span()
-        parts += [layer.text[at:a], new]
-        starts += [own[at:a], np.full(len(new), a)]
-        ends += [own[at:a] + 1, np.full(len(new), b)]
-        at = b
-    if not changed:
-        return
-    parts.append(layer.text[at:])
-    starts.append(own[at:-1])
-    ends.append(own[at:-1] + 1)
-    first, last = np.concatenate(starts), np.concatenate(ends)
-    if layer.span is not None:
-        yield Layer("".join(parts), f"{layer.via}/{via}", span=layer.span)
-    elif layer.starts is None:
-        yield Layer("".join(parts), f"{layer.via}/{via}", first, last)
-    else:
-        yield Layer("".join(parts), f"{layer.via}/{via}", layer.starts[first], layer.ends[last - 1])
+        add(layer.text[at : m.start()], at, -1)
+        add(new, *m.span())
+        at = m.end()
+    if changed:
+        add(layer.text[at:], at, -1)
+        yield Layer("".join(parts), f"{layer.via}/{via}", layer, cuts, olds, layer.span, layer.depth + 1)
 
 
 def _from_url(run: str) -> str | None:
@@ -107,44 +153,119 @@ def _from_escapes(run: str) -> str | None:
         return None
 
 
-def _inflated(data: bytes) -> tuple[bytes, str] | None:
-    for head, wbits, via in ((b"\x1f\x8b", 31, "gzip"), (b"\x78", 15, "zlib")):
-        if data.startswith(head):
-            try:
-                return zlib.decompressobj(wbits).decompress(data, INFLATED), via
-            except zlib.error:
-                return None
-    return None
-
-
-def _printable(data: bytes) -> str | None:
+def _inflated(data: bytes, at: int, wbits: int) -> Iterator[tuple[bytes, int]]:
+    """(bytes, place in the input after them) of a stream that begins at `at`, a gzip file's later members too; a
+    broken stream ends where it breaks."""
+    stream = zlib.decompressobj(wbits)
     try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
-    return text if text and odd * 10 <= len(text) else None
-
-
-def _from_base64(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(body) % 4 == 1:
-            continue
-        data, via = base64.b64decode(body + "=" * (-len(body) % 4)), "base64"
-        while (more := _inflated(data)) is not None and more[0]:
-            data, via = more[0], f"{via}/{more[1]}"
-        if (text := _printable(data)) is not None:
-            yield Layer(text, f"{layer.via}/{via}", span=layer.place(*m.span()))
+        while at < len(data):
+            part = data[at : at + SLICE]
+            at += len(part)
+            while part and not stream.eof:
+                out = stream.decompress(part, WHOLE >> 4)
+                part = stream.unconsumed_tail
+                if out:
+                    yield out, at - len(part)
+            if stream.eof:
+                at -= len(stream.unused_data)
+                yield b"", at
+                if wbits != 31 or not GZIP.match(data, at):
+                    return
+                stream = zlib.decompressobj(wbits)
+        while more := stream.decompress(stream.unconsumed_tail, WHOLE >> 4):
+            yield more, at
+    except zlib.error:
+        return
 
 
-def decoded(layer: Layer) -> Iterator[Layer]:
-    """The layers one step below."""
-    if "%" in layer.text:
-        yield from _rewritten(layer, URL, _from_url, "url")
-    if "\\" in layer.text:
-        yield from _rewritten(layer, ESCAPE, _from_escapes, "unicode")
-    yield from _from_base64(layer)
+def _windows(stream: Iterator[tuple[bytes, int]], ended: list[int]) -> Iterator[bytes]:
+    """The stream as one piece of bytes, or in overlapping windows if it is long; `ended` gets where it ends."""
+    held: list[bytes] = []
+    size = 0
+    for out, at in stream:
+        ended[0] = at
+        held.append(out)
+        size += len(out)
+        if size >= WHOLE:
+            whole = b"".join(held)
+            yield whole
+            held, size = [whole[-OVERLAP:]], OVERLAP
+    if size and (size != OVERLAP or len(held) > 1 or not held[0]):
+        yield b"".join(held)
+
+
+def _unpacked(blob: Blob) -> Iterator[Blob]:
+    """What the gzip streams in a blob, and a zlib stream at its start, inflate to."""
+    at = 0
+    while m := GZIP.search(blob.data, at):
+        ended = [m.start() + 1]
+        for data in _windows(_inflated(blob.data, m.start(), 31), ended):
+            yield Blob(data, f"{blob.via}/gzip", blob.span, blob.depth + 1)
+        at = max(ended[0], m.start() + 1)
+    if blob.data.startswith(ZLIB):
+        for data in _windows(_inflated(blob.data, 0, 15), [0]):
+            yield Blob(data, f"{blob.via}/zlib", blob.span, blob.depth + 1)
+
+
+def _telling(data: bytes) -> bool:
+    """Whether bytes can hold a secret or a further layer."""
+    return b"%" in data or b"\\" in data or b"\n" in data or LONG in data.translate(PLAIN) or _named(data.lower())
+
+
+def _read(blob: Blob) -> Iterator[Layer]:
+    """A blob as text: UTF-8 or else Latin-1, and the UTF-16 runs in it."""
+    if _telling(blob.data):
+        try:
+            text, via = blob.data.decode(), blob.via
+        except UnicodeDecodeError:
+            text, via = blob.data.decode("latin-1"), blob.via
+        yield Layer(text, via, span=blob.span, depth=blob.depth + 1)
+    if b"\0" in blob.data and (wide := [m[0].replace(b"\0", b"") for m in WIDE.finditer(blob.data)]):
+        yield Layer(b"\n".join(wide).decode("latin-1"), f"{blob.via}/utf-16", span=blob.span, depth=blob.depth + 1)
+
+
+def _from_base64(layer: Layer) -> Iterator[Blob]:
+    """The bytes of base64 runs, in one line or wrapped, read from each of the four places where a quantum may begin:
+    what stands before the base64 may be of its characters too."""
+    runs = [(m[0], m.span(), False) for m in RUN.finditer(layer.text)]
+    if "\n" in layer.text:
+        runs += [(m[0], m.span(), True) for m in WRAPPED.finditer(layer.text)]
+    for run, span, wrapped in runs:
+        starts = {0, 1, 2, 3}
+        if wrapped:
+            lines = BREAK.split(run.rstrip("="))
+            body, at = "".join(lines), 0
+            for line in lines:
+                if line.startswith(PACKED):
+                    starts.add(at)
+                at += len(line)
+        else:
+            body = run.rstrip("=")
+        body = body.replace("-", "+").replace("_", "/")
+        for start in sorted(starts):
+            n = len(body) - start
+            n -= n % 4 == 1
+            if n >= 16:
+                data = base64.b64decode(body[start : start + n] + "=" * (-n % 4))
+                yield Blob(data, f"{layer.via}/base64", layer.place(*span), layer.depth + 1)
+
+
+def decoded(item: Layer | Blob) -> Iterator[Layer | Blob]:
+    """The items one step below."""
+    if item.depth >= DEPTH:
+        return
+    if isinstance(item, Blob):
+        yield from _unpacked(item)
+        yield from _read(item)
+        return
+    if item.depth >= ONE_BY_ONE and (whole := list(_rewritten(item, NESTED, lambda m: m[:1], "nested"))):
+        yield from whole
+        return
+    if "%" in item.text:
+        yield from _rewritten(item, URL, _from_url, "url")
+    if "\\" in item.text:
+        yield from _rewritten(item, ESCAPE, _from_escapes, "unicode")
+    yield from _from_base64(item)
 
 
 def scan(data: bytes | None) -> list[tuple[str, int, int, str]]:
@@ -152,24 +273,27 @@ def scan(data: bytes | None) -> list[tuple[str, int, int, str]]:
     in the text itself, else the decoders' path. A span found in several ways is given once, the plainest."""
     if not data:
         return []
-    runs = LONG in data.translate(RUN)
-    low = data.lower()
-    named = any(w in low for w in WORDS)
-    if not (runs or named or b"%" in data or b"\\" in data):
+    if not _telling(data):
         return []
-    root = Layer(data.decode("utf-8", "replace"), "")
     found: dict[tuple[str, int, int], str] = {}
     seen: set[bytes] = set()
-    work = [root]
+    work: deque[Layer | Blob] = deque([Layer(data.decode("utf-8", "replace"))])
     while work:
-        layer = work.pop(0)
-        key = hashlib.blake2b(repr((layer.span, layer.text)).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        item = work.popleft()
+        if isinstance(item, Layer):
+            content = item.text.encode("utf-8", "surrogatepass")
+            # the same text at other places of the root is another item, and so is one that maps otherwise
+            where = item.span if item.span is not None else (item.olds[:64], len(item.olds))
+        else:
+            content, where = item.data, item.span
+        key = hashlib.blake2b(content, digest_size=16, key=hashlib.blake2b(repr((isinstance(item, Blob), where)).encode(), digest_size=16).digest()).digest()
         if key in seen:
             continue
         seen.add(key)
-        for kind, start, end in base_spans(layer.text):
-            found.setdefault((kind, *layer.place(start, end)), layer.via.lstrip("/"))
-        work += decoded(layer)
+        if isinstance(item, Layer):
+            for kind, start, end in base_spans(item.text):
+                found.setdefault((kind, *item.place(start, end)), item.via.lstrip("/"))
+        work.extend(decoded(item))
     order = {k: i for i, k in enumerate(KINDS)}
     return [(k, a, b, via) for (k, a, b), via in sorted(found.items(), key=lambda x: (x[0][1], order[x[0][0]], x[0][2]))]
 

@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import io
 import math
 import random
 import re
+import tarfile
 import urllib.parse
 import zlib
 
@@ -74,6 +76,78 @@ def test_layers(make, via):
     assert text[start:end] in hidden and end - start >= 10
 
 
+def tar(name, data):
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as t:
+        info = tarfile.TarInfo(name)
+        info.size = len(data)
+        t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def wrap(text, width, indent="", end="\n"):
+    return end.join(indent + text[i : i + width] for i in range(0, len(text), width))
+
+
+HIDDEN = b'password = "hunter2-hunter2"'
+PAD = " ".join(f"word{random.Random(i).randrange(10**6)}" for i in range(120)).encode()
+
+
+@pytest.mark.parametrize(
+    ("text", "via"),
+    [
+        (b64(gzip.compress(b"nothing") + gzip.compress(HIDDEN)), "base64/gzip"),
+        (b64(random.Random(1).randbytes(50) + gzip.compress(HIDDEN)), "base64/gzip"),
+        (wrap(b64(gzip.compress(HIDDEN + PAD)), 76), "base64/gzip"),
+        ("head\r\n" + wrap(b64(zlib.compress(HIDDEN + PAD)), 64, "  ", "\r\n") + "\r\ntail", "base64/zlib"),
+        ("mail:\n" + wrap(b64(HIDDEN), 8) + "\nend", "base64"),
+        (b64(tar(".env", HIDDEN)), "base64"),
+        (b64(gzip.compress(tar(".env", HIDDEN))), "base64/gzip"),
+        (b64(HIDDEN.decode().encode("utf-16-le")), "base64/utf-16"),
+        (b64(b"\x00\xd8\x01" + HIDDEN.decode().encode("utf-16-be")), "base64/utf-16"),
+        (b64("né ".encode("latin-1") + HIDDEN), "base64"),
+        ("data/x" + b64(HIDDEN), "base64"),
+        (b64(gzip.compress(gzip.compress(HIDDEN))), "base64/gzip/gzip"),
+        (b64(gzip.compress(HIDDEN)[:-8]), "base64/gzip"),
+        (b64(b"token=abcdef"), "base64"),  # the shortest secret
+    ],
+)
+def test_no_layer_is_left_out(text, via):
+    found = secrets.scan(f"é {text} z".encode())
+    assert any(k == "assign" and v == via for k, _, _, v in found), found
+    assert all(2 <= a < b <= len(text) + 2 for _, a, b, _ in found)
+
+
+def test_cycles_end(monkeypatch):
+    text = b64(gzip.compress(HIDDEN)).encode()
+    real = secrets._inflated
+    monkeypatch.setattr(secrets, "_inflated", lambda data, at, wbits: iter([(data, len(data))]) if data else real(data, at, wbits))
+    assert secrets.scan(text) == []  # a stream that inflates to itself
+
+
+def test_streams_longer_than_a_window(monkeypatch):
+    monkeypatch.setattr(secrets, "WHOLE", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 256)
+    for at in (0, 4000, 4090, 4096, 9000, 19_980):
+        data = b"." * at + b" " + HIDDEN + b" " + b"." * (20_000 - at)
+        assert ("assign", "base64/gzip") in {(k, v) for k, _, _, v in secrets.scan(b64(gzip.compress(data)).encode())}, at
+
+
+def test_cost_of_deep_nests():
+    import time
+
+    began = time.perf_counter()
+    assert any(v.endswith("nested/url") for *_, v in secrets.scan(b"%" + b"25" * 500_000 + b"74oken=abcdefgh"))
+    assert any("nested" in v for *_, v in secrets.scan(b"\\u005c" + b"u005c" * 100_000 + b"u0074oken=abcdefgh"))
+    assert time.perf_counter() - began < 20
+
+
+def test_spans_map_through_layers():
+    text = "é%25%32%35 mid to%6Ben%3dabc%64efgh end"
+    spans = {text[a:b] for k, a, b, _ in secrets.scan(text.encode()) if k == "assign"}
+    assert spans == {"to%6Ben%3dabc%64efgh"}
+
+
 def test_base_stays_beside_decoded_and_cycles_end():
     text = "token=abcdefgh token%3Dzzzzzzzz %2525252525 \\u005cu005c %25"
     got = secrets.scan(text.encode())
