@@ -21,21 +21,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only a session that has none (a local test) gets a temporary folder.
-    """
+    A local session that has none (a test) gets a temporary folder; a cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shardwell-"))
             held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get()
     return root.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop path and its file system."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/shardwell/{what}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder, below a folder that goes when the application ends."""
+    context = spark.sparkContext
+    own = f"{shared_root(spark)}/shardwell/{context.applicationId}"
+    if getattr(context, "_shardwell_scratch", None) != own:
+        path, fs = _path(spark, own)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        context._shardwell_scratch = own
+    return f"{own}/{what}-{uuid.uuid4().hex}"
+
+
+class Scope:
+    """Tables that cut() writes while the scope is open are deleted when it closes, but for those kept."""
+
+    open: list[Scope] = []
+
+    def __init__(self) -> None:
+        self.written: dict[str, SparkSession] = {}
+
+    def __enter__(self) -> Scope:
+        Scope.open.append(self)
+        return self
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """A table that stays, or goes with the scope around this one."""
+        for path in [p for p in self.written if any(f"/{p.rpartition('/')[2]}/" in f for f in df.inputFiles())]:
+            spark = self.written.pop(path)
+            if len(Scope.open) > 1:
+                Scope.open[-2].written[path] = spark
+        return df
+
+    def __exit__(self, *_) -> None:
+        Scope.open.remove(self)
+        for name, spark in self.written.items():
+            path, fs = _path(spark, name)
+            fs.delete(path, True)
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
@@ -43,16 +84,17 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
+    if Scope.open:
+        Scope.open[-1].written[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that cut() wrote, once nothing reads it."""
-    jvm = spark.sparkContext._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/shardwell/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, fs = _path(spark, folder)
+            fs.delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -19,7 +19,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, pieces, texts
+from ..session import settings
+from .common import Scope, cut, forget, partitions, pieces, texts, utf8
 from .components import attach, components
 
 BITS = 64
@@ -74,25 +75,6 @@ def fingerprint(data: bytes | None, width: int = 3) -> int:
     return majority(votes, n)
 
 
-def remixed(hashes: np.ndarray, turn: int) -> np.ndarray:
-    """Another hash of what was hashed, by two rounds of multiply and shift."""
-    h = hashes ^ np.uint64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
-    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(33))
-
-
-def sketch(data: bytes | None, width: int, tables: int, words64: int) -> tuple[list[int], list[int]]:
-    """`tables` fingerprints of the set of a text's words, by which near copies are found, and a fingerprint of
-    `words64` * 64 bits of the set of its shingles of `width` words, by which their similarity is told."""
-    out = []
-    for size, n in ((1, tables), (width, words64)):
-        parts = [np.unique(np.array(h, np.uint64)) for h in shingle_hashes(data, size)]
-        hashes = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-        out.append([majority(bit_counts(remixed(hashes, t + 1)), len(hashes)) for t in range(n)])
-    return out[0], out[1]
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, hash, fp): one row per row of `docs`; hash is the text's xxHash64, fp a signed 64-bit integer."""
 
@@ -282,8 +264,8 @@ def shingle_set(data: bytes | None, width: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
-    """(token, node, n, at): of each row of `docs(node, text)` the first tokens of its shingle set, in order of
-    hash with the ascending hashes `late` after all others; n is the set's size, at the token's place.
+    """(token, node): of each row of `docs(node, text)` the first tokens of its shingle set, in order of hash with the
+    ascending hashes `late` after all others.
 
     Two sets of at least that Jaccard similarity have a token in common among the first n - ceil(similarity * n) + 1
     of each, in any one order of all tokens.
@@ -293,112 +275,174 @@ def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -
         import pyarrow as pa
 
         for batch in batches:
-            tokens, sizes = [], []
+            tokens = []
             for text in texts(batch.column(1)):
                 h = shingle_set(text, width)
                 most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
-                    sizes.append(len(h))
-                    tokens.append(np.concatenate((h[~last], h[last]))[:most])
-                else:
-                    sizes.append(len(h))
-                    tokens.append(h[:most])
+                    h = np.concatenate((h[~last], h[last]))
+                tokens.append(h[:most])
             if not tokens:
                 continue
             counts = np.array([len(t) for t in tokens])
-            at = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             node = np.repeat(batch.column(0).to_numpy(), counts)
-            columns = [np.concatenate(tokens).view(np.int64), node, np.repeat(np.array(sizes), counts).astype(np.int32), at.astype(np.int32)]
-            out = pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["token", "node", "n", "at"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node)], names=["token", "node"])
             yield from (out.slice(i, 1 << 17) for i in range(0, out.num_rows, 1 << 17))
 
-    return docs.select("node", "text").mapInArrow(run, "token bigint, node bigint, n int, at int")
+    return docs.select("node", "text").mapInArrow(run, "token bigint, node bigint")
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """The rows of (token, node, n, at) whose token several rows have."""
+def marks(docs: DataFrame, width: int) -> DataFrame:
+    """(node, fp, n, bits) of `docs(node, text)`, each node once: the fingerprint of the set of its shingles, the
+    set's size, and for each of 512 buckets of hashes whether it holds an odd number of the set. Two sets differ in
+    at least as many shingles as such bits, so the bits rule pairs out without a miss."""
 
     def run(batches):
         import pyarrow as pa
 
-        held = None
         for batch in batches:
-            if not batch.num_rows:
+            fps, sizes, bits = [], [], []
+            for text in texts(batch.column(1)):
+                h = shingle_set(text, width)
+                fps.append(majority(bit_counts(h), len(h)))
+                sizes.append(len(h))
+                bits.append(np.packbits(np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["node", "fp", "n", "bits"])
+
+    return docs.select("node", "text").mapInArrow(run, "node bigint, fp bigint, n int, bits binary").dropDuplicates(["node"])
+
+
+def by_trie(told: DataFrame, budget: int = 3) -> DataFrame:
+    """(a, b): pairs of nodes that the trie self-join of their fingerprints joins, and of nodes of one fingerprint;
+    as many pairs as rows and links of its forest."""
+    reps = cut(told.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("m")), "reps")
+    found = links(reps.select(F.lit(0).alias("t"), "fp"), budget).select("a", "b").distinct()
+    one = attach(found, "a", reps.select(F.col("fp").alias("a"), F.col("rep").alias("x")))
+    both = attach(one, "b", reps.select(F.col("fp").alias("b"), F.col("rep").alias("y"))).select("x", "y")
+    same = attach(told.select("fp", "node"), "fp", reps.filter("m > 1").select("fp", "rep")).filter("node <> rep").select("node", "rep")
+    return both.union(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _needed(rows: DataFrame, anchors: int = 2) -> DataFrame:
+    """The rows of (token, node, comp) in which every two rows of different components that share a token still do.
+
+    A token whose rows all have the same other token adds no pair. Whether they have is told for the token that
+    comes first in some order among those of each node."""
+    for turn in range(anchors):
+        several = rows.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("token")
+        rows = attach(rows, "token", cut(several, "several"))
+        first = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("token", F.lit(turn)), "token")).alias("f")).select("node", F.col("f.token").alias("f"))
+        told = attach(rows, "node", cut(first, "anchors"))
+        keep = told.groupBy("token").agg(F.min("f").alias("x"), F.max("f").alias("y")).filter("x <> y or x = token").select("token")
+        rows = cut(attach(rows, "token", cut(keep, "needed")), "open")
+    return rows
+
+
+def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
+    """(g, side, node, comp) from (token, node, comp): groups within which rows of different components meet.
+
+    A token of over `chunk` rows is dealt into chunks: those of its largest component, and those of the rest. Each
+    two chunks of the rest make a group, and each of them with each of the largest component (then `side` tells them
+    apart); rows of the largest component need not meet each other."""
+    each = rows.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    sizes = each.groupBy("token").agg(F.sum("c").alias("total"), F.max(F.struct("c", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1")
+    told = attach(rows, "token", cut(sizes, "sizes"))
+    chunks = lambda n: F.ceil(n / F.lit(float(chunk))).cast("int")
+    told = told.withColumns({"few": chunks(F.col("total") - F.col("most.c")), "many": chunks(F.col("most.c")), "is_most": F.col("comp") == F.col("most.comp")})
+    told = told.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("is_most"), F.col("many")).otherwise(F.col("few"))).cast("int"))
+    group = lambda side, x, y: F.struct(F.xxhash64("token", F.lit(side), x, y).alias("g"), side.alias("side"))
+    whole, most, rest = F.lit(0), F.lit(1), F.lit(2)
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    mixed = F.lit(-1)
+    of_rest = F.transform(F.filter(up_to(F.col("few")), lambda o: (F.col("few") == 1) | (o != F.col("own"))), lambda o: group(whole, F.least("own", o), F.greatest("own", o)))
+    of_both = F.transform(up_to(F.col("many")), lambda o: F.struct(F.xxhash64("token", mixed, "own", o).alias("g"), rest.alias("side")))
+    of_most = F.transform(up_to(F.col("few")), lambda o: F.struct(F.xxhash64("token", mixed, o, "own").alias("g"), most.alias("side")))
+    groups = F.when(F.col("total") <= chunk, F.array(group(whole, whole, whole))).when(F.col("is_most"), of_most).otherwise(F.concat(of_rest, of_both))
+    return told.select(F.explode(groups).alias("to"), "node", "comp").select("to.g", "to.side", "node", "comp")
+
+
+def _binary(column, width: int) -> np.ndarray:
+    """A binary Arrow column of values of `width` words each as uint64 rows."""
+    data, offsets, _ = utf8(column)
+    return np.frombuffer(data, np.uint64, len(column) * width, int(offsets[0])).reshape(len(column), width)
+
+
+def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: bool, rows_at_once: int = 1 << 17) -> DataFrame:
+    """(a, b): pairs of nodes of different components that meet in a group of (g, side, node, comp) and that size and
+    bits allow; with `forest` only as many as join what all of them join, so no more than rows."""
+
+    def pairs(part) -> tuple[list, list]:
+        side, node, comp, n = (part.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
+        g, bits = part.column("g").to_numpy(), _binary(part.column("bits").combine_chunks(), 8)
+        _, label = np.unique(comp, return_inverse=True)
+        up = np.arange(label.max() + 1)
+        left, right = [], []
+        at, k = np.arange(len(g)), 0
+        while True:
+            k += 1
+            at = at[at + k < len(g)]
+            at = at[g[at] == g[at + k]]
+            if not at.size:
+                return left, right
+            i = at[(up[label[at]] != up[label[at + k]]) & ((side[at] == 0) | (side[at] != side[at + k]))]
+            j = i + k
+            ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
+            i, j = i[ok], j[ok]
+            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+            ok = differ <= (1 - similarity) / (1 + similarity) * (n[i].astype(np.int64) + n[j]) + 1e-9
+            i, j = i[ok], j[ok]
+            if not forest:
+                left += node[i].tolist()
+                right += node[j].tolist()
                 continue
-            # held: the last row so far, and whether its token stood before it
-            whole = pa.Table.from_batches([batch] if held is None else [held[0], batch])
-            token = whole.column("token").to_numpy()
-            same = token[1:] == token[:-1]
-            keep = np.concatenate(([held is not None and held[1]], same)) | np.concatenate((same, [False]))
-            yield from whole.slice(0, whole.num_rows - 1).filter(pa.array(keep[:-1])).to_batches()
-            held = whole.slice(whole.num_rows - 1).combine_chunks().to_batches()[0], bool(keep[-1])
-        if held is not None and held[1]:
-            yield held[0]
-
-    return rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token").mapInArrow(run, rows.schema)
-
-
-def _fits(similarity: float, n, at, m, bt):
-    """Whether sets of n and m tokens can be so similar if their first common token has the places at and bt."""
-    low, rest = F.least(n, m), F.least(n - at, m - bt)
-    return (low >= similarity * F.greatest(n, m) - 1e-9) & (rest >= similarity / (1 + similarity) * (n + m) - 1e-9)
-
-
-def parities(held: DataFrame, width: int) -> DataFrame:
-    """(node, bits): for each of 512 buckets of hashes whether a row of `held(node, text)` has an odd number of tokens
-    in it. Two sets differ in at least as many tokens as such bits, so bits rule pairs out without a miss."""
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = label[x], label[y]
+                while up[p] != p:
+                    p = up[p]
+                while up[q] != q:
+                    q = up[q]
+                if p != q:
+                    up[max(p, q)] = min(p, q)
+                    left.append(node[x])
+                    right.append(node[y])
+            while (more := up[up] != up).any():
+                up[more] = up[up[more]]
 
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            bits = [np.packbits(np.bincount((shingle_set(t, width) & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes() for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], names=["node", "bits"])
-
-    return held.select("node", "text").mapInArrow(run, "node bigint, bits binary").dropDuplicates(["node"])
-
+        held: list = []
+        count = 0
 
-def _all_pairs(rows: DataFrame, similarity: float, chunk: int) -> DataFrame:
-    """(a, b): pairs of nodes of different components that a token of (token, node, n, at, comp, bits) allows. Tokens of
-    over `chunk` rows are dealt into chunks, and each pair of chunks is compared on its own."""
-
-    def run(batches):
-        import pyarrow as pa
+        def out(part):
+            left, right = (np.array(x, np.int64) for x in pairs(part))
+            for at in range(0, len(left), 1 << 16):
+                a, b = left[at : at + (1 << 16)], right[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        def pairs(part):
-            node, n, at, comp = (part.column(c).to_numpy() for c in ("node", "n", "at", "comp"))
-            bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
-            for i in range(len(node) - 1):
-                m, bt = n[i + 1 :], at[i + 1 :]
-                ok = (comp[i + 1 :] != comp[i]) & (np.minimum(m, n[i]) >= similarity * np.maximum(m, n[i]) - 1e-9)
-                ok &= np.minimum(n[i] - at[i], m - bt) >= similarity / (1 + similarity) * (m + n[i]) - 1e-9
-                ok = np.flatnonzero(ok)
-                differ = np.bitwise_count(bits[i + 1 + ok] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                ok = ok[differ <= (1 - similarity) / (1 + similarity) * (m[ok] + n[i]) + 1e-9]
-                if len(ok):
-                    other = node[i + 1 :][ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], names=["a", "b"])
-
-        held = None
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            g = held.column("g").to_numpy()
-            starts = [0, *(np.flatnonzero(g[1:] != g[:-1]) + 1).tolist()]
-            for x, y in zip(starts, starts[1:], strict=False):
-                yield from pairs(held.slice(x, y - x))
-            held = held.slice(starts[-1])
-        if held is not None and held.num_rows:
-            yield from pairs(held)
+            held.append(batch)
+            count += batch.num_rows
+            if count < rows_at_once:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks()
+            g = whole.column("g").to_numpy()
+            last = int(np.flatnonzero(g == g[-1])[0])
+            if last:
+                yield from out(whole.slice(0, last))
+                held = whole.slice(last).to_batches()
+                count -= last
+        if count:
+            yield from out(pa.Table.from_batches(held).combine_chunks())
 
-    sizes = cut(rows.groupBy("token").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks")), "sizes")
-    dealt = attach(rows, "token", sizes).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.filter("chunks = 1 or own <> other").select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "node", "n", "at", "comp", "bits")
-    return dealt.repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = attach(dealt, "node", told.select("node", "n", "bits"))
+    return rows.select("g", "side", "node", "comp", "n", "bits").repartition(partitions(dealt.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _similar(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of which the texts in `held(node, text)` have so similar shingle sets (Jaccard)."""
+    """The pairs (a, b) of which the texts in `held(node, text)` have so similar shingle sets (Jaccard); a pair of which
+    a node is missing there is none."""
 
     def run(batches):
         import pyarrow as pa
@@ -420,71 +464,50 @@ def _similar(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -
                 near.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    spark = pairs.sparkSession
     left = attach(pairs, "a", held.select(F.col("node").alias("a"), F.col("text").alias("s")))
     both = attach(left, "b", held.select(F.col("node").alias("b"), F.col("text").alias("t")))
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # each row holds two whole texts
+        return cut(both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint"), "near")
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = 16, most_late: int = 1 << 15, class_size: int = 1024) -> DataFrame:
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, common: int = 16, most_late: int = 1 << 15, class_size: int = 1024, turns: int = 1) -> DataFrame:
     """(id, hash) of the rows of `docs` that go: of each component of near copies all but the row with the smallest
     id (null last), then hash. Near copies are rows whose sets of shingles of `width` words have at least that
     Jaccard similarity.
 
-    Candidates come from an exact prefix filter (see prefixes()), so no pair is missed whatever the edit. Tokens that
-    over `common` rows have go last in the order, the `most_late` commonest of them; which ones do changes the cost
-    alone. Each candidate pair is judged by the sets themselves. Rows are first compared with a few rows of
-    their token's; once that stops to join components, all pairs that are still in different ones are compared.
+    The trie self-join of the sets' fingerprints gives the first pairs. A Hamming budget that reaches down to the
+    similarity would join everything, so the rest come from an exact prefix filter (see prefixes()), which misses no
+    pair whatever the edit, among rows that the first pairs leave in different components. Every pair, wherever it
+    comes from, is judged by the sets themselves. Tokens that over `common` rows have go last in the order, the
+    `most_late` commonest of them; which ones do changes the cost alone. The rest is searched `turns` times by a
+    forest of candidates, no more than rows, and then once by all candidates that are left in different components.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text")).withColumn("node", F.xxhash64("id", "hash"))
-    spark = docs.sparkSession
-    counts = prefixes(rows, width, similarity, np.zeros(0, np.uint64)).groupBy("token").count().filter(F.col("count") > common)
-    late = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count")).limit(most_late).select("token").collect()], np.int64).view(np.uint64))
-    shared = cut(_shared(prefixes(rows, width, similarity, late)), "shared")
-    names = cut(shared.select("node").distinct(), "nodes")
-    held = cut(attach(rows, "node", names), "texts")
-    edges = spark.createDataFrame([], "a bigint, b bigint")
-    left, turn, before, roots = shared.withColumn("comp", F.col("node")), 0, None, None
-    while True:
-        several = left.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(F.struct(F.xxhash64("node", F.pmod("token", F.lit(4)), F.lit(turn)), "node", "comp", "n", "at")).alias("rep")).filter("x <> y").select("token", "rep")
-        open_rows = cut(attach(left, "token", cut(several, "several")), "open")
-        now = open_rows.count()
-        if not now:
-            break
-        last = before is not None and now > 0.7 * before
-        if last:
-            pairs = _all_pairs(attach(open_rows.drop("rep"), "node", cut(parities(held, width), "parities")), similarity, class_size)
-        else:
-            near = open_rows.filter((F.col("comp") != F.col("rep.comp")) & _fits(similarity, F.col("n"), F.col("at"), F.col("rep.n"), F.col("rep.at")))
-            pairs = near.select(F.least("node", "rep.node").alias("a"), F.greatest("node", "rep.node").alias("b")).distinct()
-        found = cut(_similar(cut(pairs, "pairs"), held.select("node", "text"), width, similarity), "near")
-        edges = edges.union(found)
-        if last or not found.isEmpty():
+    with Scope() as scope:
+        rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text")).withColumn("node", F.xxhash64("id", "hash"))
+        counts = prefixes(rows, width, similarity, np.zeros(0, np.uint64)).groupBy("token").count().filter(F.col("count") > common)
+        late = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count")).limit(most_late).select("token").collect()], np.int64).view(np.uint64))
+        tokens = cut(prefixes(rows, width, similarity, late), "tokens")
+        several = tokens.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
+        shared = cut(attach(tokens, "token", cut(several, "several")).distinct(), "shared")
+        forget(docs.sparkSession, tokens)
+        held = cut(attach(rows, "node", cut(shared.select("node").distinct(), "nodes")), "texts")
+        told = cut(marks(held, width), "marks")
+        texts_of = held.select("node", "text").dropDuplicates(["node"])
+        edges = _similar(cut(by_trie(told), "pairs"), texts_of, width, similarity)
+        left = shared
+        for turn in range(turns + 1):
             roots = cut(components(edges), "roots")
-            left = open_rows.drop("rep", "comp").join(roots, "node", "left").select("token", "node", "n", "at", F.coalesce("root", "node").alias("comp"))
-        else:
-            left = open_rows.drop("rep")
-        if last:
-            break
-        turn, before = turn + 1, now
-    if roots is None:
-        return held.select("id", "hash").limit(0)
-    own = cut(attach(held.select("node", "id", "hash"), "node", roots).distinct(), "components")
-    first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first"))
-    told = attach(own, "root", cut(first, "first"))
-    return told.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")))).select("id", "hash").distinct()
-
-
-def near_earlier(check: np.ndarray, limit: int, block: int = 256) -> np.ndarray:
-    """For long fingerprints (rows of uint64) in order: whether an earlier one differs in at most `limit` bits."""
-    out = np.zeros(len(check), bool)
-    for at in range(0, len(check), block):
-        part = check[at : at + block]
-        differ = np.zeros((len(part), at + len(part)), np.int32)
-        for i in range(check.shape[1]):
-            differ += np.bitwise_count(part[:, i, None] ^ check[None, : at + len(part), i])
-        earlier = np.arange(at + len(part))[None, :] < (at + np.arange(len(part)))[:, None]
-        out[at : at + block] = ((differ <= limit) & earlier).any(axis=1)
-    return out
+            left = left.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
+            left = left if turn else _needed(left)
+            pairs = cut(candidates(_dealt(left, class_size), told, similarity, turn < turns), "pairs")
+            edges = edges.union(_similar(pairs, texts_of, width, similarity))
+        roots = cut(components(edges), "roots")
+        own = cut(attach(held.select("node", "id", "hash"), "node", roots).distinct(), "components")
+        first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first"))
+        gone = attach(own, "root", cut(first, "first"))
+        gone = gone.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")))).select("id", "hash").distinct()
+        return scope.keep(cut(gone, "gone"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
