@@ -324,19 +324,42 @@ def test_contamination_of_odd_rows(docs, spark, monkeypatch):
     shout = "lead!! " + ITEMS[0][1].upper().replace(" ", "\n ") + " tail"
     df = docs([None, "", shout, shout, "a tiny thing", "word " * 500_000 + ITEMS[1][1] + " word" * 300_000], ids=[1, 2, 3, 3, 5, None])
     got = sorted(((r["id"], r["item"], r["edits"]) for r in decontaminate.contaminated(df, items).collect()), key=repr)
-    assert got == [(3, 1, 0), (3, 1, 0), (None, 2, 0)]
+    assert got == [(3, 1, 0), (3, 1, 0), (5, 3, 0), (None, 2, 0)]
     kept = decontaminate.keep_uncontaminated(df, items, edits=0.05)
-    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 5]
-    assert decontaminate.contaminated(df, items, block_chars=10).count() == 3  # an item a block
+    assert kept.schema == df.schema and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
+    for sizes in ({"block_chars": 10}, {"pass_chars": 10}, {"block_chars": 1, "pass_chars": 10**6}):  # an item a block, a pass
+        assert decontaminate.contaminated(df, items, **sizes).count() == 4
     assert decontaminate.contaminated(df, items.limit(0)).count() == 0 and decontaminate.contaminated(df.limit(0), items).count() == 0
 
 
-def test_long_items_are_found_by_their_parts(docs, spark):
+def test_long_items_are_decided_on_the_whole(docs, spark):
     rng = random.Random(1)
     long = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(300))
+    changed = list(long)
+    for p in rng.sample(range(len(long)), 100):
+        changed[p] = "z"
     items = spark.createDataFrame([(1, long)], "item_id bigint, text string")
-    got = decontaminate.contaminated(docs([long[:900], long[100:300]]), items).collect()
-    assert [r["id"] for r in got] == [1]
+    got = decontaminate.contaminated(docs(["x " * 50 + long, "".join(changed) + " y", long[:1500], long[: int(len(long) * 0.95)]]), items).collect()
+    assert sorted(r["id"] for r in got) == [1, 2, 4]
+
+
+def test_short_items_match_unchanged_words():
+    found = decontaminate.items([(1, "tiny"), (2, "A b!"), (3, "tiny"), (4, "!?")])
+    texts = [b"a tiny thing", b"tinyer, untiny", b"xa b", b"b a  B a", b"", None, b"tiny"]
+    got = list(decontaminate.scan(found, texts))
+    assert got == [{1: (0, 2, 6), 3: (0, 2, 6)}, {}, {}, {2: (0, 2, 5)}, {}, {}, {1: (0, 0, 4), 3: (0, 0, 4)}]
+
+
+def test_band_has_the_best_alignment():
+    rng = random.Random(4)
+    for _ in range(300):
+        item = "".join(rng.choices("abc", k=rng.randrange(4, 30)))
+        text = "".join(rng.choices("abc", k=rng.randrange(0, 12))) + "".join(c for c in item if rng.random() < 0.9) + "".join(rng.choices("abc", k=rng.randrange(0, 12)))
+        best = edit_distance_inside(item, text)
+        whole = decontaminate.distance(decontaminate.codes(item), decontaminate.codes(text), len(item), -len(item), len(item) + len(text) + 1)
+        assert whole is not None and whole[0] == best
+        assert edit_distance_inside(item, text[whole[1] : whole[2]]) == best and edit_distance_inside(text[whole[1] : whole[2]], item) >= 0
+        assert decontaminate.distance(decontaminate.codes(item), decontaminate.codes(text), best - 1, -len(item), len(item) + len(text) + 1) is None
 
 
 # ---- licenses
