@@ -8,6 +8,7 @@ import math
 import random
 import re
 import tarfile
+import textwrap
 import urllib.parse
 import zlib
 
@@ -365,29 +366,107 @@ def test_band_has_the_best_alignment():
 # ---- licenses
 
 
-def test_license_detection(docs):
-    texts = ["code\nLicensed under the Apache License, Version 2.0.\nmore", "Released under the MIT License.", "we licensed a song to a film", None, "", "text without", ("long line " * 500) + "Licensed under CC BY-NC 4.0." + (" long line" * 500)]
-    df = docs(texts).withColumn("path", F.concat(F.lit("d/f"), "doc_id"))
-    got = {r["id"]: r["license"] for r in licenses.detect(df).collect()}
-    assert got == {1: "Apache-2.0", 2: "MIT", 3: None, 4: None, 5: None, 6: None, 7: got[7]}
+def wrapped(text, prefix="", width=70):
+    return "\n".join(prefix + line for line in textwrap.wrap(text, width))
+
+
+GNU = "This {what} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version."
+# license, and texts that carry it
+LABELLED = {
+    "GPL-3.0": (
+        wrapped(GNU.format(what="program", a=":", b=",", name="General Public License", version="3"), "# "),
+        "/*\n" + wrapped(GNU.format(what="program", a=":", b=",", name="General Public License", version="3").replace("This program", "Foo"), " * ") + "\n */\nint main;",
+        "// SPDX-License-Identifier: GPL-3.0-or-later", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation",
+    ),
+    "GPL-2.0": (wrapped(GNU.format(what="program", a=";", b=";", name="General Public License", version="2")), "SPDX-License-Identifier: GPL-2.0-only", "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991"),
+    "LGPL-2.1": (wrapped(GNU.format(what="library", a=";", b=";", name="Lesser General Public License", version="2.1"), "-- ", 40),),
+    "LGPL-3.0": (wrapped(GNU.format(what="library", a=":", b=",", name="Lesser General Public License", version="3")), "GNU LESSER GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007"),
+    "AGPL-3.0": (wrapped(GNU.format(what="program", a=":", b=",", name="Affero General Public License", version="3"), "; "),),
+    "MIT": ("Copyright 2020 Jane Doe. Licensed under the MIT License.", "MIT License\n\nCopyright (c) 2020 Jane\n\n" + wrapped(licenses.TEMPLATES["MIT"][2]), "prose that says it is licensed under the MIT License and goes on for some time after that", "# SPDX-License-Identifier: MIT"),
+    "Apache-2.0": ("Copyright 2021 X\n\n" + wrapped(licenses.TEMPLATES["Apache-2.0"][1]) + "\n\n" + wrapped(licenses.TEMPLATES["Apache-2.0"][2]), "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"),
+    "BSD-3-Clause": ("Copyright (c) 1998, Y. All rights reserved.\n\n" + wrapped(licenses.TEMPLATES["BSD-3-Clause"][0], "  "),),
+    "BSD-2-Clause": (wrapped(licenses.TEMPLATES["BSD-2-Clause"][0], "// ", 90), "SPDX-License-Identifier: BSD-2-Clause"),
+    "ISC": (wrapped(licenses.TEMPLATES["ISC"][0]),),
+    "MPL-2.0": (wrapped(licenses.TEMPLATES["MPL-2.0"][0], " * "),),
+    "EPL-2.0": ("SPDX-License-Identifier: EPL-2.0",),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons\nAttribution-ShareAlike 4.0 International License.",),
+    "CC-BY-NC-4.0": (("long line " * 500) + "Licensed under CC BY-NC 4.0." + (" long line" * 500),),
+    "CC0-1.0": ("CC0 1.0 Universal",),
+    None: (None, "", " \n", "text without", "we licensed a song to a film under the license", "SPDX-License-Identifier: Foo-1.0", "Copyright 2020 Jane Doe. All rights reserved.", "see the license file for the terms of this software"),
+}
+
+
+def test_labelled_notices(docs, table):
+    df = docs([t for found in LABELLED.values() for t in found]).withColumn("path", F.concat(F.lit("d/f"), "doc_id"))
+    # among the documents, so that words have their usual frequencies
+    others = table("documents", "sf0.01").select((F.col("doc_id") + 10_000).alias("doc_id"), "text", F.lit("p").alias("path"))
+    got = {r["id"]: r["license"] for r in licenses.detect(df.select("doc_id", "text", "path").union(others)).collect()}
+    want = [name for name, found in LABELLED.items() for _ in found]
+    assert [got[i] for i in range(1, len(want) + 1)] == want
     assert licenses.detect(df.limit(0)).count() == 0
 
 
-def test_cosine_like_brute_force():
-    scorer = licenses.Scorer({"the": 900, "license": 30, "version": 20}, 1000)
-    text = b"Licensed under the Apache License, Version 2.0 (c) 2020 Someone"
-    weight = lambda n, w: (1 + math.log(n)) * scorer.idf.get(w, scorer.other)
-    words = licenses.words(text)
-    a = {w: weight(words.count(w), w) for w in set(words)}
-    best = []
-    for name, notices in licenses.TEMPLATES.items():
-        for notice in notices:
-            t = licenses.words(notice.encode())
-            b = {w: weight(t.count(w), w) for w in set(t)}
-            dot = sum(a[w] * b[w] for w in a.keys() & b.keys())
-            best.append((dot / math.sqrt(sum(v * v for v in a.values())) / math.sqrt(sum(v * v for v in b.values())), name))
-    score, name = max(best)
-    assert scorer.best(text, 0.1) == (name, pytest.approx(score))
+def brute_cosines(scorer, text):
+    """Every window of every template's length."""
+    tokens = licenses.words(text)
+    weight = lambda n, w: n * scorer.idf.get(w, scorer.other)
+    out = {}
+    for name, notice in licenses.notices():
+        b = {w: weight(notice.count(w), w) for w in set(notice)}
+        size = min(len(notice), len(tokens))
+        for at in range(len(tokens) - size + 1):
+            part = tokens[at : at + size]
+            a = {w: weight(part.count(w), w) for w in set(part)}
+            score = sum(a[w] * b[w] for w in a.keys() & b.keys()) / math.sqrt(sum(v * v for v in a.values())) / math.sqrt(sum(v * v for v in b.values()))
+            out[name] = max(out.get(name, 0), score)
+    return {k: v for k, v in out.items() if v >= 0.5}
+
+
+def test_cosines_like_brute_force(monkeypatch):
+    scorer = licenses.Scorer({"the": 900, "license": 30, "version": 20, "of": 800}, 1000)
+    rng = random.Random(2)
+    pool = [w.decode() for _, n in licenses.notices()[::7] for w in n] + ["other", "the", "of", "license"] * 9
+    for chunk in (1 << 13, 16):
+        monkeypatch.setattr(licenses, "CHUNK", chunk)
+        for k in range(6):
+            text = " ".join(rng.choices(pool, k=rng.randrange(1, 80))) + " license " + LABELLED["MIT"][k % 4] + " " + " ".join(rng.choices(pool, k=40))
+            assert scorer.all(text.encode(), 0.5) == pytest.approx(brute_cosines(scorer, text.encode()))
+
+
+def test_notices_across_pieces(monkeypatch):
+    scorer = licenses.Scorer({}, 10)
+    text = ("word " * 40 + wrapped(licenses.TEMPLATES["MIT"][2]) + " word" * 40).encode()
+    whole = scorer.all(text, 0.5)
+    monkeypatch.setattr(licenses, "pieces", lambda data: __import__("shardwell.llm.common", fromlist=["pieces"]).pieces(data, 50))
+    assert scorer.all(text, 0.5) == pytest.approx(whole) and whole["MIT"] == pytest.approx(1)
+
+
+def test_license_query_like_brute_force(spark, table):
+    docs = licenses.placed(table("documents")).collect()
+    count = {}
+    for r in docs:
+        for w in set(licenses.words(r["text"].encode())) & licenses.VOCABULARY:
+            count[w.decode()] = count.get(w.decode(), 0) + 1
+    scorer = licenses.Scorer(count, len(docs))
+    own = {}
+    for r in docs:
+        found = sorted(((v, k) for k, v in brute_cosines(scorer, r["text"].encode()).items() if v >= 0.85), reverse=True) if b"icens" in r["text"].encode() else []
+        own[r["doc_id"]] = found[0][1] if found and (len(found) == 1 or found[0][0] - found[1][0] >= 0.01) else None
+    held = {}
+    for r in docs:
+        if own[r["doc_id"]] and "/LICENSE" in r["path"]:
+            folder = r["path"].rpartition("/")[0]
+            held[folder] = min(held.get(folder, "~"), own[r["doc_id"]])  # all of one similarity
+    got = {r["doc_id"]: (r["license"], r["origin"]) for r in licenses.op4_licenses(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs:
+        folder, lic = r["path"].rpartition("/")[0], own[r["doc_id"]]
+        if lic:
+            want = lic, "file" if "/LICENSE" in r["path"] else "header"
+        else:
+            up = next((a for a in (folder, folder.rpartition("/")[0], folder.rpartition("/")[0].rpartition("/")[0]) if a in held), None)
+            want = (held[up], "inherited") if up else (None, "none")
+        assert got[r["doc_id"]] == want
+    assert any(v for v in own.values())
 
 
 def test_inheritance_like_brute_force(spark):
@@ -399,7 +478,7 @@ def test_inheritance_like_brute_force(spark):
         file = rng.choice(["LICENSE", "COPYING.txt", "x.py", "y.py"])
         rows.append((i, "/".join([*folder, f"{file}{i}" if file[0] in "xy" else file]), rng.choice([None, None, None, "MIT", "GPL-3.0"]), float(rng.randrange(1, 9))))
     rows += [(900, None, None, 0.0), (901, "/abs/x.py", None, 0.0), (902, "x.py", None, 0.0)]
-    got = {r["id"]: (r["license"], r["origin"], r["origin_dir"]) for r in licenses.inherit(spark.createDataFrame(rows, "id bigint, path string, license string, similarity double"), spread=3).collect()}
+    got = {r["id"]: (r["license"], r["origin"], r["origin_dir"]) for r in licenses.inherit(spark.createDataFrame(rows, "id bigint, path string, license string, similarity double")).collect()}
     folder_of = lambda p: p.rpartition("/")[0]
     is_file = lambda p: p is not None and re.match(r"(?i)(un)?licen[cs]e|copying|notice", p.rpartition("/")[2]) is not None
     held: dict[str, tuple] = {}
