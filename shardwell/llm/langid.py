@@ -2,12 +2,16 @@
 
 Subwords are the byte 2-, 3- and 4-grams of the lowered text with everything but letters made a space. Each
 hashes to one of `buckets` embeddings; a document is their mean over all its subwords, and a linear softmax
-gives the language. Trained by stochastic gradient descent in numpy on a bounded sample of the labelled rows;
-a temperature and a rejection level are set on labelled rows kept out of training.
+gives the language. Trained by stochastic gradient descent in numpy on a bounded sample of the labelled rows.
+
+A text is rejected for either of two things, whose levels are set on labelled rows kept out of training: its
+calibrated probability is too low, or its subwords are too strange to the language that it is given. How strange
+those of an unknown language are is told by each known one as the others see it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
@@ -40,13 +44,13 @@ def prepared(text: bytes) -> list[bytes]:
 
 
 def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text's subwords and their shares; nothing for a text of no bytes."""
-    counts = np.zeros(BUCKETS)
+    """Buckets of a text's subwords and how often each occurs; nothing for a text of no bytes."""
+    counts = np.zeros(BUCKETS, np.int64)
     for piece in prepared(text):
         for _, hashed in _hashed(np.frombuffer(piece, np.uint8)):
             counts += np.bincount(hashed, minlength=BUCKETS)
     found = np.flatnonzero(counts)
-    return found.astype(np.int32), (counts[found] / max(counts.sum(), 1)).astype(np.float32)
+    return found.astype(np.int32), counts[found]
 
 
 @dataclass
@@ -58,12 +62,16 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     reject_below: float = 0.0
+    likely: np.ndarray | None = None  # buckets x langs: log share of the bucket in the language's subwords
+    slack: float = 0.0  # how far a short text may stray, times the root of its subwords
+    familiar: float = -np.inf  # the least mean of `likely`, slack added
     figures: dict = field(default_factory=dict)
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
-        z = (logits + self.bias) / self.temperature
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        return z / z.sum(axis=1, keepdims=True)
+        return _softmax((logits + self.bias) / self.temperature)
+
+    def strange(self, mean: np.ndarray, subwords: np.ndarray) -> np.ndarray:
+        return mean + self.slack / np.sqrt(np.maximum(subwords, 1)) < self.familiar
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -72,27 +80,27 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 8, rate: float = 4.0, reject_share: float = 0.001, seed: int = 7) -> Model:
-    """Fit on (lang, buckets, shares). Every tenth row is kept out to set the temperature and the rejection
-    level, below which no more than `reject_share` of rightly placed kept-out rows fall. No rows: a model
-    without languages, which gives `und` with score 0; one language: always that one."""
+    """Fit on (lang, buckets, counts); every tenth row is kept out for calibration. No rows: a model without
+    languages, which gives `und` with score 0; one language: always that one."""
     langs = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
     index = {x: i for i, x in enumerate(langs)}
+    rows = [r for r in rows if len(r[1])]
     kept_out = [r for i, r in enumerate(rows) if i % 10 == 9]
     fit = [r for i, r in enumerate(rows) if i % 10 != 9]
     embedding = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     weights = rng.uniform(-1 / dim, 1 / dim, (dim, len(langs))).astype(np.float32)
     bias = np.zeros(len(langs), np.float32)
+    seen = np.zeros((BUCKETS, len(langs)))
     steps, done = epochs * len(fit), 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
         for i in rng.permutation(len(fit)):
-            lang, found, share = fit[i]
+            lang, found, counts = fit[i]
+            share = (counts / counts.sum()).astype(np.float32)
             lr = rate * (1 - done / steps)
             done += 1
-            if not len(found):
-                continue
             hidden = share @ embedding[found]
             error = _softmax(hidden @ weights + bias)
             error[index[lang]] -= 1
@@ -100,51 +108,81 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs:
             weights -= (lr * 0.1) * np.outer(hidden, error)
             bias -= (lr * 0.01) * error
             embedding[found] -= lr * np.outer(share, back)
+            if not epoch:
+                seen[found, index[lang]] += share
     model = Model(langs, (embedding @ weights).astype(np.float32), bias)
-    usable = [r for r in kept_out or fit if len(r[1])]
-    if usable:
-        logits = np.array([r[2] @ model.scores[r[1]] for r in usable])
-        truth = np.array([index[r[0]] for r in usable])
-        losses = []
-        for t in np.geomspace(0.2, 5, 40):
-            model.temperature = float(t)
-            losses.append((-np.log(np.maximum(model.probabilities(logits)[np.arange(len(truth)), truth], 1e-12)).mean(), t))
-        model.temperature = float(min(losses)[1])
-        p = model.probabilities(logits)
-        right = p.argmax(axis=1) == truth
-        sure = np.sort(p.max(axis=1)[right])
-        level = float(sure[int(len(sure) * reject_share)]) if len(sure) else 0.0
-        model.reject_below = min(level, 0.5, 1.5 / len(langs))
-        model.figures = {"kept_out": len(usable), "right": float(right.mean()), "temperature": model.temperature, "reject_below": model.reject_below}
+    model.likely = np.log(seen / np.maximum(seen.sum(axis=0), 1e-9) + 1e-6).astype(np.float32)
+    if usable := kept_out or fit:
+        calibrate(model, usable, reject_share)
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 3000, held_out: tuple[int, int] = (4, 2)) -> Model:
-    """Train on at most `sample` rows: those with the smallest hash of the id, among rows with a lang whose
-    crc32(id as text) mod held_out[0] is not held_out[1]. Only their subword shares come to the driver."""
+def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], reject_share: float) -> None:
+    """Set the temperature, as if one row more had been misplaced, and the two levels of rejection."""
+    index = {x: i for i, x in enumerate(model.langs)}
+    at = np.arange(len(rows))
+    sizes = np.array([r[2].sum() for r in rows], float)
+    means = lambda table: np.array([r[2] @ table[r[1]].astype(float) for r in rows]) / sizes[:, None]
+    logits, likely = means(model.scores), means(model.likely)
+    truth = np.array([index[r[0]] for r in rows])
+    losses = []
+    for t in np.geomspace(0.01, 5, 80):
+        model.temperature = float(t)
+        p = np.maximum(model.probabilities(logits), 1e-12)
+        losses.append((-np.log(p[at, truth]).sum() - np.log(np.maximum(1 - p[at, truth], 1e-12)).mean(), t))
+    model.temperature = float(min(losses)[1])
+    p = model.probabilities(logits)
+    right = p.argmax(axis=1) == truth
+    sure = np.sort(p.max(axis=1)[right])
+    low = lambda x: float(np.sort(x)[int(len(x) * reject_share)])
+    model.reject_below = min(low(sure), 1.2 / len(model.langs), 0.5) if len(sure) else 0.0
+    own = likely[at, truth]
+    # the mean over n subwords, of which each three or so overlap, strays by three standard errors at most
+    spread = np.mean([r[2] @ (model.likely[r[1], c].astype(float) - m) ** 2 / r[2].sum() for r, c, m in zip(rows, truth, own, strict=True)])
+    model.slack = 3 * math.sqrt(3 * spread)
+    ease = model.slack / np.sqrt(sizes)
+    lowest = low(own + ease)
+    if len(model.langs) > 1:
+        # each language as the others see it stands for one that no row has
+        others = np.where(truth[:, None] == np.arange(len(model.langs)), -np.inf, likely).max(axis=1)
+        model.familiar = min(lowest, (lowest + 2 * float(np.median(others))) / 3)
+    else:
+        model.familiar = lowest - 2.0
+    model.figures = {"kept_out": len(rows), "right": float(right.mean()), "temperature": model.temperature, "reject_below": model.reject_below, "slack": model.slack, "familiar": model.familiar}
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 4000, most_langs: int = 200, held_out: tuple[int, int] = (4, 2)) -> Model:
+    """Train on about `sample` rows in equal shares of the languages, the `most_langs` commonest at most: those with
+    the smallest hash of the id, among rows with an id and a lang whose crc32(id as text) mod held_out[0] is not
+    held_out[1]. Only their subword counts come to the driver, and no more rows than `sample`, however often an id
+    repeats."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    slim = slim.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(remainder("id", held_out[0]) == held_out[1], F.lit(False))).withColumn("h", F.xxhash64(F.lit("langid"), "id"))
-    edge = slim.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if edge is None:
+    slim = slim.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & (remainder("id", held_out[0]) != held_out[1])).withColumn("h", F.xxhash64(F.lit("langid"), "id"))
+    sizes = slim.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()
+    if not sizes:
         return train([])
+    # hashes are even, so a share of their range holds that share of the rows
+    upto = {r["lang"]: min(2**63 - 1, int(1.1 * sample / len(sizes) / r["count"] * 2**64) - 2**63) for r in sizes}
+    edge = F.create_map(*[x for k, v in upto.items() for x in (F.lit(k), F.lit(v))])
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             found = [features(t or b"") for t in texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0].tobytes() for f in found], pa.binary()), pa.array([f[1].tobytes() for f in found], pa.binary())], names=["h", "lang", "buckets", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0].astype(np.uint16).tobytes() for f in found], pa.binary()), pa.array([np.minimum(f[1], 65535).astype(np.uint16).tobytes() for f in found], pa.binary())], names=["h", "lang", "buckets", "counts"])
 
-    rows = slim.filter(F.col("h") <= edge).select("h", "lang", "text").mapInArrow(run, "h bigint, lang string, buckets binary, shares binary")
-    got = sorted((r.h, r.lang, bytes(r.buckets), bytes(r.shares)) for r in rows.collect())
-    return train([(lang, np.frombuffer(b, np.int32), np.frombuffer(s, np.float32)) for _, lang, b, s in got[:sample]])
+    rows = slim.filter(F.col("text").isNotNull() & (F.col("h") <= F.element_at(edge, F.col("lang")))).select("h", "lang", "text").mapInArrow(run, "h bigint, lang string, buckets binary, counts binary")
+    got = sorted((r.h, r.lang, bytes(r.buckets), bytes(r.counts)) for r in rows.orderBy("h", "lang", F.xxhash64("buckets", "counts")).limit(sample).collect())
+    return train([(lang, np.frombuffer(b, np.uint16).astype(np.int32), np.frombuffer(c, np.uint16).astype(np.int64)) for _, lang, b, c in got])
 
 
 def predict(model: Model, column) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(lang, score, rejected) for an Arrow string array: `und` with score 0, rejected, where the text is null
-    or has no letter; else the likeliest language, rejected where its calibrated probability is too low."""
+    or has no letter; else the likeliest language, rejected where its calibrated probability is too low or the text's
+    subwords are too strange to it."""
     n, k = len(column), len(model.langs)
-    sums, grams = np.zeros((n, max(k, 1))), np.zeros(n)
+    sums, grams = np.zeros((n, max(k, 1)), complex), np.zeros(n)  # scores and, as the imaginary part, `likely`
     empty = np.ones(n, bool)
     held: list[bytes] = []
     owner: list[int] = []
@@ -170,7 +208,7 @@ def predict(model: Model, column) -> tuple[list[str], np.ndarray, np.ndarray]:
         owner.clear()
         size = 0
 
-    columns = [np.ascontiguousarray(model.scores[:, c]) for c in range(k)]
+    columns = [(model.scores[:, c] + 1j * model.likely[:, c]).astype(np.complex64) for c in range(k)]
     for i, text in enumerate(texts(column)):
         if not text:
             continue
@@ -185,10 +223,12 @@ def predict(model: Model, column) -> tuple[list[str], np.ndarray, np.ndarray]:
     flush()
     if not k:
         return ["und"] * n, np.zeros(n), np.ones(n, bool)
-    p = model.probabilities(sums[:, :k] / np.maximum(grams, 1)[:, None])
+    means = sums[:, :k] / np.maximum(grams, 1)[:, None]
+    p = model.probabilities(means.real)
     score = np.where(empty, 0.0, p.max(axis=1))
     best = p.argmax(axis=1)
-    return ["und" if e else model.langs[b] for e, b in zip(empty, best, strict=True)], score, empty | (score < model.reject_below)
+    strange = model.strange(means.imag[np.arange(n), best], grams)
+    return ["und" if e else model.langs[b] for e, b in zip(empty, best, strict=True)], score, empty | (score < model.reject_below) | strange
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -208,7 +248,8 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that the model does not reject, with all columns as they are."""
+    """The rows of `docs` that the model does not reject, with all columns as they are. Null and letterless texts go;
+    repeated rows share their fate; an empty table stays empty."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

@@ -243,6 +243,64 @@ def test_language_of_odd_rows(docs, table):
     assert langid.identify(docs(["x"]).limit(0), model).count() == 0
 
 
+STRANGE = {
+    "Finnish": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "Polish": "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem.",
+    "Russian": "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Japanese": "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。",
+    "noise": "xq zkj qwpx vbnm zzxk jkqw pqzx wvkx jjqz kxqv bnzx fghj wqxz",
+}
+
+
+def test_language_rejects_what_no_row_had(docs, spark, table):
+    model = langid.fit(table("documents", "sf0.01"))
+    got = langid.identify(docs([*STRANGE.values()]), model).collect()
+    assert all(r["rejected"] and r["lang"] in model.langs for r in got)
+    known = langid.identify(table("documents", "sf0.01"), model).collect()
+    assert sum(r["rejected"] for r in known) <= 0.002 * len(known)
+    assert 0.01 < model.temperature < 5
+
+
+def test_language_like_brute_force(table):
+    import pyarrow as pa
+
+    model = langid.fit(table("documents"))
+    texts = [r["text"] for r in table("documents").limit(25).collect()] + ["a", "Ünï CÖDE", "one.two", *STRANGE.values()]
+    langs, scores, rejected = langid.predict(model, pa.array(texts))
+    for text, lang, score, no in zip(texts, langs, scores, rejected, strict=True):
+        low = text.lower().encode()
+        data = b" " + bytes(c if c >= 128 or chr(c).islower() else 32 for c in low).strip() + b" "
+        sums, likely, n = [0.0] * len(model.langs), [0.0] * len(model.langs), 0
+        for size in (2, 3, 4):
+            for at in range(len(data) - size + 1):
+                bucket = (int.from_bytes(data[at : at + size], "big") * 2654435761 + size * 40503) % 2**32 >> 17
+                n += 1
+                for c in range(len(model.langs)):
+                    sums[c] += float(model.scores[bucket, c])
+                    likely[c] += float(model.likely[bucket, c])
+        z = [math.exp((s / n + float(b)) / model.temperature) for s, b in zip(sums, model.bias, strict=True)]
+        best = max(range(len(z)), key=z.__getitem__)
+        assert lang == model.langs[best] and score == pytest.approx(z[best] / sum(z), abs=1e-5)
+        margin = likely[best] / n + model.slack / math.sqrt(n) - model.familiar
+        if abs(margin) > 1e-4 and abs(score - model.reject_below) > 1e-4:
+            assert no == (margin < 0 or score < model.reject_below)
+
+
+def test_language_sample_is_bounded(docs, spark):
+    rng = random.Random(3)
+    vocabulary = {"en": "the and of house river stone", "xx": "zu za zi zoro zaro ziro"}
+    rows = [(None, "zz", "qq qq")] * 500 + [(7, "zz", "qq qq qq")] * 500
+    rows += [(i, lang, " ".join(rng.choices(vocabulary[lang].split(), k=30))) for i, lang in enumerate(["en"] * 900 + ["xx"] * 60, 100)]
+    seen = []
+    real, langid.train = langid.train, lambda rows: seen.append(rows) or real(rows)
+    try:
+        model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), sample=200)
+    finally:
+        langid.train = real
+    kinds = [r[0] for r in seen[0]]
+    assert len(kinds) <= 200 and kinds.count("xx") >= 20 and kinds.count("en") >= 30 and "xx" in model.langs
+
+
 def test_language_batches_do_not_matter(table):
     import pyarrow as pa
 
