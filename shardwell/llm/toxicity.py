@@ -7,20 +7,23 @@ logarithm of its length in words; a logistic curve turns it into a score.
 
 Terms and weights are learned: words and word beginnings (stems) that labelled toxic documents have far more
 often than clean ones, weighed by their log odds, beside a small fixed seed list. A stem is written with a
-final "*" and matches where a word begins.
+final "*" and matches where a word begins. What is learned from is bounded by parameters of fit(): the labelled
+rows (`sample`), the terms considered (`candidates`, the best by odds) and the terms kept (`terms`).
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, remainder, table, texts
+from .common import SPACE, Scope, cut, pieces, remainder, table, texts
 from .simhash import shingle_hashes
 
 # Letters that look Latin, and digits and signs written for letters.
@@ -108,50 +111,61 @@ def hits(automaton, folded: str) -> list[tuple[int, int, str, float]]:
     return sorted(seen.values())
 
 
+def with_borders(data: bytes, around: int = 256) -> Iterator[tuple[bytes, bytes, bytes]]:
+    """The pieces of a text, each with some bytes of words before and after it, for phrases that a cut parts."""
+    before, at = b"", 0
+    for body in pieces(data):
+        end = at + len(body)
+        found = SPACE.search(data, min(end + around, len(data)))
+        after = data[end : found.start() if found else len(data)] if end < len(data) else b""
+        yield before, body, after
+        start = max(0, end - around)
+        found = SPACE.search(data, start)
+        before, at = data[found.start() if found and found.start() < end and start else start : end], end
+
+
 def measure(automaton, text: bytes | None) -> tuple[float, int, list]:
     """(sum of weights, words, hits) of a whole text; null counts as empty. Offsets are in the folded text."""
     weight, n_words, found, base = 0.0, 0, [], 0
-    for piece in pieces(text or b""):
-        folded = fold(piece.decode("utf-8", "replace"))
-        got = hits(automaton, folded)
+    for parts in with_borders(text or b""):
+        before, body, after = (fold(p.decode("utf-8", "replace")) for p in parts)
+        low, high = len(before), len(before) + len(body)
+        got = [h for h in hits(automaton, before + body + after) if low <= h[0] < high]
         weight += sum(h[3] for h in got)
-        found += [(base + a, base + b, term, w) for a, b, term, w in got]
-        n_words += len(folded.split())
-        base += len(folded)
+        found += [(base + a - low, base + b - low, term, w) for a, b, term, w in got]
+        n_words += len(body.split())
+        base += len(body)
     return weight, n_words, found
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, held_out: tuple[int, int]) -> DataFrame:
-    """(toxic, text, _id) of at most `sample` labelled documents outside the held-out fold, by the hash of the id."""
+    """(toxic, text) of at most `sample` labelled documents outside the held-out fold, by the hash of the id; of rows
+    that repeat an id, the least text. Of documents that share their least three-word shingle hash one stays: near
+    copies of a document are no further witnesses for its words. What is broadcast is ids of the bounded sample."""
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (remainder(id_col, held_out[0]) != held_out[1]))
-    marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("toxic")).orderBy(F.xxhash64(F.lit("toxic"), "_id")).limit(sample)
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id").select(F.col("toxic").cast("int").alias("toxic"), "text", "_id")
-
-
-def apart(rows: DataFrame) -> DataFrame:
-    """One row of each group that shares its least three-word shingle hash: near copies of a document are no
-    further witnesses for its words. What is broadcast is ids of the bounded sample."""
+    marks = marks.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("toxic")).orderBy(F.xxhash64(F.lit("toxic"), "_id")).limit(sample)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "_id").groupBy("_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            least = [min(map(min, shingle_hashes(t)), default=0) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.array(least, np.uint64).view(np.int64))], names=["_id", "least"])
+            least = [min(map(min, shingle_hashes(t)), default=0) for t in texts(batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(least, np.uint64).view(np.int64))], names=["_id", "toxic", "text", "least"])
 
-    first = rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, least bigint").groupBy("least").agg(F.min("_id").alias("_id"))
-    return rows.join(F.broadcast(first.select("_id")), "_id", "left_semi").select("toxic", "text")
+    rows = cut(rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, toxic int, text string, least bigint"), "labelled")
+    first = rows.groupBy("least").agg(F.min("_id").alias("_id")).select("_id")
+    return cut(rows.join(F.broadcast(first), "_id", "left_semi").select("toxic", "text"), "learning")
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 256, held_out: tuple[int, int] = (3, 1)) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = 20_000, terms: int = 256, candidates: int = 16_384, least: float = 2.5, held_out: tuple[int, int] = (3, 1)) -> Lexicon:
     """Learn terms, weights and the score's curve from at most `sample` labelled rows whose crc32(id as text)
     mod held_out[0] is not held_out[1]. A document labelled twice counts as toxic if any label says so; null
-    ids and labels are passed over. Without labels the seed list and a default curve hold."""
-    rows = apart(labelled(docs, labels, id_col, text_col, label_col, sample, held_out))
+    ids and labels are passed over. Terms of log odds below `least`, and of under 1 % of the toxic documents, are
+    left out where they are counted. Without labels the seed list and a default curve hold."""
 
     def count(batches):
         import pyarrow as pa
-        from collections import Counter
 
         toxic, clean, n = Counter(), Counter(), [0, 0]
         for batch in batches:
@@ -165,24 +179,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         names = [None, *toxic.keys() | clean.keys()]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([n[1], *(toxic[w] for w in names[1:])], pa.int64()), pa.array([n[0], *(clean[w] for w in names[1:])], pa.int64())], names=["word", "toxic", "clean"])
 
-    counted = rows.mapInArrow(count, "word string, toxic bigint, clean bigint").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    enough = counted.filter("word is null or (toxic >= 5 and toxic > clean)").orderBy(F.col("word").isNotNull(), F.desc("toxic"), "word").limit(terms * 8 + 1).collect()
-    totals = next(((r.toxic, r.clean) for r in enough if r.word is None), (0, 0))
-    weights = dict.fromkeys(SEEDS, 3.0) | chosen({r.word: (r.toxic, r.clean) for r in enough if r.word is not None}, totals, terms)
-    lexicon = Lexicon(weights)
-    if not totals[0] or not totals[1]:
-        return lexicon
-
-    def weigh(batches):
-        import pyarrow as pa
-
-        automaton = lexicon.automaton()
-        for batch in batches:
-            got = [measure(automaton, t)[:2] for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalised(*g) for g in got], pa.float64())], names=["toxic", "x"])
-
-    points = rows.mapInArrow(weigh, "toxic int, x double").collect()
-    return curve(lexicon, np.array([p.x for p in points]), np.array([p.toxic > 0 for p in points], float))
+    with Scope():
+        rows = labelled(docs, labels, id_col, text_col, label_col, sample, held_out)
+        total = rows.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
+        totals = total["toxic"], total["clean"]
+        if not totals[0]:
+            return Lexicon(dict.fromkeys(SEEDS, 3.0))
+        counted = rows.mapInArrow(count, "word string, toxic bigint, clean bigint").filter("word is not null").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        odds = F.log((F.col("toxic") + 0.5) / (totals[0] + 1)) - F.log((F.col("clean") + 0.5) / (totals[1] + 1))
+        good = counted.withColumn("odds", odds).filter((F.col("odds") >= least) & (F.col("toxic") >= max(5, 0.01 * totals[0])))
+        best = good.orderBy(-F.round(F.least("odds", F.lit(6.0))), F.desc("toxic"), "word").limit(candidates).collect()
+        lexicon = Lexicon(dict.fromkeys(SEEDS, 3.0) | chosen({r.word: (r.toxic, r.clean) for r in best}, totals, terms, least))
+        if not totals[1]:
+            return lexicon
+
+        def weigh(batches):
+            import pyarrow as pa
+
+            automaton = lexicon.automaton()
+            for batch in batches:
+                got = [measure(automaton, t)[:2] for t in texts(batch.column(1))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([normalised(*g) for g in got], pa.float64())], names=["toxic", "x"])
+
+        points = rows.mapInArrow(weigh, "toxic int, x double").collect()  # `sample` pairs of numbers at most
+        return curve(lexicon, np.array([p.x for p in points]), np.array([p.toxic > 0 for p in points], float))
 
 
 def chosen(counts: dict[str, tuple[int, int]], totals: tuple[int, int], terms: int, least: float = 2.5) -> dict[str, float]:

@@ -200,11 +200,44 @@ def test_score_falls_with_length_and_rises_with_hits():
     assert lexicon.score(15, 1000) > lexicon.score(5, 1000) and 0 <= lexicon.score(0, 0) <= 1
 
 
-def test_toxicity_on_held_out_documents(spark, table):
-    got = toxicity.op3_toxicity(spark, "/root/testdata/sf0.01").join(table("labels", "sf0.01"), "doc_id").join(table("documents", "sf0.01").select("doc_id", "lang"), "doc_id")
-    rows = got.filter("held_out and lang = 'en'").collect()
-    hit = [r for r in rows if r["predicted"]]
-    assert sum(r["toxic"] for r in hit) >= 0.95 * len(hit) and sum(r["predicted"] for r in rows) >= 0.85 * sum(r["toxic"] for r in rows)
+def test_toxicity_on_held_out_documents_of_all_languages(spark, table):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op3_toxicity(spark, sf).join(table("labels", "sf0.1"), "doc_id").join(table("documents", "sf0.1").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    hit = [r for r in got if r["predicted"]]
+    assert sum(r["toxic"] for r in hit) >= 0.98 * len(hit) and sum(r["predicted"] for r in got) >= 0.85 * sum(r["toxic"] for r in got)
+    for lang in ("en", "fr", "de", "es"):  # some labels are wrong: those documents hold no term at all
+        own = [r for r in got if r["lang"] == lang and r["toxic"]]
+        assert sum(r["predicted"] for r in own) >= 0.75 * len(own)
+
+
+def test_rare_labels_teach_terms(docs, spark):
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(300)]
+    texts, marks = [], []
+    for i in range(900):
+        bad = i % 30 == 0  # 1 in 30, and the term stands in as many clean documents as toxic ones
+        texts.append(" ".join(rng.choices(words, k=30) + ["grobnik"] * (bad or i % 30 == 1)))
+        marks.append((i + 1, 0, int(bad)))
+    lexicon = toxicity.fit(docs(texts), spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int"))
+    assert any("grobnik".startswith(t.rstrip("*")) and len(t) > 5 for t in lexicon.weights)
+
+
+def test_phrases_across_pieces(monkeypatch):
+    automaton = toxicity.Lexicon({"trash": 5.0, "loser": 4.0}).automaton()
+    text = ("é " * 30 + "put it in the trash can, you trash. " + "x " * 30 + "loser bracket loser l0ser").encode()
+    whole = toxicity.measure(automaton, text)
+    for most in range(3, 60):
+        monkeypatch.setattr(toxicity, "pieces", lambda data, most=most: __import__("shardwell.llm.common", fromlist=["pieces"]).pieces(data, most))
+        assert toxicity.measure(automaton, text) == whole
+    assert [h[2] for h in whole[2]] == ["trash", "loser", "loser"]
+
+
+def test_toxicity_sample_is_bounded(docs, spark):
+    rows = docs(["idiot scum"] * 400 + [f"fine {i}" for i in range(40)], ids=[5] * 400 + list(range(100, 140)))
+    labels = spark.createDataFrame([(5, 0, 1)] + [(i, 0, 0) for i in range(100, 140)], "doc_id bigint, quality int, toxic int")
+    with toxicity.Scope():
+        assert toxicity.labelled(rows, labels, "doc_id", "text", "toxic", 20, (3, 1)).count() <= 20
+    assert toxicity.fit(rows, labels, sample=20).weights["idiot"] >= 3
 
 
 def test_toxicity_never_sees_held_out_labels(spark, table):
