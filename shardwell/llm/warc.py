@@ -3,9 +3,10 @@
 Writing: one gzip member per record. Of equal payloads the capture with the smallest id is a response record,
 the others are revisit records without payload. Reading parses the members again and verifies the digests.
 
-Index: each archive's captures are sorted by URL key, time and id, which makes a run. The runs are cut by key
-ranges, so that no task holds more than a range, and a loser tree merges the pieces of each range; ranges in
-turn give one global order.
+Index: each archive's captures are sorted by URL key, time and id, which makes a run, and the runs are written to
+the shared folder. They are cut by key ranges of about `per_range` captures, however many there are, and a loser
+tree merges the pieces of each range, which stay Arrow data until it takes a row from them; ranges in turn give one
+global order.
 
 Files go through Spark alone, so any store that Spark knows will do. Spark's text writer ends each row with a
 separator; a gzip member of a record under 16 MiB ends with a zero byte (the top byte of its size), so that byte
@@ -106,18 +107,19 @@ def parse(archive: bytes) -> Iterator[dict]:
         yield {"page": ident("WARC-Record-ID"), "url": fields.get("WARC-Target-URI"), "date": fields.get("WARC-Date"), "type": fields["WARC-Type"], "refers_to": ident("WARC-Refers-To"), "bytes": size, "digest": found, "payload": payload, "offset": start, "length": at - start}
 
 
-def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None, spread: int = 8) -> None:
+def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", time_col: str | None = None) -> None:
     """Write a record per row of `pages` to archives under `path`.
 
     A null payload counts as empty. Of equal payloads those with the smallest id are responses (several only if
     rows repeat that id), others revisits of it; null ids count after all others, and where a group has null ids
-    only, all are responses. A null URL or time leaves its header out. Other columns are not read.
+    only, all are responses. A null URL or time leaves its header out. Other columns are not read. Who is first is
+    told by digests alone; where copies are few that table is broadcast (Spark checks its size) and payloads are not
+    shuffled, else adaptive execution splits a payload that very many rows have.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"), (F.date_format(F.col(time_col), "yyyy-MM-dd'T'HH:mm:ss'Z'") if time_col else F.lit(None).cast("string")).alias("date"))
     rows = rows.withColumn("key", F.unhex(F.sha2("payload", 256)))
-    first = rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    first = first.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("salt"))
-    told = rows.withColumn("salt", F.pmod(F.xxhash64("id", "url"), F.lit(spread)).cast("int")).join(first, ["key", "salt"], "left")
+    first = cut(rows.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("key", "first"), "first")
+    told = rows.join(first, "key", "left")
     told = told.withColumn("revisit", F.coalesce(~F.col("id").eqNullSafe(F.col("first")) & F.col("first").isNotNull(), F.lit(False)))
     told = told.select(F.col("id").cast("string").alias("id"), "url", "date", "payload", "revisit", F.when(F.col("revisit"), F.col("first").cast("string")).alias("refers_to"))
 
@@ -170,7 +172,8 @@ def _batches(rows: Iterable[tuple], size: int = 4096):
 
 
 def runs(spark, path: str) -> DataFrame:
-    """The captures in the archives under `path`, sorted within each archive."""
+    """The captures in the archives under `path`, sorted within each archive: a null URL sorts as the empty key, a null
+    time before all others. Records that repeat are captures each."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
     def run(batches):
@@ -222,37 +225,53 @@ class LoserTree:
             self._play(winner)
 
 
-def natural_runs(rows: Iterable[tuple], key) -> list[list[tuple]]:
-    """Rows that came in pieces of sorted runs, as sorted runs: a new one begins where the archive changes or the order breaks."""
-    out: list[list[tuple]] = []
+def _rows(parts: list) -> Iterator[tuple]:
+    """The rows of Arrow batches, a few at a time."""
+    for part in parts:
+        for at in range(0, part.num_rows, 1024):
+            yield from zip(*(c.to_pylist() for c in part.slice(at, 1024).columns), strict=True)
+
+
+def natural_runs(batches: Iterable, key) -> list[list]:
+    """Batches that hold pieces of sorted runs one after another, as sorted runs, each a list of slices: a new run begins
+    where the archive changes or the order breaks."""
+    out: list[list] = []
     last = None
-    for row in rows:
-        now = (row[3], key(row))
-        if last is None or now[0] != last[0] or now[1] < last[1]:
-            out.append([])
-        out[-1].append(row)
-        last = now
+    for batch in batches:
+        begun = 0
+        for i, row in enumerate(_rows([batch])):
+            now = (row[3], key(row))
+            if last is None or now[0] != last[0] or now[1] < last[1]:
+                if i > begun:
+                    out[-1].append(batch.slice(begun, i - begun))
+                begun = i
+                out.append([])
+            last = now
+        if batch.num_rows > begun:
+            out[-1].append(batch.slice(begun))
     return out
 
 
-def merged(captures: DataFrame) -> DataFrame:
+def merged(captures: DataFrame, per_range: int = 200_000) -> DataFrame:
     """All captures in global order of URL key, time and id: sorted runs are dealt by key range and merged in
-    each range by a loser tree. A URL with very many captures spreads over ranges by time and id."""
-    spread = captures.repartitionByRange(partitions(captures.sparkSession), "urlkey", "date", F.length("page"), "page", "archive", "offset")
+    each range by a loser tree. A URL with very many captures spreads over ranges by time and id. Equal rows all stay;
+    an empty table gives no rows. `captures` is read twice, so it should be a table."""
+    ranges = max(1, -(-captures.count() // per_range))
+    spread = captures.repartitionByRange(ranges, "urlkey", "date", F.length("page"), "page", "archive", "offset")
 
     def run(batches):
-        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        yield from _batches(LoserTree([iter(r) for r in natural_runs(rows, _order)], _order))
+        yield from _batches(LoserTree([_rows(r) for r in natural_runs(batches, _order)], _order))
 
     return spread.mapInArrow(run, CAPTURE)
 
 
-def index(spark, path: str) -> DataFrame:
-    """The capture history of the archives under `path`."""
-    return merged(cut(runs(spark, path), "runs"))
+def index(spark, path: str, per_range: int = 200_000) -> DataFrame:
+    """The capture history of the archives under `path`: see merged(). Archives without records give no rows."""
+    return merged(cut(runs(spark, path), "runs"), per_range)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
+    """`pages` has no capture times; each page gets a made-up one, page_id seconds into 2024."""
     pages = table(spark, sf_dir, "pages").withColumn("captured", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, page_id)"))
     path = scratch(spark, "archives")
     write(pages, path, time_col="captured")
