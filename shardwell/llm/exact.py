@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .components import attach
 
 
 def sha256(text: Column) -> Column:
@@ -23,12 +24,13 @@ def _salted(docs: DataFrame, text_col: str, digest, salts: int) -> DataFrame:
     return docs.withColumns({"_text": text, "_digest": digest(text), "_salt": F.pmod(F.spark_partition_id(), F.lit(salts))})
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, salts: int = 16, spread: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=sha256, salts: int = 16) -> DataFrame:
     """One row per row of `docs`: id, keep_id, group_size, kept, digest.
 
     Texts are equal when identical; null counts as the empty text. Of equal texts the largest id stays. A null
     id never wins over another; where all ids of a group are null, keep_id is null and every row is kept.
-    Repeated rows with the largest id are all marked kept. Other columns are not read.
+    Repeated rows with the largest id are all marked kept. Other columns are not read. The members of a very large
+    group are narrow rows by then, which adaptive execution splits over tasks.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     salted = _salted(rows, "text", digest, salts).groupBy("_digest", "_salt", "_text").agg(F.max("id").alias("keep"), F.count("*").alias("n"))
@@ -36,9 +38,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # a digest with one text decides its documents alone; the rest are told apart by their texts below
     groups = cut(whole.groupBy("_digest").agg(F.max("keep").alias("keep_id"), F.max("n").alias("group_size"), F.count("*").alias("texts")), "digests")
     alone = groups.filter("texts = 1 and group_size = 1").select(F.col("keep_id").alias("id"), "keep_id", "group_size", F.col("_digest").alias("digest"))
-    copies = groups.filter("texts = 1 and group_size > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    members = rows.select("id", digest(F.coalesce("text", F.lit(""))).alias("_digest"), F.pmod(F.xxhash64("id"), F.lit(spread)).cast("int").alias("_salt"))
-    out = alone.union(members.join(copies, ["_digest", "_salt"]).select("id", "keep_id", "group_size", F.col("_digest").alias("digest")))
+    copies = groups.filter("texts = 1 and group_size > 1")
+    members = rows.select("id", digest(F.coalesce("text", F.lit(""))).alias("_digest"))
+    out = alone.union(attach(members, "_digest", copies).select("id", "keep_id", "group_size", F.col("_digest").alias("digest")))
     clashes = groups.filter("texts > 1").select("_digest")
     if not clashes.isEmpty():
         clashing = _salted(rows, "text", digest, salts).join(clashes, "_digest", "left_semi").select("id", "_digest", "_text")
