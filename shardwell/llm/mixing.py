@@ -5,8 +5,9 @@ document's virtual finish time is the source's words up to its end, divided by t
 passes are range-sorted by that time and cut where the words reach the total budget; the last document stays
 if the cut is nearer with it than without.
 
-Running sums never need a whole source or the whole order in one task: sums per (source, slice of the shuffle)
-and per slice of virtual time are added up first, and only rows of one slice are summed one by one.
+Running sums never need a whole source or the whole order in one task: sums per (source, slice of the shuffle) are
+added up first, and only rows of one slice are summed one by one. Where the budget is reached is found in slices of
+virtual time, and in slices of the one slice that holds it, before the rows of that one are summed.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-SLICES = 1024  # slices of virtual time between 0 and 1; the last slice of SLICES * 4 is open
+SLICES = 1024  # slices of virtual time between 0 and 1, and of each slice; the last slice of SLICES * 4 is open
 
 
 def words(text: Column) -> Column:
@@ -42,6 +43,17 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int
     return levels.withColumn("share", first["level"]).select("source", "source_size", F.coalesce(F.least("cap", F.col("share") * F.col("weight")), "cap").alias("target"))
 
 
+def _reached(slices: list, before: int, budget: int) -> tuple[int, int]:
+    """The slice in which the budget is reached, and the words before it; the last one if it never is."""
+    at = 0
+    for r in sorted(slices, key=lambda r: r["at"]):
+        at = r["at"]
+        if before + r["words"] > budget:
+            return at, before
+        before += r["words"]
+    return at + 1, before
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", slices: int = 4096) -> DataFrame:
     """The passes of all documents in the order of the mix: id, source, size, hash (xxHash64 of the text),
     place (tells repeated rows apart), source_size, target, pass (0, 1, ...), finish (virtual), taken (boolean).
@@ -63,30 +75,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     passes = rows.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
     passes = passes.withColumn("finish", F.when(F.col("target") > 0, (F.col("pass") * F.col("source_size") + F.col("end")).cast("double") / F.col("target")).otherwise(0.0))
     passes = cut(passes.withColumn("span", F.least(F.floor(F.col("finish") * SLICES), F.lit(4 * SLICES - 1)).cast("int")), "passes")
-    spans = passes.groupBy("span").agg(F.sum("size").alias("words"))
-    spans = spans.select("span", "words", (F.sum("words").over(W.orderBy("span")) - F.col("words")).alias("before"), F.lit(None).cast("bigint").alias("_"))
-    budget = rows.groupBy().agg(F.sum("size").alias("budget"))
-    spans = spans.crossJoin(F.broadcast(budget)).select("span", "before", "words", "budget")  # one row beside at most 4096
-    placed = passes.join(F.broadcast(spans), "span")
-    sure = placed.filter("before + words <= budget or before >= budget").withColumn("taken", F.expr("before + words <= budget"))
+    budget = passes.filter("pass = 0").agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    # each time at most 4 * SLICES + 1 rows come to the driver
+    span, before = _reached(passes.groupBy(F.col("span").alias("at")).agg(F.sum("size").alias("words")).collect(), 0, budget)
+    fine = F.floor((F.col("finish") * SLICES - F.col("span")) * SLICES).cast("bigint")
+    fine = F.when(F.col("span") == 4 * SLICES - 1, F.lit(0)).otherwise(F.greatest(F.lit(0), F.least(fine, F.lit(SLICES - 1)))).cast("int")
+    part, before = _reached(passes.filter(F.col("span") == span).groupBy(fine.alias("at")).agg(F.sum("size").alias("words")).collect(), before, budget)
+    place = F.struct(F.col("span").alias("x"), F.when(F.col("span") == span, fine).otherwise(0).alias("y"))
+    edge = F.struct(F.lit(span).alias("x"), F.lit(part).alias("y"))
+    sure = passes.filter(place != edge).withColumn("taken", place < edge)
     order = W.partitionBy("span").orderBy("finish", F.col("source").asc_nulls_last(), "pass", "slice", "place").rowsBetween(W.unboundedPreceding, 0)
-    edge = placed.filter("before + words > budget and before < budget")
-    edge = edge.withColumn("taken", F.col("before") + F.sum("size").over(order) - F.col("size") / 2 <= F.col("budget"))
+    edge = passes.filter(place == edge).withColumn("taken", F.lit(before) + F.sum("size").over(order) - F.col("size") / 2 <= budget)
     columns = ["id", "source", "slice", "size", "hash", "place", "source_size", "target", "pass", "finish", "taken"]
     return sure.select(*columns).union(edge.select(*columns)).orderBy("finish", F.col("source").asc_nulls_last(), "pass", "slice", "place")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """Whole rows of `docs` in the order of the mix, a document once per pass that the mix takes, with the
-    columns mix_pass and mix_finish (a column of `docs` of that name gives way)."""
+    columns mix_pass and mix_finish (a column of `docs` of that name gives way). Rows equal in source, id and text
+    stand for each other; null and blank texts are in no mix; an empty table stays empty."""
     taken = mix(docs, id_col, text_col, source_col, **options).filter("taken and size > 0")
-    same = W.partitionBy("_id", "_hash", "pass").orderBy("source", "slice", "place")
-    taken = taken.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "source", "slice", "place", "pass", "finish").withColumn("_k", F.row_number().over(same))
+    same = W.partitionBy("_source", "_id", "_hash", "pass").orderBy("slice", "place")
+    taken = taken.select(F.col("source").alias("_source"), F.col("id").alias("_id"), F.col("hash").alias("_hash"), "slice", "place", "pass", "finish").withColumn("_k", F.row_number().over(same))
     names = [c for c in docs.columns if c not in ("mix_pass", "mix_finish")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"))
-    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_id", "_hash").orderBy(F.lit(0))))
-    both = rows.alias("r").join(taken.alias("t"), F.col("r._id").eqNullSafe(F.col("t._id")) & (F.col("r._hash") == F.col("t._hash")) & (F.col("r._k") == F.col("t._k")))
-    return both.orderBy("finish", F.col("source").asc_nulls_last(), "pass", "slice", "place").select("_row.*", F.col("pass").alias("mix_pass"), F.col("finish").alias("mix_finish"))
+    rows = docs.filter(F.col(f"`{text_col}`").rlike(r"[^\x20\x09-\x0D]")).select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col(f"`{source_col}`").alias("_source"), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"))
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("_source", "_id", "_hash").orderBy(F.lit(0))))
+    equal = lambda c: F.col(f"r.{c}").eqNullSafe(F.col(f"t.{c}"))
+    both = rows.alias("r").join(taken.alias("t"), equal("_source") & equal("_id") & equal("_hash") & (F.col("r._k") == F.col("t._k")))
+    return both.orderBy("finish", F.col("_row")[source_col].asc_nulls_last(), "pass", "slice", "place").select("_row.*", F.col("pass").alias("mix_pass"), F.col("finish").alias("mix_finish"))
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ def brute_groups(ids, texts):
 @pytest.mark.parametrize("digest", [exact.sha256, lambda t: F.unhex(F.hex(F.pmod(F.length(t), F.lit(3)))), lambda t: F.unhex(F.lit("00"))])
 @pytest.mark.parametrize("ids", [list(range(1, 11)), [5, 5, 1, 2, 3, None, 7, 7, None, 9]])
 def test_exact_groups(docs, digest, ids):
-    found = exact.exact_groups(docs(TEXTS, ids), digest=digest, spread=3)
+    found = exact.exact_groups(docs(TEXTS, ids), digest=digest, salts=3)
     got = sorted(((r["id"], r["keep_id"], r["group_size"], r["kept"]) for r in found.collect()), key=repr)
     assert got == brute_groups(ids, TEXTS)
 

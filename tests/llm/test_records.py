@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from shardwell.llm import chat, mixing, warc
 from shardwell.llm.common import scratch
@@ -75,6 +76,26 @@ def test_archive_of_many_copies_and_files(spark, monkeypatch):
     assert [warc._order(tuple(r)) for r in got] == sorted(warc._order(tuple(r)) for r in got)
 
 
+def test_ranges_are_sized_by_their_rows(spark):
+    path = scratch(spark, "test-ranges")
+    df = spark.range(3000).selectExpr("id as page_id", "if(id % 3 = 0, 'http://hot.example/', concat('http://h.example/', cast(id % 50 as string))) as url", "cast(id as string) as html").repartition(5)
+    warc.write(df, path)
+    found = warc.index(spark, path, per_range=100)
+    rows = found.withColumn("part", F.spark_partition_id()).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["part"]] = sizes.get(r["part"], 0) + 1
+    assert len(rows) == 3000 and len(sizes) >= 25 and max(sizes.values()) <= 300  # a hot URL is split too
+    assert [warc._order(tuple(r)[:-1]) for r in rows] == sorted(warc._order(tuple(r)[:-1]) for r in rows)
+
+
+def test_natural_runs_stay_arrow_data():
+    rows = [("a", None, "1", "x", i, 1, "response", None, 1, "d", "u") for i in range(5)] + [("a", None, "1", "y", 0, 1, "response", None, 1, "d", "u"), ("b", None, "1", "y", 0, 1, "response", None, 1, "d", "u"), ("a", None, "2", "y", 0, 1, "response", None, 1, "d", "u")]
+    for size in (1, 3, 100):
+        found = warc.natural_runs(warc._batches(rows, size), warc._order)
+        assert [[r[:5] for r in warc._rows(run)] for run in found] == [[r[:5] for r in rows[:5]], [r[:5] for r in rows[5:7]], [rows[7][:5]]]
+
+
 def test_empty_archive(spark):
     assert captured(spark, spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
@@ -149,7 +170,12 @@ def test_preferences_like_brute_force(spark):
         sides.append(rows)
     schema = "conv_id bigint, turn bigint, role string, text string, id string, a string"
     frames = [spark.createDataFrame([(*r, "x", "y") for r in s], schema) for s in sides]
-    for r in chat.preferences(*frames).collect():
+    got = chat.preferences(*frames).collect()
+    lone = norm((r["shared_turns"], r["prompt"], r["chosen"], r["rejected"], len(r["chosen_mask"]), len(r["rejected_mask"])) for r in got if r["id"] is None)
+    one = lambda x: f"<|{x[2] or ''}|>\n{x[3] or ''}<|end|>\n"
+    want = [(0, "", one(x), "", int(x[2] == "assistant"), 0) for x in sides[0] if x[0] is None] + [(0, "", "", one(x), 0, int(x[2] == "assistant")) for x in sides[1] if x[0] is None]
+    assert lone == norm(want)
+    for r in (r for r in got if r["id"] is not None):
         mine = [[x[1:] for x in s if x[0] == r["id"]] for s in sides]
         want = brute_preference(*mine)
         masks = [[(s["start"], s["end"]) for s in r[m]] for m in ("chosen_mask", "rejected_mask")]
@@ -157,6 +183,21 @@ def test_preferences_like_brute_force(spark):
     assert chat.preferences(frames[0].limit(0), frames[1].limit(0)).count() == 0
 
 
+def test_preferences_sql_with_nulls(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, 0, 1, 2, 3]), rng.choice(["user", "assistant", None]), rng.choice(["é", "b", None, "", "c"])) for _ in range(150)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    df.write.mode("overwrite").parquet(f"{(folder := scratch(spark, 'nulls'))}/conversations.parquet")
+    got, want = against_sql(chat.op2_preferences(spark, folder), chat.OP2_SQL, conversations=df)
+    assert got == want and len(got) > 20
+
+
+def test_a_very_long_conversation(spark):
+    df = spark.range(3000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "repeat('word ', 200) as text")
+    r = chat.preferences(df, df.filter("turn < 2999")).first()
+    assert r["shared_turns"] == 2999 and len(r["prompt"]) > 3_000_000 and r["rejected"] == "" and len(r["chosen_mask"]) == 1
+
+
 def test_masks_cover_what_the_assistant_says(spark):
     rows = [(1, 0, "user", "Hi"), (1, 1, "assistant", "Good day"), (1, 2, "user", "And?"), (1, 3, "assistant", "More")]
     chosen = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
@@ -207,6 +248,16 @@ def test_mixing_of_odd_rows(spark):
     assert norm(again.filter("taken").select("id", "source", "size", "pass").collect()) == norm(passes.filter("taken").select("id", "source", "size", "pass").collect())
 
 
+def test_budget_within_one_slice(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), "one") for i in range(300)] + [(900 + i, "w " * 40, "two") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = lambda: norm(mixing.mix(df).filter("taken").select("id", "source", "pass").collect())
+    want = taken()
+    for slices in (1, 2, 7):
+        monkeypatch.setattr(mixing, "SLICES", slices)
+        assert taken() == want
+
+
 @pytest.mark.parametrize("sizes", [{"a": 100, "b": 1}, {"a": 1, "b": 1, "c": 10_000, "d": 5}, {"x": 0, "y": 0}, {"one": 7}, {"p": 10, "q": 10, "r": 10, "s": 10, None: 10}])
 def test_targets_like_the_rounds(spark, sizes):
     """Sharing by weight, stopping at the cap, sharing the excess again until none is above."""
@@ -233,5 +284,9 @@ def test_mixed_rows(spark, docs):
     assert out.columns == [*df.columns, "mix_pass", "mix_finish"]
     want = norm((r["id"], r["pass"]) for r in mixing.mix(df).filter("taken and size > 0").collect())
     assert norm((r["doc_id"], r["mix_pass"]) for r in out.collect()) == want
+    # the same id and text in two sources: each is taken as often as its source's mix says
+    twins = spark.createDataFrame([(1, "x y", "b"), (1, "x y", "a"), (2, "p q r s t u", "b")], "doc_id bigint, text string, source string")
+    want = norm((r["source"], r["id"], r["pass"]) for r in mixing.mix(twins).filter("taken and size > 0").collect())
+    assert norm((r["source"], r["doc_id"], r["mix_pass"]) for r in mixing.mixed(twins).collect()) == want
     finish = [r["mix_finish"] for r in out.collect()]
     assert finish == sorted(finish) and mixing.mixed(df.limit(0)).count() == 0
