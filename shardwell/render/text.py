@@ -7,23 +7,25 @@ import shutil
 import sys
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, time, timedelta
 
 
 @dataclass(frozen=True)
 class Style:
-    """The characters to draw with."""
+    """The characters to draw with: bars by eighths, points, outliers, the stroke of a line, and the frame."""
 
-    bar: str
-    dot: str
-    ring: str
-    across: str
-    down: str
-    corner: str
+    blocks: str
+    point: str
+    outlier: str
+    stroke: str
+    rail: str
+    notch: str
+    floor: str
+    tooth: str
 
 
-UNICODE = Style("█", "●", "◦", "─", "│", "└")
-ASCII = Style("#", "*", "o", "-", "|", "+")
+UNICODE = Style("▏▎▍▌▋▊▉█", "•", "×", "┃", "▕", "╼", "▔", "╿")
+ASCII = Style("=", "*", "x", ":", "|", "+", "-", "'")
 
 
 def style(stream=None) -> Style:
@@ -48,9 +50,6 @@ def chart_width(columns: int | None = None) -> int:
     return columns if columns <= 100 else min(480, 100 + (columns - 100) * 4 // 5)
 
 
-AXIS = 11  # columns that a y axis takes
-
-
 def grid(title: str, head: Sequence[str], rows: Iterable[Sequence], right: Sequence[int] = ()) -> str:
     """A table with a rule under its head; cells of columns in `right` stand at the right."""
     cells = [[("" if c is None else str(c)).replace("\n", " ") for c in r] for r in rows]
@@ -60,76 +59,117 @@ def grid(title: str, head: Sequence[str], rows: Iterable[Sequence], right: Seque
 
 
 def number_tick(value: float) -> str:
-    if not math.isfinite(value):
-        return str(value)
-    near = round(value)
-    return str(near) if math.isclose(value, near, rel_tol=1e-9, abs_tol=1e-9) else f"{value:.6g}"
+    """A whole number without a point, any other with six digits."""
+    if math.isfinite(value) and math.isclose(value, round(value), rel_tol=1e-9, abs_tol=1e-9):
+        return f"{round(value)}"
+    return f"{value:.6g}"
+
+
+EPOCH = datetime(1970, 1, 1)
 
 
 def time_tick(value: float) -> str:
-    """An epoch in seconds, or in milli-, micro- or nanoseconds if it is that large, as UTC text."""
+    """UTC text of an epoch. One of more than eleven digits counts in thousandths of a second, of more than fourteen in
+    millionths, of more than seventeen in billionths; what no calendar has stays a number."""
     if not math.isfinite(value):
         return str(value)
-    for limit, unit in ((1e17, 1e9), (1e14, 1e6), (1e11, 1e3)):
-        if abs(value) >= limit:
-            value /= unit
-            break
+    digits = len(f"{abs(value):.0f}")
+    seconds = value / 1000 ** sum(digits > n for n in (11, 14, 17))
     try:
-        moment = datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=value)
+        moment = EPOCH + timedelta(seconds=seconds)
     except OverflowError:
-        return f"{value:.3g}"
-    midnight = not (moment.hour or moment.minute or moment.second or moment.microsecond)
-    return f"{moment:%Y-%m-%d}" if midnight else f"{moment:%Y-%m-%d %H:%M:%SZ}"
+        return f"{seconds:.3g}"
+    return moment.date().isoformat() if moment == datetime.combine(moment, time()) else moment.isoformat(" ", "seconds") + "Z"
 
 
-def bars(items: Sequence[tuple[str, int]], width: int = 24, room: int | None = None, fill: str = UNICODE.bar) -> str:
-    """A bar per item. Labels are cut at 35; where room is short, bars shrink before labels do."""
+def steps(low: float, high: float, most: int) -> list[float]:
+    """Round values within a range, `most` at most: multiples of 1, 2 or 5 times a power of ten."""
+    if not high > low or most < 1:
+        return [low]
+    size = 10.0 ** math.floor(math.log10((high - low) / most))
+    size = next((size * f for f in (1, 2, 5, 10) if (high - low) / (size * f) <= most), size * 10)
+    return [k * size for k in range(math.ceil(low / size - 1e-9), math.floor(high / size + 1e-9) + 1)][:most] or [low]
+
+
+def bars(items: Sequence[tuple[str, int]], width: int = 32, room: int | None = None, s: Style = UNICODE) -> str:
+    """A bar per item with its count behind it, drawn to an eighth of a character. Labels are cut at 35; where `room`
+    is short, bars give way before labels do."""
     if not items:
         return ""
-    most = max(n for _, n in items) or 1
-    digits = max(len(str(n)) for _, n in items)
-    label = min(35, max(len(t) for t, _ in items))
+    most = max([n for _, n in items]) or 1
+    names = [t if len(t) <= 35 else f"{t[:34]}~" for t, _ in items]
+    wide, tail = max(map(len, names)), 1 + len(str(most))
     if room is not None:
-        label = max(0, min(label, room - digits - 1))
-        width = max(0, min(width, room - digits - 1 - label - bool(label)))
+        width = min(width, max(0, room - wide - tail - 1))
+        wide = min(wide, max(0, room - tail - 1 - width))
     out = []
-    for text, n in items:
-        shown = text if len(text) <= label else text[: label - 3] + "..." if label > 3 else text[:label]
-        bar = fill * (max(1, round(n / most * width)) if n and width else 0)
-        parts = [shown.ljust(label)] * bool(label) + [bar.ljust(width)] * bool(width) + [str(n).rjust(digits)]
-        out.append(" ".join(parts)[: room or None])
+    for name, (_, n) in zip(names, items, strict=True):
+        eighths = max(1, round(8 * width * n / most)) if n and width else 0
+        full, rest = divmod(eighths, 8)
+        if len(s.blocks) == 1:
+            bar = s.blocks * max(full + (rest >= 4), min(1, eighths))
+        else:
+            bar = s.blocks[-1] * full + (s.blocks[rest - 1] if rest else "")
+        shown = name if len(name) <= wide else name[: max(0, wide - 1)] + "~" * (wide > 0)
+        row = f"{shown:>{wide}}{s.rail}{bar} {n}"
+        out.append(row if room is None else row[:room])
     return "\n".join(out)
 
 
-def _frame(cells: list[list[str]], low: float, high: float, left: str, right: str, tick: Callable[[float], str], s: Style) -> str:
-    height, width = len(cells), len(cells[0])
-    ticks = [tick(high - (high - low) * i / (height - 1)) for i in range(height)]
-    margin = max(6, len(tick(low)), len(tick(high)))
-    body = [f"{t:>{margin}} {s.down}{''.join(row)}" for t, row in zip(ticks, cells, strict=True)]
-    foot = " " * (margin + 2) + left + " " * max(1, width - len(left) - len(right)) + right
-    return "\n".join([*body, " " * (margin + 1) + s.corner + s.across * width, foot])
-
-
-def _spread(low: float, high: float) -> tuple[float, float]:
-    return (low - 0.5, high + 0.5) if math.isclose(low, high, rel_tol=1e-9, abs_tol=1e-9) else (low, high)
-
-
-def scatter(points: Sequence[tuple[float, float]], outliers: Sequence[tuple[float, float]] = (), width: int = 48, height: int = 12, x_tick: Callable[[float], str] = number_tick, s: Style = UNICODE) -> str:
-    """Points on a grid with outliers over them."""
-    sets = [[p for p in ps if all(map(math.isfinite, p))] for ps in (points, outliers)]
-    both = sets[0] + sets[1]
-    if not both:
+class Canvas:
+    """Cells over a range of x and y, with round values on a rail at the left and under the floor."""
+
+    def __init__(self, xs: Sequence[float], ys: Sequence[float], room: int, height: int, x_tick: Callable[[float], str], s: Style):
+        widen = lambda v: (min(v) - 0.5, max(v) + 0.5) if math.isclose(min(v), max(v), rel_tol=1e-9, abs_tol=1e-9) else (min(v), max(v))
+        (self.x0, self.x1), (self.y0, self.y1) = widen(xs), widen(ys)
+        self.height, self.s, self.x_tick = max(2, height), s, x_tick
+        self.marks = {self.row(v): number_tick(v) for v in (steps(self.y0, self.y1, max(2, self.height // 3)) if min(ys) < max(ys) else [min(ys)])}
+        self.margin = max(map(len, self.marks.values())) + 1
+        self.width = max(2, room - self.margin - 1)
+        self.ends = min(xs), max(xs)
+        self.cells = [[" "] * self.width for _ in range(self.height)]
+
+    def column(self, x: float) -> int:
+        return min(self.width - 1, int((x - self.x0) / (self.x1 - self.x0) * self.width))
+
+    def row(self, y: float) -> int:
+        return self.height - 1 - min(self.height - 1, int((y - self.y0) / (self.y1 - self.y0) * self.height))
+
+    def put(self, x: float, y: float, mark: str) -> None:
+        self.cells[self.row(y)][self.column(x)] = mark
+
+    def __str__(self) -> str:
+        body = [f"{self.marks.get(i, ''):>{self.margin}}{self.s.notch if i in self.marks else self.s.rail}{''.join(row).rstrip()}" for i, row in enumerate(self.cells)]
+        low, high = (self.x_tick(x) for x in self.ends)
+        teeth = [self.s.floor] * self.width
+        under = [" "] * (self.width + len(high))
+        for x, text, right in ((self.ends[0], low, False), (self.ends[1], high, True)):
+            at = self.column(x)
+            teeth[at] = self.s.tooth
+            start = max(0, at - len(text) + 1) if right and low != high else at
+            if right and low == high:
+                continue
+            if right and start <= len(low):  # no room for both in one row
+                under += ["\n", *" " * (self.margin + 1 + max(0, start)), *text]
+            else:
+                under[start : start + len(text)] = text
+        return "\n".join([*body, " " * (self.margin + 1) + "".join(teeth), (" " * (self.margin + 1) + "".join(under)).rstrip()])
+
+
+def _drawable(points: Iterable[tuple[float, float]]) -> list[tuple[float, float]]:
+    return [(x, y) for x, y in points if math.isfinite(x) and math.isfinite(y)]
+
+
+def scatter(points: Sequence[tuple[float, float]], outliers: Sequence[tuple[float, float]] = (), room: int = 80, height: int = 16, x_tick: Callable[[float], str] = number_tick, s: Style = UNICODE) -> str:
+    """Points, and outliers over them."""
+    plain, odd = _drawable(points), _drawable(outliers)
+    if not plain and not odd:
         return ""
-    width, height = max(2, width), max(2, height)
-    xs, ys = zip(*both, strict=True)
-    (x0, x1), (y0, y1) = _spread(min(xs), max(xs)), _spread(min(ys), max(ys))
-    cells = [[" "] * width for _ in range(height)]
-    for mark, ps in zip((s.dot, s.ring), sets, strict=True):
-        for x, y in ps:
-            column = min(width - 1, max(0, round((x - x0) / (x1 - x0) * (width - 1))))
-            row = min(height - 1, max(0, round((y - y0) / (y1 - y0) * (height - 1))))
-            cells[height - 1 - row][column] = mark
-    return _frame(cells, min(ys), max(ys), x_tick(min(xs)), x_tick(max(xs)), number_tick, s)
+    canvas = Canvas(*zip(*plain, *odd, strict=True), room, height, x_tick, s)
+    for some, mark in ((plain, s.point), (odd, s.outlier)):
+        for x, y in some:
+            canvas.put(x, y, mark)
+    return str(canvas)
 
 
 def resampled(points: Sequence[tuple[float, float]], width: int, method: str = "linear") -> list[float]:
@@ -149,23 +189,18 @@ def resampled(points: Sequence[tuple[float, float]], width: int, method: str = "
     return np.where(places >= x[-1], y[-1], np.where(places <= x[0], y[0], out)).tolist()
 
 
-def line(points: Sequence[tuple[float, float]], width: int = 48, height: int = 12, method: str = "linear", x_tick: Callable[[float], str] = number_tick, s: Style = UNICODE) -> str:
-    """A line chart: a mark per column, joined by verticals."""
-    points = [p for p in points if all(map(math.isfinite, p))]
+def line(points: Sequence[tuple[float, float]], room: int = 80, height: int = 16, method: str = "linear", x_tick: Callable[[float], str] = number_tick, s: Style = UNICODE) -> str:
+    """A line: in each column a point, and a stroke half way to the points beside it."""
+    points = _drawable(points)
     if not points:
         return ""
-    width, height = max(2, width), max(2, height)
-    heights = resampled(points, width, method)
-    y0, y1 = _spread(min(heights), max(heights))
-    cells = [[" "] * len(heights) for _ in range(height)]
-    before = None
-    for column, y in enumerate(heights):
-        row = height - 1 - round((y - y0) / (y1 - y0) * (height - 1))
-        if before is not None:
-            step = 1 if row > before else -1
-            for r in range(before + step, row, step):
-                cells[r][column] = s.down
-        cells[row][column] = s.dot
-        before = row
-    xs = [p[0] for p in points]
-    return _frame(cells, min(heights), max(heights), x_tick(min(xs)), x_tick(max(xs)), number_tick, s)
+    xs, ys = zip(*points, strict=True)
+    canvas = Canvas(xs, ys, room, height, x_tick, s)
+    heights = resampled(points, canvas.width, method)[: canvas.width]
+    for i, y in enumerate(heights):
+        beside = [(y + heights[j]) / 2 for j in (i - 1, i + 1) if 0 <= j < len(heights)]
+        rows = [canvas.row(v) for v in (y, *beside)]
+        for r in range(min(rows), max(rows) + 1):
+            canvas.cells[r][i] = s.stroke
+        canvas.cells[rows[0]][i] = s.point
+    return str(canvas)

@@ -28,7 +28,7 @@ def _number(value: float | None) -> str:
 
 def _groups(a: Analysis, s: T.Style) -> list[str]:
     rows = [(f"Schema {i}", g.count, ", ".join(n for n, _ in g.columns)) for i, g in enumerate(a.schemas, 1)]
-    return [T.grid("Schema Overview", ("Schema", "Files", "Columns"), rows, (1,)), "Schema Distribution\n" + T.bars([(r[0], r[1]) for r in rows], fill=s.bar)]
+    return [T.grid("Schema Overview", ("Schema", "Files", "Columns"), rows, (1,)), "Schema Distribution\n" + T.bars([(r[0], r[1]) for r in rows], s=s)]
 
 
 def summary(a: Analysis, s: T.Style = T.UNICODE) -> str:
@@ -42,7 +42,7 @@ def summary(a: Analysis, s: T.Style = T.UNICODE) -> str:
         if dates := [(n, c.min, c.max) for n, c in a.statistics.items() if c.dtype.startswith(TEMPORAL) and c.min is not None]:
             parts.append(T.grid("Date Ranges", ("Column", "Min", "Max"), dates))
         drawn = [(n, c.histogram) for n, c in a.statistics.items() if c.histogram][:MOST_HISTOGRAMS]
-        parts += [f"Histogram of {n}\n" + T.bars(h, fill=s.bar) for n, h in drawn]
+        parts += [f"Histogram of {n}\n" + T.bars(h, s=s) for n, h in drawn]
     return _joined([*parts, _warnings(a.warnings)])
 
 
@@ -107,11 +107,11 @@ def plots(found: list[Plot], width: int | None = None, method: str = "linear", s
     for p in found:
         tick = T.time_tick if p.x_kind == "temporal" else T.number_tick
         if p.kind == "histogram":
-            chart = T.bars(p.bins, width=40, room=room, fill=s.bar)
+            chart = T.bars(p.bins, width=40, room=room, s=s)
         elif p.kind == "line":
-            chart = T.line(p.points, room - T.AXIS, method=method, x_tick=tick, s=s)
+            chart = T.line(p.points, room, method=method, x_tick=tick, s=s)
         else:
-            chart = T.scatter(p.points, p.outliers, room - T.AXIS, x_tick=tick, s=s)
+            chart = T.scatter(p.points, p.outliers, room, x_tick=tick, s=s)
         facts = [("Source", p.source), ("Kind", p.kind), ("Rows", p.rows), ("Dropped", p.dropped)]
         if p.kind != "histogram":
             facts += [("Repeated x", p.duplicates), ("x", f"{p.x} ({p.x_kind})")]

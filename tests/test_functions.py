@@ -96,12 +96,39 @@ def test_ordinals_follow_the_files(spark, tmp_path):
     assert [r["id"] for r in got] == [*range(50), *range(100, 150)]
 
 
-def test_ticks_and_bars():
-    assert text.number_tick(3.0) == "3" and text.number_tick(1 / 3) == "0.333333"
-    assert text.time_tick(0) == "1970-01-01" and text.time_tick(1_700_000_000_000) == "2023-11-14 22:13:20Z"
+def test_ticks():
+    assert text.number_tick(3.0) == "3" and text.number_tick(1 / 3) == "0.333333" and text.number_tick(-1e20) == "-100000000000000000000"
+    assert text.time_tick(0) == "1970-01-01" and text.time_tick(86_399.5) == "1970-01-01 23:59:59Z"
+    for unit in (1, 1e3, 1e6, 1e9):
+        assert text.time_tick(1_700_000_000 * unit) == "2023-11-14 22:13:20Z"
+    assert text.time_tick(math.inf) == "inf" and text.time_tick(1e12 * 1e3 - 1e14 * 9) != ""
+    assert text.steps(0, 10, 5) == [0, 2, 4, 6, 8] and text.steps(3, 3, 4) == [3]
+    for low, high, most in ((0.1, 0.9, 4), (-7, 1e6, 6), (1e-9, 2e-9, 3), (5, 5.5, 1)):
+        found = text.steps(low, high, most)
+        assert 1 <= len(found) <= most and all(low - 1e-9 <= v <= high + 1e-9 for v in found)
+
+
+def test_chart_width():
     assert text.chart_width(80) == 80 and text.chart_width(200) == 180 and text.chart_width(9999) == 480
-    assert text.bars([("a", 2), ("bb", 4)], width=4).splitlines() == ["a  ██   2", "bb ████ 4"]
+
+
+def test_bars():
+    assert text.bars([("a", 2), ("bb", 4)], width=4).splitlines() == [" a▕██ 2", "bb▕████ 4"]
+    assert text.bars([("a", 1), ("b", 16)], width=2, s=text.ASCII).splitlines() == ["a|= 1", "b|== 16"]
+    assert text.bars([("a", 0), ("b", 3)], width=1).splitlines()[0] == "a▕ 0" and text.bars([]) == ""
     assert all(len(r) <= 12 for r in text.bars([("a long label here", 2)], room=12).splitlines())
+    assert max(map(len, text.bars([("x" * 90, 2), ("y", 1)], width=5).splitlines())) == 35 + 1 + 5 + 2
+
+
+def test_canvas():
+    lines = text.scatter([(0.0, 0.0), (10.0, 100.0)], [(5.0, 50.0)], room=30, height=6).splitlines()
+    assert len(lines) == 8 and lines[0].rstrip().endswith("•") and "×" in lines[2] + lines[3] and lines[5].split("╼")[-1].startswith("•")
+    assert lines[-1].split() == ["0", "10"] and all(len(r) <= 30 for r in lines)
+    assert text.scatter([(1.0, 1.0)], room=20, height=3).count("•") == 1 and text.scatter([(math.nan, 1.0)]) == ""
+    far = text.scatter([(0.0, 0.0), (1e9, 1.0)], room=14, height=3, x_tick=text.time_tick).splitlines()
+    assert far[-2].split() == ["1970-01-01"] and "2001-09-09 01:46:40Z" in far[-1]
+    steep = text.line([(0.0, 0.0), (1.0, 0.0), (2.0, 9.0), (3.0, 9.0)], room=24, height=9)
+    assert "┃" in steep and steep.splitlines()[0].rstrip().endswith("•")
 
 
 def test_line_resampling_takes_the_left_of_two():
@@ -109,5 +136,4 @@ def test_line_resampling_takes_the_left_of_two():
     assert text.resampled(points, 5) == [0, 2, 4, 7, 10]
     assert text.resampled(points, 5, "nearest") == [0, 0, 4, 4, 10]
     assert text.resampled([(1.0, 3.0), (1.0, 5.0)], 5) == [3.0, 5.0]
-    assert text.scatter([(1.0, 1.0)], width=5, height=3).count("●") == 1
     assert "*" in text.line(points, s=text.ASCII)
