@@ -30,15 +30,17 @@ class Expression:
 
 
 def parse(text: str) -> Expression:
-    """Split at the first operator outside brackets. Both sides must be there, and a column name may hold none
-    of = < > ! unless bracketed."""
+    """Split at the first operator outside brackets. Both sides must be there; brackets must close before it, and
+    stand around the whole column name if at all. A name may hold none of = < > ! unless bracketed."""
 
     def wrong(why: str) -> FilterError:
         return FilterError(f"Invalid --filter expression {text!r}: {why}; {USAGE}")
 
     depth = 0
     for i, c in enumerate(text):
-        depth += (c == "[") - (c == "]" and depth > 0)
+        depth += (c == "[") - (c == "]")
+        if depth < 0:
+            raise wrong("a bracket closes that was not opened")
         op = next((o for o in OPERATORS if text.startswith(o, i)), None) if not depth else None
         if op:
             break
@@ -47,6 +49,8 @@ def parse(text: str) -> Expression:
     name, value = text[:i].strip(), text[i + len(op) :].strip()
     if name.startswith("[") and name.endswith("]"):
         name = name[1:-1].strip()
+    elif "[" in name or "]" in name:
+        raise wrong("brackets stand around the whole column name or nowhere")
     elif any(c in name for c in "=<>!"):
         raise wrong("the column name holds an operator character")
     if not name:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -21,6 +22,17 @@ def bound_label(value: float) -> str:
     return str(int(near)) if math.isclose(value, near, rel_tol=1e-9, abs_tol=1e-9) else f"{value:.3g}"
 
 
+def time_label(seconds: float) -> str:
+    """An epoch bound as a UTC date, or date and time if it is no midnight; one that no calendar has as a number."""
+    if not math.isfinite(seconds):
+        return str(seconds)
+    try:
+        moment = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)
+    except OverflowError:
+        return f"{seconds:.3g}"
+    return moment.date().isoformat() if moment.time() == dt.time() else moment.isoformat(" ", "seconds") + "Z"
+
+
 def is_single(low: float, high: float) -> bool:
     return math.isclose(low, high, rel_tol=1e-9, abs_tol=1e-9)
 

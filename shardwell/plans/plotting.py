@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.filters import Expression, parse, predicate
-from ..functions.histogram import bound_label, finite, numeric_histogram
+from ..functions.histogram import bound_label, finite, numeric_histogram, time_label
 from ..functions.ordinal import ORDER
 from ..functions.types import quoted, union_relaxed
 from ..operators import series
@@ -22,12 +21,7 @@ from ..sources.files import Dataset, Kind, read, read_all
 DEFAULT_FILES = 1
 #: A chart has some hundred columns; a line beyond so many points is resampled on the executors first.
 MOST_POINTS = 20_000
-
-
-def time_label(seconds: float) -> str:
-    """An epoch bound as a UTC date, or date and time if it is no midnight."""
-    moment = dt.datetime(1970, 1, 1) + dt.timedelta(seconds=seconds)
-    return moment.date().isoformat() if moment.time() == dt.time() else moment.isoformat(sep=" ", timespec="seconds")
+MOST_CATEGORIES = 1000
 
 
 @dataclass
@@ -104,11 +98,15 @@ def xy(df: DataFrame, x: str, y: str, options: Options, source: str = "") -> Plo
         line = points.select(series.to_number(F.col("x"), kinds[x]).alias("x"), "y", F.col("o")).filter(finite(F.col("x")))
         if line.limit(MOST_POINTS + 1).count() > MOST_POINTS:
             line = series.resample(line.select("x", "y"), MOST_POINTS // 10, options.interpolation)
+            plot.warnings.append(f"over {MOST_POINTS} points: the line is resampled at {MOST_POINTS // 10} places")
         plot.points = [(r["x"], r["y"]) for r in line.orderBy("x", *(["o"] if "o" in line.columns else [])).collect()]
         return plot
     if x_kind == "categorical":
         numbered = series.ordinals(points.withColumn("x", F.col("x").cast("string")))
-        plot.categories = [r["x"] for r in numbered.select("x", "position").distinct().orderBy("position").limit(1000).collect()]
+        plot.categories = [r["x"] for r in numbered.select("x", "position").distinct().orderBy("position").limit(MOST_CATEGORIES + 1).collect()]
+        if len(plot.categories) > MOST_CATEGORIES:
+            plot.categories.pop()
+            plot.warnings.append(f"only the first {MOST_CATEGORIES} categories are named")
         numbered = numbered.select(F.col("position").alias("x"), "y")
     else:
         numbered = points.select(series.to_number(F.col("x"), kinds[x]).alias("x"), "y").filter(finite(F.col("x")))

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.histogram import numeric_histogram
+from ..functions.histogram import numeric_histogram, time_label
 from ..functions.types import union_relaxed
 from ..operators import series
 from ..operators.profile import is_sorted
-from ..plans.plotting import time_label
 from .registry import Registry, table
 
 QUERIES = Registry()

@@ -7,7 +7,8 @@ import shutil
 import sys
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
-from datetime import datetime, time, timedelta
+
+from ..functions.histogram import time_label
 
 
 @dataclass(frozen=True)
@@ -65,21 +66,13 @@ def number_tick(value: float) -> str:
     return f"{value:.6g}"
 
 
-EPOCH = datetime(1970, 1, 1)
-
-
 def time_tick(value: float) -> str:
     """UTC text of an epoch. One of more than eleven digits counts in thousandths of a second, of more than fourteen in
     millionths, of more than seventeen in billionths; what no calendar has stays a number."""
     if not math.isfinite(value):
         return str(value)
     digits = len(f"{abs(value):.0f}")
-    seconds = value / 1000 ** sum(digits > n for n in (11, 14, 17))
-    try:
-        moment = EPOCH + timedelta(seconds=seconds)
-    except OverflowError:
-        return f"{seconds:.3g}"
-    return moment.date().isoformat() if moment == datetime.combine(moment, time()) else moment.isoformat(" ", "seconds") + "Z"
+    return time_label(value / 1000 ** sum(digits > n for n in (11, 14, 17)))
 
 
 def steps(low: float, high: float, most: int) -> list[float]:

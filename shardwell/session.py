@@ -44,8 +44,12 @@ def settings(spark: SparkSession, **values: str) -> Iterator[None]:
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
-    """A fresh path in the folder that driver and executors share; a temporary one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
+    """A fresh path in the folder that driver and executors share; a temporary one only in a local session that names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.gettempdir()
     return f"{root.rstrip('/')}/shardwell-{what}-{uuid.uuid4().hex}"
 
 

@@ -40,7 +40,7 @@ def test_filter_parse(text, want):
     assert (e.column, e.op, e.value) == want
 
 
-@pytest.mark.parametrize("text", ["a=>1", "a", "==1", "a==", "", "[a]"])
+@pytest.mark.parametrize("text", ["a=>1", "a", "==1", "a==", "", "[a]", "a] > 1", "x[a] > 1", "[a]b > 1", "[a > 1", "[[a] > 1", "[ ] > 1"])
 def test_filter_parse_fails(text):
     with pytest.raises(filters.FilterError, match="Invalid --filter expression"):
         filters.parse(text)
