@@ -7,6 +7,7 @@ import hashlib
 import json
 import math
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from enum import StrEnum
 from pathlib import Path
@@ -17,7 +18,7 @@ from ..functions import histogram as H
 from ..functions.ordinal import ORDER, with_ordinal
 from ..functions.types import columns_of, is_numeric, signature
 from ..operators.profile import digests, histograms, profile
-from ..sources.files import METADATA, Dataset, Kind, SourceError, metadata, read, read_all
+from ..sources.files import METADATA, Dataset, Kind, SourceError, csv_layout, metadata, read, read_all, rows_of
 
 VERSION = 1
 
@@ -96,15 +97,43 @@ def _reason(error: Exception) -> str:
     return str(error).strip().splitlines()[0][:200] if str(error).strip() else type(error).__name__
 
 
-def inventory(spark: SparkSession, dataset: Dataset) -> list[FileRecord]:
-    """Schema and rows of each file; a file that cannot be read has its error instead. Counting reads no column."""
-    out = []
-    for path in dataset.files():
+def inventory(spark: SparkSession, dataset: Dataset, side_by_side: int = 16) -> list[FileRecord]:
+    """Schema and rows of each file; a file that cannot be read has its error instead.
+
+    Schemas are looked up for several files side by side, and rows are counted in one job per format, which reads no
+    column; only if that job meets a broken file are its files counted one by one."""
+    paths = dataset.files()
+
+    def schema(path: Path) -> tuple | Exception:
         try:
-            df = read(spark, path)
-            out.append(FileRecord(str(path), dataset.relative(path), columns_of(df.schema), df.count()))
+            return columns_of(read(spark, path).schema)
         except Exception as e:  # a broken file of any kind is a finding, not a failure
-            out.append(FileRecord(str(path), dataset.relative(path), error=_reason(e)))
+            return e
+
+    def count(path: Path) -> int | Exception:
+        try:
+            return read(spark, path).count()
+        except Exception as e:
+            return e
+
+    def count_all(group: list[Path]) -> dict[Path, int | Exception]:
+        try:
+            found = rows_of(spark, group)
+        except Exception:  # some file breaks within
+            return dict(zip(group, pool.map(count, group), strict=True))
+        return {p: found.get(p, 0) for p in group}
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        schemas = dict(zip(paths, pool.map(schema, paths), strict=True))
+        groups: dict[object, list[Path]] = {}
+        for p in paths:
+            if not isinstance(schemas[p], Exception):
+                groups.setdefault((p.suffix.lower(), p.suffix.lower() == ".csv" and csv_layout(spark, str(p))[1]), []).append(p)
+        counts = {p: n for group in groups.values() for p, n in count_all(group).items()}
+    out = []
+    for p in paths:
+        broken = next((x for x in (schemas[p], counts.get(p)) if isinstance(x, Exception)), None)
+        out.append(FileRecord(str(p), dataset.relative(p), error=_reason(broken)) if broken else FileRecord(str(p), dataset.relative(p), schemas[p], counts[p]))
     return out
 
 

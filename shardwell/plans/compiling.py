@@ -73,7 +73,8 @@ def compile_dataset(spark: SparkSession, source: str | Path, output: str | Path,
     chosen = choose(groups, schema)
     used = [f for f in files if f.error is None and f.columns == chosen.columns]
     try:
-        write_parts(tagged_union(spark, dataset, used), out / DATA)
+        size, rows = sum(Path(f.path).stat().st_size for f in used), sum(f.rows for f in used)
+        write_parts(tagged_union(spark, dataset, used), out / DATA, size / max(rows, 1))
         analysis = build(spark, Dataset(out / DATA, Kind.FOLDER), Mode.STANDARD)
         cover = coverage(files, chosen)
         provenance = {"source": str(dataset.path), "schema_hash": chosen.hash, "columns": [list(c) for c in chosen.columns], "files": [f.relative for f in used], "rows": {f.relative: f.rows for f in used}, "coverage": asdict(cover)}

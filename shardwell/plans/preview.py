@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pathlib import Path
 
-from ..functions.ordinal import ORDER
-from ..sources.files import Dataset, Kind, SourceError, read, read_all
+from pyspark.sql import Row, SparkSession
 
+from ..sources.files import Dataset, Kind, SourceError, read
 
-def head(df: DataFrame, n: int) -> DataFrame:
-    """The first n rows by the order key, which stays; a top-n, not a sort."""
-    return df.orderBy(ORDER).limit(n)
+
+def first_rows(spark: SparkSession, paths: list[Path], n: int) -> list[Row]:
+    """The first n rows of files one after another. Spark takes a file's splits in their order, and more of them only
+    until there are enough rows, so neither a long file nor the files after it are read through."""
+    out: list[Row] = []
+    for path in paths:
+        if len(out) >= n:
+            break
+        out += read(spark, path).take(n - len(out))
+    return out
 
 
 def head_dataset(spark: SparkSession, dataset: Dataset, n: int) -> list[tuple[str, list[Row]]]:
@@ -18,7 +25,6 @@ def head_dataset(spark: SparkSession, dataset: Dataset, n: int) -> list[tuple[st
     first n files by path."""
     if n < 0:
         raise SourceError("--n must not be negative")
-    first = lambda df, k: head(df, k).drop(ORDER).collect() if k else []
     if dataset.kind is not Kind.FOLDER:
-        return [(dataset.path.name, first(read_all(spark, dataset, ordered=True), n))]
-    return [(dataset.relative(p), first(read(spark, p, ordered=True), 1)) for p in dataset.files()[:n]]
+        return [(dataset.path.name, first_rows(spark, dataset.files(), n))]
+    return [(dataset.relative(p), first_rows(spark, [p], 1)) for p in dataset.files()[:n]]

@@ -53,8 +53,8 @@ class BatchPartition(InputPartition):
 
 
 class ArrowReader(DataSourceReader):
-    def __init__(self, paths: list[str], tagged: bool):
-        self.paths, self.tagged = paths, tagged
+    def __init__(self, paths: list[str], tagged: bool, columns: list[str] | None):
+        self.paths, self.tagged, self.columns = paths, tagged, columns
 
     def partitions(self) -> list[InputPartition]:
         import pyarrow as pa
@@ -74,6 +74,8 @@ class ArrowReader(DataSourceReader):
         with pa.ipc.open_file(pa.OSFile(partition.path)) as reader:
             batch = reader.get_batch(partition.batch)
             part = pa.Table.from_batches([batch]).cast(readable(reader.schema), safe=False)  # nanoseconds are cut
+        if self.columns is not None:
+            part = part.select(self.columns)
         if self.tagged:
             part = part.append_column(FILE, pa.array([partition.path] * part.num_rows, pa.string()))
             part = part.append_column(ROW, pa.array(range(partition.first, partition.first + part.num_rows), pa.int64()))
@@ -81,7 +83,8 @@ class ArrowReader(DataSourceReader):
 
 
 class ArrowFiles(DataSource):
-    """Options: `paths`, newline-parted and sorted; `tagged`, to add the file and the row's place in it."""
+    """Options: `paths`, newline-parted and sorted; `tagged`, to add the file and the row's place in it; `bare`, to leave
+    out the file's own columns."""
 
     @classmethod
     def name(cls) -> str:
@@ -91,35 +94,40 @@ class ArrowFiles(DataSource):
         return [p for p in self.options["paths"].split("\n") if p]
 
     def schema(self) -> StructType:
-        found = arrow_fields(self._paths()[0])
+        found = arrow_fields(self._paths()[0]) if self._columns() is None else StructType([])
         tags = [StructField(FILE, StringType()), StructField(ROW, LongType())] if self.options.get("tagged") == "true" else []
         return StructType([*found.fields, *tags])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return ArrowReader(self._paths(), self.options.get("tagged") == "true")
+        return ArrowReader(self._paths(), self.options.get("tagged") == "true", self._columns())
 
+    def _columns(self) -> list[str] | None:
+        return [] if self.options.get("bare") == "true" else None
 
-def read_arrow(spark: SparkSession, paths: list[str], tagged: bool = False) -> DataFrame:
+
+def read_arrow(spark: SparkSession, paths: list[str], tagged: bool = False, bare: bool = False) -> DataFrame:
     spark.dataSource.register(ArrowFiles)
-    return spark.read.format(ArrowFiles.name()).option("paths", "\n".join(paths)).option("tagged", str(tagged).lower()).load()
+    return spark.read.format(ArrowFiles.name()).option("paths", "\n".join(paths)).option("tagged", str(tagged).lower()).option("bare", str(bare).lower()).load()
 
 
 def write_arrow(df: DataFrame, path: str, rows: int = 65_536) -> None:
-    """One IPC file, streamed partition by partition through the driver, never as a whole."""
+    """One IPC file. Executors make the record batches; the driver puts them one after another, a partition at a time,
+    and decodes no row."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(df.schema)
+
+    def pack(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                whole = pa.Table.from_batches([batch.slice(at, rows)]).cast(schema).combine_chunks()
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as packed:
+                    packed.write_table(whole)
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch"])
+
     with pa.OSFile(path, "wb") as sink, pa.ipc.new_file(sink, schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
-        held: list = []
-
-        def flush() -> None:
-            if held:
-                writer.write_batch(pa.RecordBatch.from_pylist(held, schema))
-                held.clear()
-
-        for row in df.toLocalIterator(prefetchPartitions=True):
-            held.append(row.asDict(recursive=True))
-            if len(held) >= rows:
-                flush()
-        flush()
+        for row in df.mapInArrow(pack, "batch binary").toLocalIterator(prefetchPartitions=True):
+            for batch in pa.ipc.open_stream(bytes(row["batch"])):
+                writer.write_batch(batch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import shutil
@@ -9,9 +10,11 @@ import uuid
 from dataclasses import dataclass
 from enum import StrEnum
 from pathlib import Path
+from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordinal import ORDER, order_key
 from ..functions.types import union_relaxed, widened
@@ -68,13 +71,36 @@ def resolve(path: str | os.PathLike) -> Dataset:
     return dataset
 
 
+#: What is known of CSV files, by path, size and time: a file is looked over once, however often it is read.
+_LAYOUTS: dict[tuple, tuple[T.StructType, bool]] = {}
+
+
+def csv_layout(spark: SparkSession, name: str) -> tuple[T.StructType, bool]:
+    """The schema of a CSV file, types inferred from all rows and integers as bigint, and whether quoted values hold
+    line breaks. Such files are read whole by a task; all others are split. A value holds a line break if some line
+    has an odd number of quotes."""
+    path = Path(name.removeprefix("file://"))
+    key = (name, *((s.st_size, s.st_mtime_ns) if path.is_file() and (s := path.stat()) else ()))
+    if key in _LAYOUTS:
+        return _LAYOUTS[key]
+    odd = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    broken = not spark.read.text(name).filter(F.pmod(odd, F.lit(2)) == 1).isEmpty()
+    with settings(spark, spark__sql__timestampType="TIMESTAMP_NTZ"):
+        schema = widened(spark.read.csv(name, header=True, inferSchema=True, escape='"', multiLine=broken)).schema
+    if len(key) > 1:
+        if len(_LAYOUTS) >= 10_000:
+            _LAYOUTS.clear()
+        _LAYOUTS[key] = schema, broken
+    return schema, broken
+
+
 def read(spark: SparkSession, path: str | os.PathLike, ordered: bool = False) -> DataFrame:
-    """A file as a frame. CSV types are inferred, dates and naive times too, and integers are bigint. With
-    `ordered`, a column ORDER sorts the rows as they stand in the file."""
+    """A file as a frame. CSV types are inferred, dates and naive times too, and integers are bigint; quoted values
+    may hold line breaks and quotes. With `ordered`, a column ORDER sorts the rows as they stand in the file."""
     name, suffix = str(path), Path(path).suffix.lower()
     if suffix == ".csv":
-        with settings(spark, spark__sql__timestampType="TIMESTAMP_NTZ"):
-            df = widened(spark.read.csv(name, header=True, inferSchema=True, escape='"', multiLine=False))
+        schema, broken = csv_layout(spark, name)
+        df = spark.read.csv(name, schema=schema, header=True, escape='"', multiLine=broken)
     elif suffix == ".parquet":
         with settings(spark, spark__sql__legacy__parquet__nanosAsLong="true", spark__sql__timeType__enabled="true"):
             df = spark.read.parquet(name)
@@ -98,6 +124,21 @@ def read_all(spark: SparkSession, dataset: Dataset, files: list[Path] | None = N
     return union_relaxed(frames)
 
 
+def rows_of(spark: SparkSession, paths: list[Path]) -> dict[Path, int]:
+    """How many rows files of one format hold, in one job; a file without rows may be missing. Of Parquet only the
+    footers are read."""
+    names, suffix = [str(p) for p in paths], paths[0].suffix.lower()
+    if suffix in (".feather", ".arrow"):
+        found = read_arrow(spark, names, tagged=True, bare=True).groupBy(FILE).count().collect()
+        return {Path(r[FILE]): r["count"] for r in found}
+    if suffix == ".csv":
+        df = spark.read.csv(names, schema="_first string", header=True, escape='"', multiLine=csv_layout(spark, names[0])[1], enforceSchema=True)
+    else:
+        df = spark.read.schema(T.StructType([])).parquet(*names)
+    rows = df.groupBy(F.col("_metadata.file_path").alias("path")).count().collect()
+    return {Path(unquote(urlsplit(r["path"]).path)): r["count"] for r in rows}
+
+
 def write(df: DataFrame, path: str | os.PathLike) -> None:
     """Write one file by suffix, through a staging folder beside it, so that it appears whole."""
     target = Path(path)
@@ -110,7 +151,8 @@ def write(df: DataFrame, path: str | os.PathLike) -> None:
             write_arrow(df, str(stage / "part"))
             part = stage / "part"
         elif suffix == ".csv":
-            df.coalesce(1).write.csv(str(stage), header=True, escape='"', emptyValue="")
+            # an empty text is quoted, so that it is not read as null
+            df.coalesce(1).write.csv(str(stage), header=True, escape='"', quoteAll=False, emptyValue='""')
             part = next(stage.glob("part-*"), None)
         elif suffix == ".parquet":
             df.coalesce(1).write.parquet(str(stage))
@@ -125,8 +167,13 @@ def write(df: DataFrame, path: str | os.PathLike) -> None:
         shutil.rmtree(stage, ignore_errors=True)
 
 
-def write_parts(df: DataFrame, folder: Path, rows_per_file: int = 4_000_000) -> None:
-    """Parquet parts named part-000 on, in the frame's order of partitions."""
+PART_BYTES = 256 << 20
+
+
+def write_parts(df: DataFrame, folder: Path, bytes_per_row: float = 64.0) -> None:
+    """Parquet parts named part-000 on, in the frame's order of partitions, of about PART_BYTES at most by the bytes
+    that a row takes in the source."""
+    rows_per_file = max(1000, int(PART_BYTES / max(bytes_per_row, 1.0)))
     stage = folder.parent / f".stage-{uuid.uuid4().hex}"
     try:
         df.write.option("maxRecordsPerFile", rows_per_file).parquet(str(stage))
@@ -147,17 +194,27 @@ def metadata(dataset: Dataset) -> dict | None:
 
 
 def content_hash(path: Path) -> str:
-    import hashlib
-
     with path.open("rb") as f:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
 def content_hashes(spark: SparkSession, paths: list[Path]) -> dict[str, str]:
-    """SHA-256 of many files, read and hashed on the executors."""
+    """SHA-256 of many files, hashed on the executors in pieces, whatever their size."""
     if not paths:
         return {}
-    rows = spark.read.format("binaryFile").load([str(p) for p in paths]).select("path", F.sha2("content", 256).alias("hash")).collect()
-    return {r.path.removeprefix("file:"): r.hash for r in rows}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                with open(name, "rb") as f:
+                    found.append(hashlib.file_digest(f, "sha256").hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "hash"])
+
+    names = spark.createDataFrame([(str(p),) for p in dict.fromkeys(paths)], "path string")
+    rows = names.repartition(min(len(paths), 256)).mapInArrow(run, "path string, hash string").collect()
+    return {r.path: r.hash for r in rows}
 
 
