@@ -71,6 +71,9 @@ def resolve(path: str | os.PathLike) -> Dataset:
     return dataset
 
 
+# How CSV is read: a value that is not there is null, one that is quoted and empty is empty.
+CSV = {"header": True, "escape": '"', "nullValue": "\0", "emptyValue": ""}
+
 #: What is known of CSV files, by path, size and time: a file is looked over once, however often it is read.
 _LAYOUTS: dict[tuple, tuple[T.StructType, bool]] = {}
 
@@ -86,7 +89,7 @@ def csv_layout(spark: SparkSession, name: str) -> tuple[T.StructType, bool]:
     odd = F.length("value") - F.length(F.replace("value", F.lit('"')))
     broken = not spark.read.text(name).filter(F.pmod(odd, F.lit(2)) == 1).isEmpty()
     with settings(spark, spark__sql__timestampType="TIMESTAMP_NTZ"):
-        schema = widened(spark.read.csv(name, header=True, inferSchema=True, escape='"', multiLine=broken)).schema
+        schema = widened(spark.read.csv(name, inferSchema=True, multiLine=broken, **CSV)).schema
     if len(key) > 1:
         if len(_LAYOUTS) >= 10_000:
             _LAYOUTS.clear()
@@ -100,7 +103,7 @@ def read(spark: SparkSession, path: str | os.PathLike, ordered: bool = False) ->
     name, suffix = str(path), Path(path).suffix.lower()
     if suffix == ".csv":
         schema, broken = csv_layout(spark, name)
-        df = spark.read.csv(name, schema=schema, header=True, escape='"', multiLine=broken)
+        df = spark.read.csv(name, schema=schema, multiLine=broken, **CSV)
     elif suffix == ".parquet":
         with settings(spark, spark__sql__legacy__parquet__nanosAsLong="true", spark__sql__timeType__enabled="true"):
             df = spark.read.parquet(name)
@@ -132,7 +135,7 @@ def rows_of(spark: SparkSession, paths: list[Path]) -> dict[Path, int]:
         found = read_arrow(spark, names, tagged=True, bare=True).groupBy(FILE).count().collect()
         return {Path(r[FILE]): r["count"] for r in found}
     if suffix == ".csv":
-        df = spark.read.csv(names, schema="_first string", header=True, escape='"', multiLine=csv_layout(spark, names[0])[1], enforceSchema=True)
+        df = spark.read.csv(names, schema="_first string", multiLine=csv_layout(spark, names[0])[1], enforceSchema=True, **CSV)
     else:
         df = spark.read.schema(T.StructType([])).parquet(*names)
     rows = df.groupBy(F.col("_metadata.file_path").alias("path")).count().collect()
@@ -151,8 +154,9 @@ def write(df: DataFrame, path: str | os.PathLike) -> None:
             write_arrow(df, str(stage / "part"))
             part = stage / "part"
         elif suffix == ".csv":
-            # an empty text is quoted, so that it is not read as null
-            df.coalesce(1).write.csv(str(stage), header=True, escape='"', quoteAll=False, emptyValue='""')
+            # an empty text is quoted, so that it is told from null; a null in a file of one column is a blank line, which
+            # readers of CSV pass over
+            df.coalesce(1).write.csv(str(stage), header=True, escape='"', emptyValue='""', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
             part = next(stage.glob("part-*"), None)
         elif suffix == ".parquet":
             df.coalesce(1).write.parquet(str(stage))

@@ -7,6 +7,7 @@ from helpers import put, rows
 from shardwell.plans import compiling, diffing, plotting, preview, transforming
 from shardwell.plans.analysis import Analysis, Cache, Mode, analyse, build, schema_groups, type_changes
 from shardwell.plans.diffing import Level
+from shardwell.sources import files as files_module
 from shardwell.sources.files import SOURCE_FILE, Kind, SourceError, read, resolve, write
 
 
@@ -73,6 +74,44 @@ def test_write_and_read(spark, tmp_path, suffix):
     assert [p.name for p in (tmp_path / "deep").iterdir()] == [f"x{suffix}"]
 
 
+ODD = [(1, "a\nb", "x"), (2, "", None), (3, None, 'q"u,o\r\nte'), (4, "  lead ", '"'), (5, "null", "\\"), (6, "tail\n", "é")]
+
+
+def test_csv_keeps_odd_values(spark, tmp_path):
+    df = spark.createDataFrame(ODD, "id bigint, t string, u string")
+    write(df, tmp_path / "odd.csv")
+    found = read(spark, tmp_path / "odd.csv", ordered=True)
+    assert found.drop("_order").schema == df.schema and [tuple(r) for r in found.orderBy("_order").drop("_order").collect()] == ODD
+    write(read(spark, tmp_path / "odd.csv"), tmp_path / "again.csv")
+    assert (tmp_path / "again.csv").read_bytes() == (tmp_path / "odd.csv").read_bytes()
+    put(tmp_path / "plain.csv", id=[7], t=["p"], u=["q"])
+    records = {f.relative: (f.rows, f.columns) for f in build(spark, resolve(tmp_path), Mode.QUICK).files}
+    assert {k: v[0] for k, v in records.items()} == {"odd.csv": 6, "again.csv": 6, "plain.csv": 1} and len({v[1] for v in records.values()}) == 1
+
+
+def test_hashes_and_counts_of_files(spark, tmp_path):
+    import hashlib
+
+    files = [put(tmp_path / n, v=list(range(k))) for n, k in (("a b.csv", 3), ("ä.parquet", 4), ("c.feather", 5), ("d.parquet", 0))]
+    found = files_module.content_hashes(spark, files)
+    assert found == {str(p): hashlib.sha256(p.read_bytes()).hexdigest() for p in files} and files_module.content_hashes(spark, []) == {}
+    assert {f.relative: f.rows for f in build(spark, resolve(tmp_path), Mode.QUICK).files} == {"a b.csv": 3, "ä.parquet": 4, "c.feather": 5, "d.parquet": 0}
+
+
+def test_head_reads_no_more_than_it_needs(spark, tmp_path):
+    for i in range(3):
+        put(tmp_path / "h" / f"{i}.parquet", v=[i * 10 + k for k in range(4)])
+    assert [r["v"] for r in preview.first_rows(spark, resolve(tmp_path / "h").files(), 6)] == [0, 1, 2, 3, 10, 11]
+    (tmp_path / "h" / "1.parquet").write_bytes(b"broken")
+    assert [r["v"] for r in preview.first_rows(spark, resolve(tmp_path / "h").files(), 3)] == [0, 1, 2]
+
+
+def test_parts_by_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files_module, "PART_BYTES", 80_000)
+    files_module.write_parts(spark.range(5000).coalesce(1), tmp_path / "parts", 40.0)
+    assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["part-000.parquet", "part-001.parquet", "part-002.parquet"]
+
+
 def test_compile(spark, drift, tmp_path):
     with pytest.raises(compiling.CompileError):
         compiling.compile_dataset(spark, drift, tmp_path / "out")
