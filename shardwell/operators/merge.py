@@ -40,16 +40,29 @@ def effective_schema(target: T.StructType, source: T.StructType, additive: bool)
     return T.StructType([*target.fields, *(f for f in source.fields if f.name not in target.names)])
 
 
-def _prepared(target: DataFrame, source: DataFrame, additive: bool) -> tuple[DataFrame, DataFrame, list[str]]:
-    schema = effective_schema(target.schema, source.schema, additive)
+def _prepared(target: DataFrame, source: DataFrame, additive: bool, order: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    plain = [df.drop(order) if order else df for df in (target, source)]
+    schema = effective_schema(plain[0].schema, plain[1].schema, additive)
     kinds = kinds_of(schema)
-    return aligned(target, kinds), aligned(source, kinds), schema.names
+    known = lambda df: kinds | ({order: df.schema[order].dataType} if order in df.columns else {})
+    return aligned(target, known(target)), aligned(source, known(source)), schema.names
 
 
-def append(target: DataFrame, source: DataFrame, additive: bool = False) -> DataFrame:
-    """All target rows, duplicates too, then the distinct source rows that the target lacks."""
-    t, s, names = _prepared(target, source, additive)
-    return t.unionAll(not_in(s, t, names).distinct())
+def _stacked(kept: DataFrame, new: DataFrame, names: list[str], order: str | None) -> DataFrame:
+    """The kept rows and the new ones, in that order and each in its own if there is an order column."""
+    if order is None:
+        return kept.unionAll(new)
+    both = kept.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
+    return both.orderBy("_side", quoted(order)).select(*[quoted(n) for n in names])
+
+
+def append(target: DataFrame, source: DataFrame, additive: bool = False, order: str | None = None) -> DataFrame:
+    """All target rows, duplicates too, then the distinct source rows that the target lacks. With `order`, a column of
+    both sides that is no part of the result, rows stand in that order."""
+    t, s, names = _prepared(target, source, additive, order)
+    new = not_in(s, t.drop(order) if order else t, names)
+    new = new.groupBy(*[quoted(n) for n in names]).agg(F.min(quoted(order)).alias(order)) if order else new.distinct()
+    return _stacked(t, new, names, order)
 
 
 def last_by_key(source: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -59,13 +72,14 @@ def last_by_key(source: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def upsert(target: DataFrame, source: DataFrame, keys: list[str], order: str, additive: bool = False) -> DataFrame:
-    """Target rows whose key the source lacks, then the source with the last row of each key. `order` tells
-    the source's row order and is not part of the result."""
+    """Target rows whose key the source lacks, then the source with the last row of each key. `order` tells the source's
+    row order and is no part of the result; if the target has it too, rows stand in that order."""
     if not keys:
         raise MergeError("Upsert needs key columns")
-    last = last_by_key(source, keys, order).drop(order)
-    t, s, _ = _prepared(target, last, additive)
-    return not_in(t, s, keys).unionAll(s)
+    ordered = order in target.columns
+    last = last_by_key(source, keys, order)
+    t, s, names = _prepared(target, last if ordered else last.drop(order), additive, order if ordered else None)
+    return _stacked(not_in(t, s, keys), s, names, order if ordered else None)
 
 
 def conflicts(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +98,7 @@ def check_conflicts(df: DataFrame, keys: list[str]) -> None:
 
 def preview_append(target: DataFrame, source: DataFrame, additive: bool = False) -> DataFrame:
     """target_rows, source_rows and insert_rows. Rows to insert count repeats that append() then drops."""
-    t, s, names = _prepared(target, source, additive)
+    t, s, names = _prepared(target, source, additive, None)
     counts = lambda df, n: df.agg(F.count("*").alias(n))
     return counts(t, "target_rows").crossJoin(counts(s, "source_rows")).crossJoin(counts(not_in(s, t, names), "insert_rows"))  # one row each
 

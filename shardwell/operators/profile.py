@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.digest import digest, digestible
 from ..functions.histogram import MOST_BINS, finite
 from ..functions.types import is_datetime, is_float, is_nested, is_numeric, is_temporal, no_nan, quoted
-from .quantiles import medians
+from .quantiles import column_medians
 
 STATISTICS = ("null_rate", "min", "max", "n", "mean", "median", "stddev", "unique")
 ISO = {"timestamp": "yyyy-MM-dd'T'HH:mm:ss{}xxx", "timestamp_ntz": "yyyy-MM-dd'T'HH:mm:ss{}"}
@@ -86,8 +86,8 @@ def statistics(column: str, kind: T.DataType, deep: bool = False) -> dict[str, C
 def profile(df: DataFrame, deep: bool = False) -> DataFrame:
     """One row per column, in order: column, dtype and STATISTICS.
 
-    All columns share one aggregate, whose wide row is unpivoted where it lands, and the two passes of the exact
-    medians, which hold no more than brackets in memory. A frame without rows has null rates of 0 and nulls else.
+    All columns share one aggregate, whose wide row is unpivoted where it lands, and the passes of the exact medians
+    (column_medians(), which run at once). A frame without rows has null rates of 0 and nulls else.
     """
     fields = df.schema.fields
     wide = df.agg(*[F.struct(*[c.alias(n) for n, c in statistics(f.name, f.dataType, deep).items()]).alias(f"c{i}") for i, f in enumerate(fields)])
@@ -96,27 +96,11 @@ def profile(df: DataFrame, deep: bool = False) -> DataFrame:
     numbers = [(i, f, n) for i, f in enumerate(fields) if (n := as_number(quoted(f.name), f.dataType)) is not None]
     median = F.lit(None).cast("string")
     if numbers:
-        long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("g"), n.alias("v")) for i, _, n in numbers])))
-        rows = rows.join(F.broadcast(medians(long, "g", "v")), F.col("i") == F.col("g"), "left")  # a row per column
-        for i, f, _ in numbers:
-            median = F.when(F.col("i") == i, median_text(F.col("median"), f.dataType)).otherwise(median)
+        for (i, f, _), value in zip(numbers, column_medians(df, [n for _, _, n in numbers]), strict=True):
+            median = F.when(F.col("i") == i, median_text(F.lit(value).cast("double"), f.dataType)).otherwise(median)
     return rows.orderBy("i").select("column", "dtype", *[median.alias(n) if n == "median" else n for n in STATISTICS])
 
 
-def histograms(df: DataFrame, bounds: dict[str, list[float]]) -> dict[str, list[int]]:
-    """Counts per bin of several columns by their edges, in one scan: a row of (column, bin) per value would
-    be shuffled, so the counts are conditional sums instead."""
-    from ..functions.histogram import bin_index
-
-    exprs = []
-    for i, (name, e) in enumerate(bounds.items()):
-        value = quoted(name).cast("double")
-        index = bin_index(value, e)
-        exprs += [F.count_if(finite(value) & (index == b)).alias(f"h{i}_{b}") for b in range(len(e) - 1)]
-    row = df.agg(*exprs).first() if exprs else {}
-    return {name: [row[f"h{i}_{b}"] for b in range(len(e) - 1)] for i, (name, e) in enumerate(bounds.items())}
-
-
 def digests(df: DataFrame, ordinal: str) -> DataFrame:
     """(column, digest) of all columns that can be digested but the ordinal; equal for equal values in equal order."""
     fields = [f for f in df.schema.fields if f.name != ordinal and digestible(f.dataType)]

@@ -49,10 +49,11 @@ class RowDiff:
     payload: list[str]
     joined: DataFrame
 
-    def summary(self) -> DataFrame:
-        """added, removed, updated, unchanged in one row."""
+    def summary(self, by: str | None = None) -> DataFrame:
+        """added, removed, updated, unchanged in one row, or in a row for each value of the key column `by`."""
         both = F.col("in_left") & F.col("in_right")
-        return self.joined.agg(
+        rows = self.joined.groupBy(F.col(f"k{self.keys.index(by)}").alias(by)) if by else self.joined
+        return rows.agg(
             F.count_if(~F.col("in_left")).alias("added"),
             F.count_if(~F.col("in_right")).alias("removed"),
             F.count_if(both & F.col("is_changed")).alias("updated"),
@@ -92,12 +93,24 @@ class RowDiff:
             pass
         return changed(self._side("l", name), self._side("r", name), False)
 
+    def changes(self) -> RowDiff:
+        """The comparison without unchanged rows."""
+        return RowDiff(self.keys, self.payload, self.joined.filter("not in_left or not in_right or is_changed"))
+
     def examples(self, n: int) -> dict[str, list]:
         """At most n rows of each kind, the smallest keys first."""
         order = [F.col(f"`{k}`").asc_nulls_first() for k in self.keys]
         return {kind: getattr(self, kind)().orderBy(*order).limit(n).collect() for kind in ("added", "removed", "updated")}
 
 
+def compare_files(left: DataFrame, right: DataFrame, file_col: str, keys: list[str], check: bool = True) -> RowDiff:
+    """compare() within each file of two frames tagged with their file; files of one side only are not compared. One
+    join over all files, so a folder of many files is one job."""
+    files = left.select(file_col).distinct().join(right.select(file_col).distinct(), file_col, "left_semi")
+    a, b = (df.join(files, file_col, "left_semi") for df in (left, right))
+    return compare(a, b, [file_col, *keys], check)
+
+
 NUMBERS = {"byte", "short", "integer", "long", "float", "double", "decimal"}
 
 

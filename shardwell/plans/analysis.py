@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
-import math
 from collections import Counter
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import histogram as H
 from ..functions.ordinal import ORDER, with_ordinal
 from ..functions.types import columns_of, is_numeric, signature
-from ..operators.profile import digests, histograms, profile
+from ..operators.profile import digests, profile, profile_histogram
 from ..sources.files import METADATA, Dataset, Kind, SourceError, csv_layout, metadata, read, read_all, rows_of
 
 VERSION = 1
@@ -157,28 +156,19 @@ def column_statistics(df: DataFrame, mode: Mode) -> tuple[dict[str, ColumnStatis
     deep = mode in (Mode.DEEP, Mode.DEEP_NO_HISTOGRAM)
     plain = df.drop(ORDER)
     out: dict[str, ColumnStatistics] = {}
-    present: dict[str, int] = {}
     for r in profile(plain, deep).collect() if plain.columns else []:
         out[r["column"]] = ColumnStatistics(r["dtype"], r["null_rate"], r["unique"], r["min"], r["max"], r["mean"], r["median"], r["stddev"])
-        present[r["column"]] = r["n"]
     hashes: dict[str, str] = {}
     if deep and plain.columns:
         hashes = {r["column"]: r["digest"] for r in digests(with_ordinal(df), "_ordinal").collect()}
     if mode is Mode.DEEP:
-        bounds: dict[str, list[float]] = {}
-        for f in plain.schema.fields:
-            s = out[f.name]
-            if not is_numeric(f.dataType) or s.min is None:
-                continue
-            low, high = float(s.min), float(s.max)
-            if not (math.isfinite(low) and math.isfinite(high)):
-                continue
-            if H.is_single(low, high):
-                s.histogram = [(H.bound_label(low), present[f.name])]
-            else:
-                bounds[f.name] = H.edges(low, high, present[f.name])
-        for name, counts in histograms(plain, bounds).items():
-            out[name].histogram = list(zip(H.labels(bounds[name]), counts, strict=True))
+        numeric = [f.name for f in plain.schema.fields if is_numeric(f.dataType) and out[f.name].min is not None]
+        bins = profile_histogram(plain, numeric).orderBy("column", "bin").collect() if numeric else []
+        for name in numeric:
+            own = [r for r in bins if r["column"] == name]  # none if an extreme is infinite
+            bounds = [*(r["low"] for r in own), *(r["high"] for r in own[-1:])]
+            names = H.labels(bounds) if len(own) > 1 else [H.bound_label(b) for b in bounds[:1]]
+            out[name].histogram = list(zip(names, (r["count"] for r in own), strict=True))
     return out, hashes
 
 

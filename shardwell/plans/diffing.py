@@ -9,9 +9,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from ..operators.rowdiff import DiffError, compare
-from ..sources.files import Dataset, Kind, content_hash, content_hashes, metadata, read, resolve
+from ..operators.rowdiff import DiffError, RowDiff, compare, compare_files
+from ..sources.files import SOURCE_FILE, Dataset, Kind, content_hash, content_hashes, metadata, read, read_all, resolve
 from .analysis import Analysis, Cache, Mode, analyse
 
 COMPARED = ("null_rate", "unique_estimate", "min", "max", "mean", "median", "stddev")
@@ -89,22 +90,6 @@ def compare_analyses(left: Analysis, right: Analysis, report: Report) -> Report:
     return report
 
 
-def statistics_diff(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Differing statistics of two long profiles as a plan: column, statistic, left, right (text)."""
-    names = ("null_rate", "unique", "min", "max", "mean", "median", "stddev")
-    long = lambda df: df.select("column", F.inline(F.array(*[F.struct(F.lit(n).alias("statistic"), F.col(n).cast("string").alias("value")) for n in names])))
-    a, b = long(left).withColumnRenamed("value", "left"), long(right).withColumnRenamed("value", "right")
-    both = a.join(b, ["column", "statistic"], "full_outer")
-    near = F.abs(F.col("left").try_cast("double") - F.col("right").try_cast("double")) <= F.greatest(F.lit(1e-9), 1e-9 * F.greatest(F.abs(F.col("left").try_cast("double")), F.abs(F.col("right").try_cast("double"))))
-    return both.filter(~F.col("left").eqNullSafe(F.col("right")) & ~F.coalesce(near, F.lit(False)))
-
-
-def file_frame(dataset: Dataset, spark: SparkSession) -> DataFrame:
-    """(file, size, hash) of a dataset's files as a frame, hashed on the executors."""
-    hashes = content_hashes(spark, dataset.files())
-    return spark.createDataFrame([(dataset.relative(p), p.stat().st_size, hashes.get(str(p))) for p in dataset.files()], "file string, size bigint, hash string")
-
-
 def inventory_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     """(file, status) from two (file, hash) frames: added, removed, modified or matching."""
     both = left.select("file", F.col("hash").alias("l")).join(right.select("file", F.col("hash").alias("r")), "file", "full_outer")
@@ -113,37 +98,46 @@ def inventory_diff(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def folder_inventory(spark: SparkSession, left: Dataset, right: Dataset) -> dict[str, list[str]]:
-    """Files by relative path. Only files of equal size that are not the same file on disk are hashed."""
+    """Files by relative path: see inventory_diff(). Files are told apart by size; only those of equal size that are not
+    the same file on disk are hashed."""
     a, b = ({d.relative(p): p for p in d.files()} for d in (left, right))
-    common = sorted(a.keys() & b.keys())
-    same_size = [n for n in common if a[n].stat().st_size == b[n].stat().st_size]
-    doubtful = [n for n in same_size if not a[n].samefile(b[n])]
-    hashes = content_hashes(spark, [p for n in doubtful for p in (a[n], b[n])])
-    modified = [n for n in common if n not in same_size or (n in doubtful and hashes[str(a[n])] != hashes[str(b[n])])]
-    return {"added": sorted(b.keys() - a.keys()), "removed": sorted(a.keys() - b.keys()), "modified": modified, "matching": [n for n in common if n not in set(modified)]}
-
-
-def folder_row_diff(left: DataFrame, right: DataFrame, file_col: str, keys: list[str]) -> DataFrame:
-    """added, removed, updated and unchanged per file from two frames tagged with their file; files of one
-    side only are not compared. One join over all files, so a folder of many files is one job."""
-    files = left.select(file_col).distinct().join(right.select(file_col).distinct(), file_col, "left_semi")
-    a, b = (df.join(files, file_col, "left_semi") for df in (left, right))
-    diff = compare(a, b, [file_col, *keys], check=False)
-    both = F.col("in_left") & F.col("in_right")
-    return diff.joined.groupBy(F.col("k0").alias(file_col)).agg(
-        F.count_if(~F.col("in_left")).alias("added"), F.count_if(~F.col("in_right")).alias("removed"), F.count_if(both & F.col("is_changed")).alias("updated"), F.count_if(both & ~F.col("is_changed")).alias("unchanged")
-    )
-
-
-def _rows(report: Report, left: DataFrame, right: DataFrame, keys: list[str], n: int, source: str | None = None) -> None:
-    diff = compare(left, right, keys)
+    same_size = [n for n in a.keys() & b.keys() if a[n].stat().st_size == b[n].stat().st_size]
+    one_file = {n for n in same_size if a[n].samefile(b[n])}
+    hashes = content_hashes(spark, [p for n in same_size if n not in one_file for p in (a[n], b[n])])
+    mark = lambda n, p: "one file" if n in one_file else hashes.get(str(p), f"{p.stat().st_size} bytes")
+    frame = lambda files: spark.createDataFrame([(n, mark(n, p)) for n, p in files.items()], "file string, hash string")
+    out: dict[str, list[str]] = {k: [] for k in ("added", "removed", "modified", "matching")}
+    for r in inventory_diff(frame(a), frame(b)).collect():
+        out[r["status"]].append(r["file"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _rows(report: Report, diff: RowDiff, keys: list[str], n: int) -> None:
+    """Counts, and up to n examples of each kind in all. The join runs once: what changed is kept meanwhile."""
     counts = RowSummary(**diff.summary().first().asDict())
     report.rows = counts if report.rows is None else report.rows + counts
     room = {k: n - len(v) for k, v in report.examples.items()}
-    for kind, rows in diff.examples(max(room.values())).items() if max(room.values()) > 0 else ():
+    if max(room.values()) <= 0 or not (counts.added or counts.removed or counts.updated):
+        return
+    changes = diff.changes()
+    changes.joined.persist(StorageLevel.DISK_ONLY)
+    for kind, rows in changes.examples(max(room.values())).items():
         for r in rows[: room[kind]]:
-            example = {"key": {k: r[k] for k in keys}} | ({"source": source} if source else {})
+            example = {"key": {k: r[k] for k in keys}} | ({"source": r[SOURCE_FILE]} if SOURCE_FILE in diff.keys else {})
             report.examples[kind].append(example | ({"deltas": [d.asDict() for d in r["deltas"]]} if kind == "updated" else {}))
+    changes.joined.unpersist()
+
+
+def _folder_rows(spark: SparkSession, report: Report, left: Dataset, right: Dataset, analyses: tuple[Analysis, Analysis], keys: list[str], n: int) -> None:
+    """Compare the rows of the files that both folders have: one join for all files that share their schemas."""
+    columns = [{f.relative: f.columns for f in a.files if f.error is None} for a in analyses]
+    groups: dict[tuple, list[str]] = {}
+    for name in sorted({*report.files["matching"], *report.files["modified"]}):
+        if name in columns[0] and name in columns[1]:
+            groups.setdefault((columns[0][name], columns[1][name]), []).append(name)
+    for names in groups.values():
+        tagged = lambda d, names=names: read_all(spark, d, [d.path / name for name in names], tagged=True)
+        _rows(report, compare_files(tagged(left), tagged(right), SOURCE_FILE, keys), keys, n)
 
 
 @dataclass
@@ -152,13 +146,13 @@ class Match:
     path: Path | None = None
 
 
-def match_in_folder(file: Path, folder: Dataset) -> Match:
+def match_in_folder(spark: SparkSession, file: Path, folder: Dataset) -> Match:
     """The folder's file of the same base name; of several, the one with the same content if it is the only one."""
     same = [p for p in folder.files() if p.name == file.name]
     if not same:
         return Match("missing")
-    own = content_hash(file)
-    equal = [p for p in same if content_hash(p) == own]
+    hashes = content_hashes(spark, [file, *same])
+    equal = [p for p in same if hashes[str(p)] == hashes[str(file)]]
     if len(same) > 1 and len(equal) != 1:
         return Match("ambiguous")
     return Match("unmodified", equal[0]) if equal else Match("modified", same[0])
@@ -173,30 +167,35 @@ def diff(spark: SparkSession, left: str | Path, right: str | Path, level: Level
         raise DiffError("Row keys need --level full")
     report = Report(level)
     mode = Mode.STANDARD if level is Level.METADATA else Mode.DEEP_NO_HISTOGRAM
-    analysed = lambda x, y: compare_analyses(analyse(spark, x, mode, cache), analyse(spark, y, mode, cache), report)
+
+    def analysed(x: Dataset, y: Dataset) -> tuple[Analysis, Analysis]:
+        both = analyse(spark, x, mode, cache), analyse(spark, y, mode, cache)
+        compare_analyses(*both, report)
+        return both
+
     kinds = a.kind, b.kind
     if kinds == (Kind.FILE, Kind.FILE):
         same = content_hash(a.path) == content_hash(b.path)
         report.files = {"identical" if same else "modified": [b.path.name]}
         analysed(a, b)
         if keys:
-            _rows(report, read(spark, a.path), read(spark, b.path), keys, examples)
+            _rows(report, compare(read(spark, a.path), read(spark, b.path), keys), keys, examples)
     elif set(kinds) == {Kind.FILE, Kind.FOLDER}:
         file, folder = (a, b) if a.kind is Kind.FILE else (b, a)
-        found = match_in_folder(file.path, folder)
+        found = match_in_folder(spark, file.path, folder)
         report.files = {found.status: [file.path.name]}
         if found.status == "modified":
             other = Dataset(found.path, Kind.FILE)
             pair = (file, other) if a.kind is Kind.FILE else (other, file)
             analysed(*pair)
             if keys:
-                _rows(report, read(spark, pair[0].path), read(spark, pair[1].path), keys, examples)
+                _rows(report, compare(read(spark, pair[0].path), read(spark, pair[1].path), keys), keys, examples)
     elif kinds == (Kind.FOLDER, Kind.FOLDER):
         report.files = folder_inventory(spark, a, b)
         if level is not Level.METADATA:
-            analysed(a, b)
-            for name in sorted({*report.files["matching"], *report.files["modified"]}) if keys else ():
-                _rows(report, read(spark, a.path / name), read(spark, b.path / name), keys, examples, name)
+            both = analysed(a, b)
+            if keys:
+                _folder_rows(spark, report, a, b, both, keys, examples)
     elif kinds == (Kind.COMPILED, Kind.COMPILED):
         if keys:
             raise DiffError("Row keys are not supported for compiled datasets")

@@ -14,11 +14,10 @@ from enum import StrEnum
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.ordinal import ORDER
-from ..functions.types import aligned, kinds_of, quoted
+from ..functions.types import aligned, kinds_of
 from ..operators import merge
 from ..operators.merge import MergeError
 from ..sources.files import SUFFIXES, Dataset, Kind, read, resolve, write
@@ -165,22 +164,17 @@ def prepare(spark: SparkSession, operations: list[Operation], o: Options) -> lis
 
 def merged(spark: SparkSession, p: Prepared, o: Options) -> DataFrame:
     """The result of one merge in order: the target's rows, then the source's."""
-    op, names = p.operation, p.schema.names
+    op = p.operation
     kinds = kinds_of(p.schema)
     target = read(spark, op.target, ordered=True)
     source = _source(spark, op, p.schema, p.cast, ordered=True)
     order = {ORDER: target.schema[ORDER].dataType}
     t, s = aligned(target, kinds | order), aligned(source, kinds | order)
-    if o.strategy is Strategy.APPEND:
-        new = merge.not_in(s, t.drop(ORDER), names).groupBy(*[quoted(n) for n in names]).agg(F.min(ORDER).alias(ORDER))
-        kept = t
-    else:
-        new = merge.last_by_key(s, list(o.keys), ORDER)
-        kept = merge.not_in(t, new, list(o.keys))
-    both = kept.withColumn("_side", F.lit(0)).unionByName(new.withColumn("_side", F.lit(1)))
-    if o.strategy is Strategy.APPEND and o.keys:
-        merge.check_conflicts(both.select(*[quoted(n) for n in names]), list(o.keys))
-    return both.orderBy("_side", ORDER).select(*[quoted(n) for n in names])
+    if o.strategy is Strategy.UPSERT:
+        return merge.upsert(t, s, list(o.keys), ORDER)
+    if o.keys:
+        merge.check_conflicts(merge.append(t.drop(ORDER), s.drop(ORDER)), list(o.keys))
+    return merge.append(t, s, order=ORDER)
 
 
 def add_previews(spark: SparkSession, prepared: list[Prepared], o: Options) -> None:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import rowdiff
-from ..operators.profile import profile
-from ..plans.diffing import folder_row_diff, inventory_diff as compare_inventories, statistics_diff
+from ..plans.analysis import Analysis, Mode, column_statistics
+from ..plans.diffing import Report, compare_analyses, inventory_diff as compare_inventories
 from .registry import Registry, table
 
 QUERIES = Registry()
@@ -61,7 +61,7 @@ def rowdiff_updated_keys(spark, sf_dir):
 
 @QUERIES.add(f"{CTE} select coalesce(lf, rf) as file, {COUNTS} from j group by 1")
 def rowdiff_folder(spark, sf_dir):
-    return folder_row_diff(*_sides(spark, sf_dir, file=True), "file", ["k"])
+    return rowdiff.compare_files(*_sides(spark, sf_dir, file=True), "file", ["k"]).summary("file")
 
 
 @QUERIES.add("select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1")
@@ -69,12 +69,30 @@ def duplicate_keys(spark, sf_dir):
     return rowdiff.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@QUERIES.add("select 'p_size' as column_name, unnest(['max', 'mean', 'median', 'min']) as statistic")
+PART = "(select p_size, p_retailprice, case when p_size > 10 then p_size end as partly from part)"
+CHANGED = "(select p_size + 1 as p_size, p_retailprice, case when p_size > 20 then p_size end as partly from part)"
+
+
+def _numbers_sql(source: str) -> str:
+    one = lambda c: " union all ".join(
+        f"select '{c}' as column_name, '{name}' as statistic, cast({e.format(c)} as double) as value from {source}"
+        for name, e in {"null_rate": "avg(case when {} is null then 1 else 0 end)", "min": "min({})", "max": "max({})", "mean": "avg({})", "median": "median({})", "stddev": "stddev_samp({})"}.items()
+    )
+    return " union all ".join(one(c) for c in ("p_size", "p_retailprice", "partly"))
+
+
+@QUERIES.add(
+    f"select l.column_name, l.statistic, round(l.value, 6) as before, round(r.value, 6) as after from ({_numbers_sql(PART)}) l join ({_numbers_sql(CHANGED)}) r using (column_name, statistic) "
+    "where abs(l.value - r.value) > 1e-9 * greatest(1, abs(l.value), abs(r.value))"
+)
 def diff_statistics(spark, sf_dir):
-    """Which statistics of p_size differ once every value is one larger."""
-    part = table(spark, sf_dir, "part").select("p_name", "p_size", "p_retailprice")
-    found = statistics_diff(profile(part), profile(part.withColumn("p_size", (F.col("p_size") + 1).cast("int"))))
-    return found.select(F.col("column").alias("column_name"), "statistic")
+    """What the comparison of two analyses reports where p_size is one larger and another column has more nulls."""
+    part = table(spark, sf_dir, "part").selectExpr("p_size", "p_retailprice", "case when p_size > 10 then p_size end as partly")
+    other = part.selectExpr("cast(p_size + 1 as int) as p_size", "p_retailprice", "case when p_size > 20 then partly end as partly")
+    one, two = (Analysis(0, 3, 1, [], column_statistics(df, Mode.STANDARD)[0]) for df in (part, other))
+    found = compare_analyses(one, two, Report("statistics")).statistics
+    rows = [(c, s, round(float(a), 6), round(float(b), 6)) for c, pairs in found.items() for s, (a, b) in pairs.items()]
+    return spark.createDataFrame(rows, "column_name string, statistic string, before double, after double")
 
 
 def _listing(spark, sf_dir, changed: str, dropped: int):

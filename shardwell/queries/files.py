@@ -4,36 +4,30 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.ordinal import ORDER
 from ..plans import compiling
-from ..plans.preview import head
-from ..session import shared_path
+from ..plans.preview import head_dataset
 from ..sources.files import SOURCE_FILE, Dataset, Kind, read, resolve, write
-from .registry import Registry, table
+from .registry import Registry, local_folder, table
 
 QUERIES = Registry()
 
 
-def _folder(spark, what: str) -> Path:
-    """A folder for single files, which local tools write: only for the local tests of file formats."""
-    path = Path(shared_path(spark, what).removeprefix("file://").removeprefix("file:"))
-    path.mkdir(parents=True)
-    return path
+# values that break lines, hold quotes and commas, are blank, empty or null
+ODD = {"c_name": "case c_custkey % 6 when 0 then concat(c_name, chr(10), 'second, line') when 1 then concat('\"', c_name) when 2 then '' when 3 then concat('  ', c_name, ' ') when 4 then null else c_name end"}
 
 
-@QUERIES.add("select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') as segment from customer")
+@QUERIES.add(f"select c_custkey, {ODD['c_name']} as c_name, cast(c_nationkey as bigint) as c_nationkey, c_acctbal, nullif(c_mktsegment, 'BUILDING') as segment from customer")
 def scan_csv_roundtrip(spark, sf_dir):
-    path = f"{shared_path(spark, 'csv')}.csv"
-    table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "c_nationkey", "c_acctbal", "nullif(c_mktsegment, 'BUILDING') as segment").write.csv(path, header=True)
+    path = local_folder(spark, "csv") / "customer.csv"
+    write(table(spark, sf_dir, "customer").selectExpr("c_custkey", *[f"{e} as {n}" for n, e in ODD.items()], "c_nationkey", "c_acctbal", "nullif(c_mktsegment, 'BUILDING') as segment"), path)
     return read(spark, path)
 
 
 @QUERIES.add("select event_id, ts, user_id, event_type, value, nullif(user_id % 3, 0) as third from events")
 def scan_arrow_roundtrip(spark, sf_dir):
-    path = _folder(spark, "arrow") / "events.feather"
+    path = local_folder(spark, "arrow") / "events.feather"
     write(table(spark, sf_dir, "events").selectExpr("event_id", "ts", "user_id", "event_type", "value", "nullif(user_id % 3, 0) as third"), path)
     return read(spark, path)
 
@@ -45,7 +39,7 @@ def scan_parquet(spark, sf_dir):
 
 def _source(spark, sf_dir) -> Path:
     """A folder of four order files, one of another schema."""
-    folder = _folder(spark, "orders")
+    folder = local_folder(spark, "orders")
     orders = table(spark, sf_dir, "orders")
     for status, name in (("F", "a.parquet"), ("O", "b.csv"), ("P", "sub/c.feather")):
         write(orders.filter(F.col("o_orderstatus") == status).select("o_orderkey", "o_orderstatus", "o_totalprice"), folder / name)
@@ -81,24 +75,30 @@ def compile_coverage(spark, sf_dir):
     return spark.createDataFrame([(c.total, c.compiled, c.other_schema, c.unreadable, done.analysis.row_count)], "total int, compiled int, other_schema int, unreadable int, rows bigint")
 
 
-@QUERIES.add("select true as ok, 0 as errors, 1 as warnings")
+@QUERIES.add(
+    "select 'error' as kind, concat('Row counts differ: a.parquet (', count(*) filter (where o_orderstatus = 'F'), ' of ', count(*) filter (where o_orderstatus = 'F' and o_orderkey % 3 > 0), ')') as finding from orders "
+    "union all select 'warning', 'Source files left out: d.parquet'"
+)
 def compile_validate(spark, sf_dir):
+    """What validation finds after a third of a source file's rows went."""
     folder, done = _compiled(spark, sf_dir)
+    assert compiling.validate(spark, done.path, folder).ok
+    write(table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' and o_orderkey % 3 > 0").select("o_orderkey", "o_orderstatus", "o_totalprice"), folder / "a.parquet")
     found = compiling.validate(spark, done.path, folder)
-    return spark.createDataFrame([(found.ok, len(found.errors), len(found.warnings))], "ok boolean, errors int, warnings int")
+    return spark.createDataFrame([("error", x) for x in found.errors] + [("warning", x) for x in found.warnings], "kind string, finding string")
 
 
 @QUERIES.add("select event_id + 1 as position, event_id, value from events where event_id < 20")
 def head_n(spark, sf_dir):
     """The first rows of events, whose event_id counts the rows from 0."""
-    rows = head(read(spark, f"{sf_dir}/events.parquet", ordered=True), 20)
-    return rows.select(F.row_number().over(W.orderBy(ORDER)).cast("bigint").alias("position"), "event_id", "value")
+    [(_, rows)] = head_dataset(spark, Dataset(Path(f"{sf_dir}/events.parquet"), Kind.FILE), 20)
+    return spark.createDataFrame([(i, r["event_id"], r["value"]) for i, r in enumerate(rows, 1)], "position bigint, event_id bigint, value double")
 
 
-@QUERIES.add("select 'nation' as file, 0 as first_key union all select 'region', 0 union all select 'supplier', min(s_suppkey) from supplier")
+@QUERIES.add("select 'nation.parquet' as file, 0::bigint as first_key union all select 'region.parquet', 0 union all select 'sub/supplier.csv', min(s_suppkey) from supplier")
 def head_per_file(spark, sf_dir):
-    out = None
-    for name, key in (("nation", "n_nationkey"), ("region", "r_regionkey"), ("supplier", "s_suppkey")):
-        first = head(read(spark, f"{sf_dir}/{name}.parquet", ordered=True), 1).select(F.lit(name).alias("file"), F.col(key).cast("bigint").alias("first_key"))
-        out = first if out is None else out.union(first)
-    return out
+    """The first row of each file of a folder."""
+    folder = local_folder(spark, "heads")
+    for name, file in (("nation", "nation.parquet"), ("region", "region.parquet"), ("supplier", "sub/supplier.csv")):
+        write(table(spark, sf_dir, name), folder / file)
+    return spark.createDataFrame([(name, rows[0][0]) for name, rows in head_dataset(spark, resolve(folder), 9)], "file string, first_key bigint")

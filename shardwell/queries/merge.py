@@ -64,7 +64,10 @@ def merge_additive_upsert(spark, sf_dir):
     return merge.upsert(_target(spark, sf_dir), source, ["k"], "seq", additive=True)
 
 
-@QUERIES.add("select * from (values (0, 'k', 'bigint'), (1, 'v', 'bigint'), (2, 'note', 'string')) t(position, name, dtype)")
+@QUERIES.add(
+    "select cast(row_number() over () - 1 as integer) as position, column_name as name, case column_type when 'VARCHAR' then 'string' else lower(column_type) end as dtype "
+    "from (describe select nullif(o_orderkey, 6) as k, o_custkey % 50 as v, 'x' as note from orders)"
+)
 def merge_schema_effective(spark, sf_dir):
     source = _source(spark, sf_dir).drop("seq").withColumn("note", F.lit("x"))
     schema = merge.effective_schema(_target(spark, sf_dir).schema, source.schema, additive=True)

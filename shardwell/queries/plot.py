@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.histogram import numeric_histogram, time_label
 from ..functions.types import union_relaxed
 from ..operators import series
 from ..operators.profile import is_sorted
+from ..plans.plotting import Options, histogram
 from .registry import Registry, table
 
 QUERIES = Registry()
@@ -120,31 +120,39 @@ def scatter_outliers(spark, sf_dir):
     return series.outliers(points).select("x", "is_outlier")
 
 
-def _bins(label: str, source: str, value: str) -> str:
-    """The counts of an eight-bin histogram by its edges."""
-    return f"""select '{label}' as histogram, b as bin, (select count(*) from (select {value} as v from {source}) where isfinite(v) and least(7, (select count(*) from range(1, 8) e(i) where v >= lo + (hi - lo) / 8 * i)) = b) as count
+#: How the histogram writes an edge: a whole number plain, any other with three digits, a time as UTC text.
+NUMBER_SQL = "case when abs(e - round(e)) <= 1e-9 * greatest(abs(e), abs(round(e)), 1) then cast(cast(round(e) as bigint) as varchar) else regexp_replace(format('{:.3g}', e), 'e([+-])0*(\\d)$', 'e\\10\\2') end"
+TIME_SQL = "case when e % 86400 = 0 then strftime(make_timestamp(cast(e as bigint) * 1000000), '%Y-%m-%d') else strftime(make_timestamp(cast(floor(e) as bigint) * 1000000), '%Y-%m-%d %H:%M:%SZ') end"
+
+
+def _bins(label: str, source: str, value: str, text: str = NUMBER_SQL) -> str:
+    """The counts of an eight-bin histogram by its edges, and the edges' labels."""
+    edge = lambda i: f"(case when {i} = 8 then hi else lo + (hi - lo) / 8 * {i} end)"
+    shown = lambda i: f"(select {text} from (select {edge(i)} as e))"
+    return f"""select '{label}' as histogram, b as bin, (select count(*) from (select {value} as v from {source}) where isfinite(v) and least(7, (select count(*) from range(1, 8) e(i) where v >= lo + (hi - lo) / 8 * i)) = b) as count,
+        {shown("b")} || '..' || {shown("(b + 1)")} as edges
       from (select min(v) as lo, max(v) as hi from (select {value} as v from {source}) where isfinite(v)), range(0, 8) r(b)"""
 
 
 def _counts(spark, label: str, found):
-    return spark.createDataFrame([(label, i, n) for i, (_, n) in enumerate(found)], "histogram string, bin bigint, count bigint")
+    return spark.createDataFrame([(label, i, n, edges) for i, (edges, n) in enumerate(found)], "histogram string, bin bigint, count bigint, edges string")
 
 
 @QUERIES.add(_bins("holed", "events", f"cast({SQL_HOLED} as double)"))
 def hist_plot(spark, sf_dir):
-    return _counts(spark, "holed", numeric_histogram(_events(spark, sf_dir), F.col("holed")))
+    return _counts(spark, "holed", histogram(_events(spark, sf_dir), "holed", Options(kind="histogram")).bins)
 
 
 @QUERIES.add(_bins("balance", "(select c_acctbal from customer union all select s_acctbal from supplier)", "c_acctbal"))
 def hist_folder(spark, sf_dir):
     both = union_relaxed([table(spark, sf_dir, "customer").selectExpr("c_acctbal as balance", "c_name"), table(spark, sf_dir, "supplier").selectExpr("s_acctbal as balance")])
-    return _counts(spark, "balance", numeric_histogram(both, F.col("balance")))
+    return _counts(spark, "balance", histogram(both, "balance", Options(kind="histogram")).bins)
 
 
-@QUERIES.add(_bins("day", "orders", "cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 86400 as double)"))
+@QUERIES.add(_bins("day", "orders", "cast(date_diff('day', date '1970-01-01', cast(o_orderdate as date)) * 86400 as double)", TIME_SQL))
 def hist_temporal(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("day"))
-    return _counts(spark, "day", numeric_histogram(orders, series.to_number(F.col("day"), orders.schema["day"].dataType), time_label))
+    return _counts(spark, "day", histogram(orders, "day", Options(kind="histogram")).bins)
 
 
 RESAMPLED = """with p as (select epoch_us(date_trunc('day', o_orderdate)) / 1e6 as x, cast(count(*) as double) as y from orders group by 1),

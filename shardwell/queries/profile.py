@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.digest import digest
-from ..functions.types import columns_of, signature
-from ..operators.profile import profile, profile_histogram
-from .registry import Registry, table
+from ..functions.ordinal import ORDER, with_ordinal
+from ..operators.profile import digests, profile, profile_histogram
+from ..plans.analysis import inventory, schema_groups as group_schemas, type_changes
+from ..sources.files import read, resolve, write
+from .registry import Registry, local_folder, table
 
 QUERIES = Registry()
 
@@ -65,9 +66,15 @@ def profile_temporal(spark, sf_dir):
     return rows.select(F.col("column").alias("column_name"), F.col("min").alias("min_value"), F.col("max").alias("max_value"), "median")
 
 
-@QUERIES.add()
+@QUERIES.add(_union([f"select '{c}' as column_name, count(distinct {c}) + max(case when {c} is null then 1 else 0 end) as exact, true as near from ({HOLED})" for c in HOLES]))
 def profile_unique_estimate(spark, sf_dir):
-    return profile(_holed(spark, sf_dir), deep=True).select(F.col("column").alias("column_name"), F.col("unique").alias("unique_estimate"))
+    """Exact distinct counts, a null as one more, and whether the profile's estimates are within 15 % of them: three times
+    the sketch's standard error."""
+    rows = _holed(spark, sf_dir)
+    exact = rows.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in rows.columns])
+    long = exact.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("exact")) for c in rows.columns])))
+    found = profile(rows, deep=True).select(F.col("column").alias("column_name"), "unique")
+    return long.join(found, "column_name").select("column_name", "exact", (F.abs(F.col("unique") - F.col("exact")) <= 0.15 * F.col("exact")).alias("near"))
 
 
 @QUERIES.add(
@@ -102,17 +109,25 @@ def hist_constant(spark, sf_dir):
     return _named(profile_histogram(table(spark, sf_dir, "customer").select(F.lit(3).alias("three")), ["three"]))
 
 
-@QUERIES.add("select * from (values ('same rows dealt anew', true), ('one value changed', false), ('two rows swapped', false)) t(change, equal)")
+# the digest's sums of two 60-bit pieces of SHA-256 over ordinal and value
+PIECE = "cast(sum(cast(cast(concat('0x', substr(h, {}, 15)) as bigint) as decimal(38, 0))) as varchar)"
+DIGEST = f"concat({PIECE.format(1)}, '-', {PIECE.format(16)}, '-', count(*))"
+HASHED = "select sha256(concat({o}, ':', case when {v} is null then '<NULL>' else concat('=', {v}) end)) as h from events"
+
+
+def _digest_sql(change: str, value: str = "user_id", ordinal: str = "event_id") -> str:
+    return f"select '{change}' as change, {DIGEST} as digest from ({HASHED.format(o=ordinal, v=value)})"
+
+
+@QUERIES.add(_union([_digest_sql("none"), _digest_sql("dealt anew"), _digest_sql("one value", "case when event_id = 5 then null else user_id end"), _digest_sql("two rows", ordinal="case event_id when 0 then 1 when 1 then 0 else event_id end")]))
 def column_hash_equal(spark, sf_dir):
-    """Whether the digest of events.value is equal to that of a changed copy: one scan, four sums."""
-    events = table(spark, sf_dir, "events").select("event_id", "value")
-    number = events.schema["value"].dataType
-    swapped = F.when(F.col("event_id") == 0, 1).when(F.col("event_id") == 1, 0).otherwise(F.col("event_id"))
-    changed = F.when(F.col("event_id") == 5, F.col("value") + 1).otherwise(F.col("value"))
-    own = events.agg(digest(F.col("event_id"), F.col("value"), number).alias("a"), digest(F.col("event_id"), changed, number).alias("c"), digest(swapped, F.col("value"), number).alias("s"))
-    dealt = events.repartition(7, "value").agg(digest(F.col("event_id"), F.col("value"), number).alias("d"))
-    both = own.crossJoin(dealt)  # one row each
-    return both.select(F.inline(F.array(*[F.struct(F.lit(n).alias("change"), (F.col("a") == F.col(c)).alias("equal")) for n, c in (("same rows dealt anew", "d"), ("one value changed", "c"), ("two rows swapped", "s"))])))
+    """The digest of events.user_id as it stands, in other partitions, with a value gone, and with two rows swapped."""
+    events = with_ordinal(read(spark, f"{sf_dir}/events.parquet", ordered=True).select("event_id", "user_id", ORDER))  # event_id counts the rows
+    one = lambda change, df: digests(df.select("user_id", "_ordinal"), "_ordinal").select(F.lit(change).alias("change"), "digest")
+    swapped = F.when(F.col("_ordinal") == 0, 1).when(F.col("_ordinal") == 1, 0).otherwise(F.col("_ordinal"))
+    out = one("none", events).union(one("dealt anew", events.repartition(7, "user_id")))
+    out = out.union(one("one value", events.withColumn("user_id", F.when(F.col("_ordinal") != 5, F.col("user_id")))))
+    return out.union(one("two rows", events.withColumn("_ordinal", swapped)))
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -127,27 +142,38 @@ def file_row_counts(spark, sf_dir):
     return out
 
 
-def _inventory(spark, sf_dir):
-    """(file, position, name, dtype): the fixed tables, and one drifted copy of nation."""
-    frames = {t: table(spark, sf_dir, t) for t in ("region", "nation", "customer", "supplier")}
-    frames["nation_copy"] = frames["nation"]
-    frames["nation_drift"] = frames["nation"].selectExpr("cast(n_nationkey as bigint) as n_nationkey", "n_name", "n_regionkey")
-    return [(name, columns_of(df.schema)) for name, df in frames.items()]
+def _files(spark, sf_dir):
+    """A folder of small tables, with a copy of nation, one that drifted and one that is broken."""
+    folder = local_folder(spark, "schemas")
+    for name in ("region", "nation", "customer", "supplier"):
+        write(table(spark, sf_dir, name).limit(50), folder / f"{name}.parquet")
+    nation = table(spark, sf_dir, "nation")
+    write(nation, folder / "sub" / "copy.parquet")
+    write(nation.selectExpr("cast(n_nationkey as bigint) as n_nationkey", "n_name", "n_regionkey"), folder / "drift.feather")
+    (folder / "broken.parquet").write_bytes(b"PAR1")
+    return inventory(spark, resolve(folder))
 
 
-@QUERIES.add(
-    "select * from (values ('n_nationkey:int,n_name:string,n_regionkey:int', 2::bigint), ('r_regionkey:int,r_name:string', 1), "
-    "('c_custkey:bigint,c_name:string,c_nationkey:int,c_acctbal:double,c_mktsegment:string', 1), ('s_suppkey:bigint,s_name:string,s_nationkey:int,s_acctbal:double', 1), "
-    "('n_nationkey:bigint,n_name:string,n_regionkey:int', 1)) t(columns, files)"
-)
+KIND = "case column_type when 'INTEGER' then 'int' when 'VARCHAR' then 'string' else lower(column_type) end"
+
+
+def _described(source: str, n: int) -> str:
+    return f"select string_agg(column_name || ':' || {KIND}, ',') as columns, cast({n} as bigint) as files from (describe {source})"
+
+
+DRIFTED = "select cast(n_nationkey as bigint) as n_nationkey, n_name, n_regionkey from nation"
+
+
+@QUERIES.add(_union([_described("nation", 2), _described("region", 1), _described("customer", 1), _described("supplier", 1), _described(DRIFTED, 1)]))
 def schema_groups(spark, sf_dir):
-    rows = [(name, ",".join(f"{n}:{t}" for n, t in columns), signature(columns)) for name, columns in _inventory(spark, sf_dir)]
-    files = spark.createDataFrame(rows, "file string, columns string, hash string")
-    return files.groupBy("hash").agg(F.first("columns").alias("columns"), F.count("*").alias("files")).orderBy(F.desc("files"), "hash").select("columns", "files")
+    found = group_schemas(_files(spark, sf_dir))
+    assert [g.count for g in found] == sorted((g.count for g in found), reverse=True)
+    return spark.createDataFrame([(",".join(f"{n}:{t}" for n, t in g.columns), g.count) for g in found], "columns string, files bigint")
 
 
-@QUERIES.add("select 'n_nationkey' as column_name, 'bigint,int' as dtypes")
+@QUERIES.add(
+    f"select column_name, string_agg(distinct kind, ',' order by kind) as dtypes from (select column_name, {KIND} as kind from (describe nation) union all select column_name, {KIND} from (describe {DRIFTED})) group by 1 having count(distinct kind) > 1"
+)
 def schema_type_changes(spark, sf_dir):
-    rows = [(name, n, t) for name, columns in _inventory(spark, sf_dir) for n, t in columns]
-    columns = spark.createDataFrame(rows, "file string, column_name string, dtype string")
-    return columns.groupBy("column_name").agg(F.sort_array(F.collect_set("dtype")).alias("dtypes")).filter(F.size("dtypes") > 1).select("column_name", F.array_join("dtypes", ",").alias("dtypes"))
+    found = type_changes(group_schemas(_files(spark, sf_dir)))
+    return spark.createDataFrame([(n, ",".join(k)) for n, k in found.items()], "column_name string, dtypes string")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import shared_path
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,5 +21,12 @@ class Registry(dict[str, tuple[Query, str | None]]):
         return put
 
 
+def local_folder(spark: SparkSession, what: str) -> Path:
+    """A folder for single files, which local tools write: for the queries about files."""
+    path = Path(shared_path(spark, what).removeprefix("file://").removeprefix("file:"))
+    path.mkdir(parents=True)
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

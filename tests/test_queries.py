@@ -39,6 +39,5 @@ def test_query(spark, con, name):
     assert norm(map(tuple, df.collect()), df.columns) == norm(found.fetchall(), columns)
 
 
-def test_unique_estimates(spark):
-    found = {r["column_name"]: r["unique_estimate"] for r in QUERIES["profile_unique_estimate"][0](spark, str(DATA)).collect()}
-    assert found["nation"] == 7 and abs(found["c_custkey"] - 150) <= 15
+def test_every_query_has_sql():
+    assert [n for n, (_, sql) in QUERIES.items() if not sql] == []
