@@ -48,16 +48,19 @@ def column_medians(df: DataFrame, numbers: list[Column], accuracy: int = 10_000,
     A sketch brackets each median; the rows below and inside the brackets are counted; a bracket of over `most` rows is
     narrowed by a sketch of what is inside it, again and again, so however many rows there are only `most` of a column
     are ranked. Each step is one scan of all columns, and one row of counts comes to the driver."""
-    wide = df.select(*[n.alias(f"v{i}") for i, n in enumerate(numbers)])
+    # NaN ranks above all and is told by its count: sketches know no order for it
+    wide = df.select(*[F.when(~F.isnan(n), n).alias(f"v{i}") for i, n in enumerate(numbers)], *[F.isnan(n).alias(f"nan{i}") for i, n in enumerate(numbers)])
     value = lambda i: F.col(f"v{i}")
     sketch = lambda v, share: F.percentile_approx(v, [max(0.0, share - 4 / accuracy), min(1.0, share + 4 / accuracy)], accuracy)
-    first = wide.agg(*[F.struct(F.count(value(i)).alias("n"), sketch(value(i), 0.5).alias("ends")).alias(f"s{i}") for i in range(len(numbers))]).first()
-    total = {i: first[f"s{i}"]["n"] for i in range(len(numbers)) if first[f"s{i}"]["n"]}
-    ends = {i: tuple(first[f"s{i}"]["ends"]) if total[i] >= accuracy else (float("-inf"), float("nan")) for i in total}
+    every = range(len(numbers))
+    first = wide.agg(*[F.struct(F.count(value(i)).alias("n"), F.count_if(F.col(f"nan{i}")).alias("nan"), sketch(value(i), 0.5).alias("ends")).alias(f"s{i}") for i in every]).first()
+    out: list[float | None] = [float("nan") if first[f"s{i}"]["nan"] else None for i in every]
+    rows = {i: first[f"s{i}"]["n"] for i in every}
+    total = {i: rows[i] + first[f"s{i}"]["nan"] for i in every if (rows[i] + first[f"s{i}"]["nan"]) // 2 < rows[i]}
+    ends = {i: tuple(first[f"s{i}"]["ends"]) if rows[i] >= accuracy and rows[i] == total[i] else (float("-inf"), float("inf")) for i in total}
     below: dict[int, int] = {}
     inside = lambda i: (value(i) >= F.lit(ends[i][0])) & (value(i) <= F.lit(ends[i][1]))
-    wide_open = [i for i in total if total[i] >= accuracy]
-    below |= {i: 0 for i in total if i not in wide_open}
+    wide_open = list(total)
     while wide_open:
         counts = wide.agg(*[F.struct(F.count_if(value(i) < F.lit(ends[i][0])).alias("below"), F.count_if(inside(i)).alias("n")).alias(f"s{i}") for i in wide_open]).first()
         below |= {i: counts[f"s{i}"]["below"] for i in wide_open}
@@ -68,7 +71,7 @@ def column_medians(df: DataFrame, numbers: list[Column], accuracy: int = 10_000,
             wide_open = [i for i in wide_open if tuple(closer[f"s{i}"]) != ends[i]]
             ends |= {i: tuple(closer[f"s{i}"]) for i in wide_open}
     if not total:
-        return [None] * len(numbers)
+        return out
     kept = wide.select(F.explode(F.filter(F.array(*[F.when(inside(i), F.struct(F.lit(i).alias("i"), value(i).alias("v"))) for i in total]), lambda x: x.isNotNull())).alias("x"))
     counted = kept.groupBy("x.i", "x.v").count()
     ranked = counted.withColumn("upto", F.sum("count").over(W.partitionBy("i").orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)))
@@ -77,7 +80,9 @@ def column_medians(df: DataFrame, numbers: list[Column], accuracy: int = 10_000,
     ranked = ranked.withColumn("m", middle[F.col("i")])
     at = lambda k: F.max(F.when((F.col("upto") > k) & (F.col("upto") - F.col("count") <= k), F.col("v")))
     found = {r["i"]: (r["low"], r["high"]) for r in ranked.groupBy("i").agg(at(F.col("m")[0]).alias("low"), at(F.col("m")[1]).alias("high")).collect()}
-    return [None if i not in found else found[i][0] if found[i][0] == found[i][1] else found[i][0] + (found[i][1] - found[i][0]) / 2 for i in range(len(numbers))]
+    for i, (low, high) in found.items():
+        out[i] = low if low == high else low + (high - low) / 2
+    return out
 
 
 def medians(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -170,3 +170,18 @@ def test_exact_quantiles_like_numpy(spark, accuracy):
         if g != "odd":
             assert found[g] == pytest.approx(list(np.quantile(vs, [0.0, 0.25, 0.5, 1.0])))
     assert found["odd"][2] == 0.0
+
+
+@pytest.mark.parametrize(("accuracy", "most"), [(10_000, 100_000), (20, 40), (100, 3)])
+def test_column_medians_like_numpy(spark, accuracy, most):
+    import numpy as np
+
+    from shardwell.operators.quantiles import column_medians
+
+    rng = random.Random(1)
+    rows = [(rng.gauss(0, 1), float(i % 7), 5.0, None if i % 3 else float(i), math.nan if i % 2 else 1.0, math.nan if i % 3 else 1.0, None, math.inf if i % 2 else -math.inf) for i in range(1201)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double, g double, h double").repartition(3)
+    got = column_medians(df, [F.col(c) for c in df.columns], accuracy, most)
+    assert got[:4] == [pytest.approx(np.median([r[k] for r in rows if r[k] is not None])) for k in range(4)]
+    assert got[4] == 1.0 and math.isnan(got[5]) and got[6] is None and got[7] == -math.inf
+    assert column_medians(df.limit(0), [F.col("a"), F.col("b")], accuracy, most) == [None, None]
