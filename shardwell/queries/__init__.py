@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import diff, files, filters, merge, plot, profile, transform
+from . import diff, files, filters, merge, plot, product, profile, transform
 from .registry import Registry
 
-MODULES = (profile, diff, merge, filters, plot, files, transform)
+MODULES = (profile, diff, merge, filters, plot, files, transform, product)
 
 
 def all_queries() -> Registry:
