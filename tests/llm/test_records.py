@@ -290,3 +290,12 @@ def test_mixed_rows(spark, docs):
     assert norm((r["source"], r["doc_id"], r["mix_pass"]) for r in mixing.mixed(twins).collect()) == want
     finish = [r["mix_finish"] for r in out.collect()]
     assert finish == sorted(finish) and mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_mixing_of_a_very_long_text(spark):
+    rows = [(1, "w " * 400_000, "a"), *[(i, "w " * 100, "b") for i in range(2, 300)]]
+    df = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id bigint, text string, source string, size int, finish string")
+    found = {r["id"]: r for r in mixing.mix(df).filter("pass = 0").collect()}
+    assert found[1]["size"] == 400_000 and found[2]["size"] == 100 and found[1]["source_size"] == 400_000
+    taken = mixing.mix(df).filter("taken").groupBy("source").agg(F.sum("size").alias("n"), F.max("target").alias("t")).collect()
+    assert all(abs(r["n"] - r["t"]) <= 400_000 for r in taken) and mixing.mix(df.limit(0)).count() == 0

@@ -587,3 +587,63 @@ def test_inheritance_like_brute_force(spark):
                     break
                 at = None if at == "" else folder_of(at)
         assert got[i] == want, (i, p)
+
+
+# ---- every operator: repeated rows, long texts, columns with clashing names
+
+
+def test_repeated_rows_and_clashing_columns(docs, spark, table):
+    """Results depend on id and text alone, whatever else the table holds, and each of several equal rows counts."""
+    from conftest import CLASHES
+
+    texts = ["Licensed under the MIT License. token=abcdefgh idiot scum " + ITEMS[0][1], "nothing of note", None, ""]
+    plain = spark.createDataFrame([(i % 4 + 1, texts[i % 4]) for i in range(8)], "doc_id bigint, text string")
+    wide = plain.selectExpr("doc_id", "text", *[f"'{c} token=zzzzzzzz idiot' as `{c}`" for c in CLASHES])
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "scum": 4.0})
+    items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    model = langid.fit(table("documents"))
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"))
+    for run in (
+        lambda df: secrets.find(df),
+        lambda df: toxicity.score(df, lexicon),
+        lambda df: licenses.scan(df.withColumn("path", path)),
+        lambda df: decontaminate.contaminated(df, items),
+        lambda df: langid.identify(df, model),
+    ):
+        got = [repr(r) for r in run(plain).collect()]
+        assert sorted(got) == sorted(repr(r) for r in run(wide).collect()) and got
+        assert all(got.count(x) % 2 == 0 for x in got)
+        assert run(plain.limit(0)).count() == 0
+    kept = decontaminate.keep_uncontaminated(wide, items)
+    assert kept.columns == wide.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 2, 3, 3, 4, 4]
+
+
+def test_very_long_texts(docs, table):
+    long = "the thing in the house and that " * 200_000  # over the size of a piece
+    df = docs([long + "idiot scum. Licensed under the MIT License. token=abcdefgh " + long])
+    at = len(long)
+    scored = toxicity.score(df, toxicity.Lexicon({"idiot": 5.0, "scum": 4.0})).first()
+    assert [(h["term"], h["start"]) for h in scored["hits"]] == [("idiot", at), ("scum", at + 6)] and scored["words"] == len(long.split()) * 2 + 8
+    assert licenses.detect(df.withColumn("path", F.lit("x"))).first()["license"] == "MIT"
+    assert [(s["start"], s["end"]) for s in secrets.find(df).first()["spans"]] == [(at + 44, at + 58)]
+    assert langid.identify(df, langid.fit(table("documents"))).first()["lang"] == "en"
+
+
+def test_scores_like_brute_force(spark, table):
+    """The query's score from the lexicon by words alone, and the lexicon's terms from counts alone."""
+    docs, labels = table("documents"), table("labels")
+    lexicon = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in toxicity.op3_toxicity(spark, "/root/testdata/sf0.001").collect()}
+    terms = {s: (w, t) for t, w in lexicon.weights.items() for s in toxicity.spellings(t.rstrip("*"))}
+    for r in docs.collect():
+        folded = toxicity.fold(r["text"])
+        weight = 0.0
+        for m in re.finditer(r"[^\W_]+", folded):
+            if any(folded[max(0, m.start() - len(p)) : m.end() + len(p)].find(p) >= 0 for p in lexicon.exceptions):
+                weight = None
+                break
+            fits = [(len(s), w) for s, (w, t) in terms.items() if m[0] == s or (t[-1] == "*" and m[0].startswith(s))]
+            weight += max(fits)[1] if fits else 0.0
+        if weight is not None:
+            x = math.log1p(8 * weight / math.log2(2 + len(folded.split())))
+            assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-(lexicon.offset + lexicon.slope * x))), abs=1e-9)
