@@ -112,12 +112,29 @@ def notices() -> list[tuple[str, list[bytes]]]:
 VOCABULARY = frozenset(w for _, n in notices() for w in n)
 
 
+def window_norms(ids: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
+    """The Euclidean norm of count times weight over the distinct words of every window of `size` places.
+
+    A place that a window gains adds (2c + 1) times its squared weight, where c is how often its word stands among the
+    places before it in the window, and takes as much away, by those after it, when it is lost."""
+    n = len(ids)
+    order = np.lexsort((np.arange(n), ids))
+    keys = ids[order].astype(np.int64) * (n + 1) + order  # ascending by word and place
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    at = np.arange(n)
+    before = rank - np.searchsorted(keys, ids.astype(np.int64) * (n + 1) + np.maximum(at - size + 1, 0))
+    after = np.searchsorted(keys, ids.astype(np.int64) * (n + 1) + np.minimum(at + size, n)) - rank - 1
+    squares = weights**2
+    gained = np.concatenate(([0.0], np.cumsum((2 * before + 1) * squares)))
+    lost = np.concatenate(([0.0], np.cumsum((2 * after + 1) * squares)))
+    return np.sqrt(np.maximum(gained[size:] - lost[: n - size + 1], 1e-12))
+
+
 class Scorer:
     """Templates as unit TF-IDF vectors, and the windows of a text that are nearest to them.
 
-    A word's weight in a window is its count there times its inverse document frequency. The bound on a window's
-    cosine that sums over its places give is exact where no word repeats; only windows whose bound is above the best
-    cosine so far are measured."""
+    A word's weight in a window is its count there times its inverse document frequency."""
 
     def __init__(self, frequencies: dict[str, int], documents: int):
         self.idf = {w: math.log((documents + 1) / (frequencies.get(w.decode(), 0) + 1)) + 1 for w in VOCABULARY}
@@ -155,21 +172,25 @@ class Scorer:
         if not text or not TRIGGER.search(text.lower()):
             return out
         for tokens in self._windows(text):
-            ids = np.array([self.number.get(w, len(self.idfs) - 1) for w in tokens])
-            products = np.concatenate((np.zeros((1, len(self.templates))), np.cumsum(self.adds[ids], axis=0)))
-            squares = np.concatenate(([0.0], np.cumsum(self.idfs[ids] ** 2)))
-            for t, (name, size, vector) in enumerate(self.templates):
+            own: dict[bytes, int] = {}
+            # words of no template get numbers too, so that each counts by itself
+            ids = np.array([self.number[w] if w in self.number else own.setdefault(w, len(self.idfs) + len(own)) for w in tokens])
+            known = np.minimum(ids, len(self.idfs) - 1)
+            idfs = self.idfs[known]
+            products = np.concatenate((np.zeros((1, len(self.templates))), np.cumsum(self.adds[known], axis=0)))
+            squares = np.concatenate(([0.0], np.cumsum(idfs**2)))
+            norms: dict[int, np.ndarray] = {}
+            for t, (name, size, _) in enumerate(self.templates):
                 size = min(size, len(ids))
-                bound = (products[size:, t] - products[:-size, t]) / np.sqrt(squares[size:] - squares[:-size])
-                best = out.get(name, 0.0)
-                near = np.flatnonzero(bound >= max(least, best) - 1e-9)
-                for at in near[np.argsort(-bound[near], kind="stable")].tolist():
-                    if bound[at] <= best:
-                        break
-                    own = self.vector(tokens[at : at + size])
-                    score = sum(v * own[w] for w, v in vector.items() if w in own)
-                    if score >= least and score > best:
-                        best = out[name] = score
+                product = products[size:, t] - products[:-size, t]
+                # a word that repeats only makes the norm larger
+                if (product < max(least, out.get(name, 0.0)) * np.sqrt(squares[size:] - squares[:-size]) - 1e-9).all():
+                    continue
+                if size not in norms:
+                    norms[size] = window_norms(ids, idfs, size)
+                score = float((product / norms[size]).max())
+                if score >= least and score > out.get(name, 0.0):
+                    out[name] = score
         return out
 
     def best(self, text: bytes | None, least: float, margin: float = 0.01) -> tuple[str | None, float]:

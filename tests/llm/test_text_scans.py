@@ -524,6 +524,17 @@ def test_cosines_like_brute_force(monkeypatch):
             assert scorer.all(text.encode(), 0.5) == pytest.approx(brute_cosines(scorer, text.encode()))
 
 
+def test_window_norms_like_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    for n, size in ((1, 1), (30, 7), (30, 30), (200, 41)):
+        ids, weights = rng.integers(0, 6, n), None
+        weights = np.array([0.5, 1.0, 2.0, 3.0, 1.5, 0.25])[ids]
+        want = [math.sqrt(sum((list(ids[a : a + size]).count(w) * weights[list(ids).index(w)]) ** 2 for w in set(ids[a : a + size]))) for a in range(n - size + 1)]
+        assert licenses.window_norms(ids, weights, size) == pytest.approx(want)
+
+
 def test_notices_across_pieces(monkeypatch):
     scorer = licenses.Scorer({}, 10)
     text = ("word " * 40 + wrapped(licenses.TEMPLATES["MIT"][2]) + " word" * 40).encode()
