@@ -2,7 +2,8 @@
 mixed to the sources' target weights.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next stage's docs. All but the last return the columns of documents.
+the next stage's docs. All but the last return the columns of documents; extra columns pass through whatever their
+names. An empty table stays empty in every stage. Rows without an id are documents like any other.
 """
 
 from __future__ import annotations
@@ -15,28 +16,32 @@ from shardwell.session import ship
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model gives; null, letterless and doubtful texts go."""
+    """Documents in a language that the model knows. Null and letterless texts go, and those whose language is doubtful
+    or whose subwords are strange to it. The model learns from at most 4000 rows with an id and a language."""
     ship(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each distinct text, that with the largest doc_id."""
+    """One document of each distinct text, that with the largest doc_id; a null text counts as empty."""
     return exact.keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that with the smallest doc_id."""
+    """One document of each component of near copies, that with the smallest doc_id (null last).
+
+    Near copies have sets of five-word shingles of Jaccard similarity 0.8 or more; texts of under five words are one
+    shingle. The trie join of SimHash fingerprints finds the first pairs, an exact search the rest."""
     return simhash.keep_one(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item within 8 % edits; null and empty texts hold none."""
     return decontaminate.keep_uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix in its order: a row for each pass of a document that the mix takes."""
+    """The mix in its order: a row for each pass of a document that the mix takes; blank texts are in no mix."""
     return mixing.mixed(docs)
 
 
@@ -48,11 +53,13 @@ STAGES = [
     ("mixing to target weights", mixture),
 ]
 
-#: SimHash components, a trained model and alignment are beyond SQL; tests hold the stages against brute force.
+#: A trained model, components of similar texts and alignment are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the whole documents table: its columns, mix_pass and mix_finish, in the mix's
+    order. What each stage returns is a table in the shared folder until the application ends."""
     ship(spark)
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
