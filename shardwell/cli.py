@@ -15,6 +15,7 @@ from .plans.analysis import Cache, Mode, analyse, build
 from .render import text, views
 from .session import session
 from .sources.files import resolve
+from .sources.paths import place
 
 VERSION = "0.1.0"
 
@@ -102,7 +103,7 @@ def run(a: argparse.Namespace, spark, say=text.put) -> int:
             options = plotting.Options(None if a.kind == "auto" else a.kind, a.aggregate_x, a.fail_on_x_duplicates, a.fail_on_x_unsorted, a.filter, text.chart_width(), a.interpolation)
             say(views.plots(plotting.plot_dataset(spark, resolve(a.source), a.columns, options, a.n), method=a.interpolation, s=s))
         case "merge":
-            options = merging.Options(merging.Strategy(a.strategy), tuple(a.on), a.schema_evolution == "allow-additive", a.ignore_filetype, Path(a.out) if a.out else None, a.inplace)
+            options = merging.Options(merging.Strategy(a.strategy), tuple(a.on), a.schema_evolution == "allow-additive", a.ignore_filetype, place(a.out) if a.out else None, a.inplace)
             done = merging.run(spark, a.source, a.target, options, a.dry)
             say("\n".join(done.lines))
             if done.written:

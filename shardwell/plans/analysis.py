@@ -18,6 +18,7 @@ from ..functions.ordinal import ORDER, with_ordinal
 from ..functions.types import columns_of, is_numeric, signature
 from ..operators.profile import digests, profile, profile_histogram
 from ..sources.files import METADATA, Dataset, Kind, SourceError, csv_layout, metadata, read, read_all, rows_of
+from ..sources.paths import AnyPath, place
 
 VERSION = 1
 
@@ -103,19 +104,19 @@ def inventory(spark: SparkSession, dataset: Dataset, side_by_side: int = 16) ->
     column; only if that job meets a broken file are its files counted one by one."""
     paths = dataset.files()
 
-    def schema(path: Path) -> tuple | Exception:
+    def schema(path: AnyPath) -> tuple | Exception:
         try:
             return columns_of(read(spark, path).schema)
         except Exception as e:  # a broken file of any kind is a finding, not a failure
             return e
 
-    def count(path: Path) -> int | Exception:
+    def count(path: AnyPath) -> int | Exception:
         try:
             return read(spark, path).count()
         except Exception as e:
             return e
 
-    def count_all(group: list[Path]) -> dict[Path, int | Exception]:
+    def count_all(group: list[AnyPath]) -> dict[AnyPath, int | Exception]:
         try:
             found = rows_of(spark, group)
         except Exception:  # some file breaks within
@@ -124,7 +125,7 @@ def inventory(spark: SparkSession, dataset: Dataset, side_by_side: int = 16) ->
 
     with ThreadPoolExecutor(side_by_side) as pool:
         schemas = dict(zip(paths, pool.map(schema, paths), strict=True))
-        groups: dict[object, list[Path]] = {}
+        groups: dict[object, list[AnyPath]] = {}
         for p in paths:
             if not isinstance(schemas[p], Exception):
                 groups.setdefault((p.suffix.lower(), p.suffix.lower() == ".csv" and csv_layout(spark, str(p))[1]), []).append(p)
@@ -193,7 +194,7 @@ def build(spark: SparkSession, dataset: Dataset, mode: Mode) -> Analysis:
     )
     if mode is not Mode.QUICK:
         deep = mode is not Mode.STANDARD
-        df = read_all(spark, dataset, [Path(f.path) for f in good], ordered=deep)
+        df = read_all(spark, dataset, [place(f.path) for f in good], ordered=deep)
         analysis.statistics, analysis.column_hashes = column_statistics(df, mode)
     return analysis
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import shutil
 from dataclasses import asdict, dataclass, field
 from pathlib import Path
 
@@ -11,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.files import DATA, METADATA, SOURCE_FILE, Dataset, Kind, metadata, read_all, resolve, write_parts
+from ..sources.paths import AnyPath, place, remove
 from .analysis import Analysis, FileRecord, Mode, SchemaGroup, build, inventory, schema_groups
 
 PREVIEW = 5
@@ -30,7 +30,7 @@ class Coverage:
 
 @dataclass
 class Compiled:
-    path: Path
+    path: AnyPath
     schema: SchemaGroup
     coverage: Coverage
     analysis: Analysis
@@ -55,7 +55,7 @@ def coverage(files: list[FileRecord], chosen: SchemaGroup) -> Coverage:
 
 def tagged_union(spark: SparkSession, dataset: Dataset, files: list[FileRecord]) -> DataFrame:
     """The files' rows with SOURCE_FILE."""
-    return read_all(spark, dataset, [Path(f.path) for f in files], tagged=True)
+    return read_all(spark, dataset, [place(f.path) for f in files], tagged=True)
 
 
 def compile_dataset(spark: SparkSession, source: str | Path, output: str | Path, schema: int | None = None) -> Compiled:
@@ -63,24 +63,24 @@ def compile_dataset(spark: SparkSession, source: str | Path, output: str | Path,
 
     The output must not exist; a failure leaves none. Files below the output do not count as sources.
     """
-    dataset, out = resolve(source), Path(output).expanduser().resolve()
+    dataset, out = resolve(source), place(output)
     if out.exists():
         raise CompileError(f"Output already exists: {output}")
-    files = [f for f in inventory(spark, dataset) if not Path(f.path).is_relative_to(out)]
+    files = [f for f in inventory(spark, dataset) if not place(f.path).is_relative_to(out)]
     groups = schema_groups(files)
     if not groups:
         raise CompileError("failed to inspect any dataset files")
     chosen = choose(groups, schema)
     used = [f for f in files if f.error is None and f.columns == chosen.columns]
     try:
-        size, rows = sum(Path(f.path).stat().st_size for f in used), sum(f.rows for f in used)
+        size, rows = sum(place(f.path).stat().st_size for f in used), sum(f.rows for f in used)
         write_parts(tagged_union(spark, dataset, used), out / DATA, size / max(rows, 1))
         analysis = build(spark, Dataset(out / DATA, Kind.FOLDER), Mode.STANDARD)
         cover = coverage(files, chosen)
         provenance = {"source": str(dataset.path), "schema_hash": chosen.hash, "columns": [list(c) for c in chosen.columns], "files": [f.relative for f in used], "rows": {f.relative: f.rows for f in used}, "coverage": asdict(cover)}
         (out / METADATA).write_text(json.dumps({"analysis": analysis.to_dict(), "compiled": provenance}, indent=1))
     except BaseException:
-        shutil.rmtree(out, ignore_errors=True)
+        remove(out)
         raise
     return Compiled(out, chosen, cover, analysis)
 
@@ -120,7 +120,7 @@ def validate(spark: SparkSession, compiled: str | Path, source: str | Path | Non
         out.errors.append(f"Columns not in the source: {_preview(extra)}")
     wanted = dict(known["rows"])
     if source is not None:
-        files = [f for f in inventory(spark, resolve(source)) if not Path(f.path).is_relative_to(dataset.path)]
+        files = [f for f in inventory(spark, resolve(source)) if not place(f.path).is_relative_to(dataset.path)]
         chosen = [f for f in files if f.error is None and [list(c) for c in f.columns] == known["columns"]]
         wanted = {f.relative: f.rows for f in chosen}
         if skipped := {f.relative for f in files} - set(wanted):

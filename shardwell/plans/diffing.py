@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..operators.rowdiff import DiffError, RowDiff, compare, compare_files
-from ..sources.files import SOURCE_FILE, Dataset, Kind, content_hash, content_hashes, metadata, read, read_all, resolve
+from ..sources.files import SOURCE_FILE, Dataset, Kind, content_hashes, metadata, read, read_all, resolve
+from ..sources.paths import AnyPath
 from .analysis import Analysis, Cache, Mode, analyse
 
 COMPARED = ("null_rate", "unique_estimate", "min", "max", "mean", "median", "stddev")
@@ -143,10 +144,10 @@ def _folder_rows(spark: SparkSession, report: Report, left: Dataset, right: Data
 @dataclass
 class Match:
     status: str  # missing, ambiguous, unmodified, modified
-    path: Path | None = None
+    path: AnyPath | None = None
 
 
-def match_in_folder(spark: SparkSession, file: Path, folder: Dataset) -> Match:
+def match_in_folder(spark: SparkSession, file: AnyPath, folder: Dataset) -> Match:
     """The folder's file of the same base name; of several, the one with the same content if it is the only one."""
     same = [p for p in folder.files() if p.name == file.name]
     if not same:
@@ -175,7 +176,7 @@ def diff(spark: SparkSession, left: str | Path, right: str | Path, level: Level
 
     kinds = a.kind, b.kind
     if kinds == (Kind.FILE, Kind.FILE):
-        same = content_hash(a.path) == content_hash(b.path)
+        same = len(set(content_hashes(spark, [a.path, b.path]).values())) == 1
         report.files = {"identical" if same else "modified": [b.path.name]}
         analysed(a, b)
         if keys:

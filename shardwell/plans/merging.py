@@ -6,8 +6,6 @@ single renames one after another: a crash between two of them leaves some files
 
 from __future__ import annotations
 
-import os
-import shutil
 import uuid
 from dataclasses import dataclass, field
 from enum import StrEnum
@@ -21,6 +19,7 @@ from ..functions.types import aligned, kinds_of
 from ..operators import merge
 from ..operators.merge import MergeError
 from ..sources.files import SUFFIXES, Dataset, Kind, read, resolve, write
+from ..sources.paths import AnyPath, copy, move, place
 
 
 class Strategy(StrEnum):
@@ -40,16 +39,16 @@ class Options:
     keys: tuple[str, ...] = ()
     additive: bool = False
     ignore_filetype: bool = False
-    out: Path | None = None
+    out: AnyPath | None = None
     inplace: bool = False
 
 
 @dataclass(frozen=True)
 class Operation:
     step: Step
-    source: Path | None
-    target: Path | None
-    destination: Path
+    source: AnyPath | None
+    target: AnyPath | None
+    destination: AnyPath
 
 
 @dataclass
@@ -76,14 +75,14 @@ def match_key(relative: str, ignore_filetype: bool) -> str:
     return (path.parent / path.stem).as_posix() + ("" if ignore_filetype else path.suffix.lower())
 
 
-def _index(dataset: Dataset, ignore_filetype: bool, by_name: bool = False) -> dict[str, list[Path]]:
-    out: dict[str, list[Path]] = {}
+def _index(dataset: Dataset, ignore_filetype: bool, by_name: bool = False) -> dict[str, list[AnyPath]]:
+    out: dict[str, list[AnyPath]] = {}
     for p in dataset.files():
         out.setdefault(match_key(p.name if by_name else dataset.relative(p), ignore_filetype), []).append(p)
     return out
 
 
-def _only(paths: list[Path], name: str) -> Path:
+def _only(paths: list[AnyPath], name: str) -> AnyPath:
     if len(paths) > 1:
         raise MergeError(f"Ambiguous match for {name}: {', '.join(map(str, paths))}")
     return paths[0]
@@ -95,7 +94,7 @@ def plan(source: Dataset, target: Dataset, o: Options) -> list[Operation]:
         raise MergeError("Compiled datasets cannot be merged")
     if source.kind is Kind.FOLDER and target.kind is Kind.FILE:
         raise MergeError("A folder cannot be merged into a file")
-    out = o.out.expanduser().resolve() if o.out else None
+    out = place(o.out) if o.out else None
     if target.kind is Kind.FILE:
         if not o.ignore_filetype and source.path.suffix.lower() != target.path.suffix.lower():
             raise MergeError("File types differ; use --ignore-filetype")
@@ -137,7 +136,7 @@ def _source(spark: SparkSession, op: Operation, schema: T.StructType, cast: bool
 def prepare(spark: SparkSession, operations: list[Operation], o: Options) -> list[Prepared]:
     """Each operation with its result schema, or with what stands against it."""
     out = []
-    seen: set[Path] = set()
+    seen: set[AnyPath] = set()
     for op in operations:
         p = Prepared(op)
         out.append(p)
@@ -201,11 +200,11 @@ def preview_line(p: Prepared) -> str:
     return f"{what} -> {op.destination}{cast}{counts}{issues}"
 
 
-def execute(spark: SparkSession, prepared: list[Prepared], o: Options) -> list[Path]:
+def execute(spark: SparkSession, prepared: list[Prepared], o: Options) -> list[AnyPath]:
     """Write every result to a staging folder, then move all into place. A failure before the moves changes nothing."""
     token = uuid.uuid4().hex
-    staged: list[tuple[Path, Path]] = []
-    made: set[Path] = set()
+    staged: list[tuple[AnyPath, AnyPath]] = []
+    made: set[AnyPath] = set()
     try:
         for p in prepared:
             op = p.operation
@@ -221,11 +220,11 @@ def execute(spark: SparkSession, prepared: list[Prepared], o: Options) -> list[P
             else:
                 origin = op.source or op.target
                 if origin.suffix.lower() == op.destination.suffix.lower():
-                    shutil.copyfile(origin, stage)
+                    copy(origin, stage)
                 else:
                     write(read(spark, origin), stage)
         for stage, destination in staged:
-            os.replace(stage, destination)
+            move(stage, destination)
     except BaseException:
         for stage, _ in staged:
             stage.unlink(missing_ok=True)
@@ -240,7 +239,7 @@ def execute(spark: SparkSession, prepared: list[Prepared], o: Options) -> list[P
 class Merged:
     lines: list[str]
     issues: list[str]
-    written: list[Path] = field(default_factory=list)
+    written: list[AnyPath] = field(default_factory=list)
 
 
 def run(spark: SparkSession, source: str | Path, target: str | Path, o: Options, dry: bool = False) -> Merged:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.sql import Row, SparkSession
 
 from ..sources.files import Dataset, Kind, SourceError, read
+from ..sources.paths import AnyPath
 
 
-def first_rows(spark: SparkSession, paths: list[Path], n: int) -> list[Row]:
+def first_rows(spark: SparkSession, paths: list[AnyPath], n: int) -> list[Row]:
     """The first n rows of files one after another. Spark takes a file's splits in their order, and more of them only
     until there are enough rows, so neither a long file nor the files after it are read through."""
     out: list[Row] = []

@@ -5,7 +5,6 @@ from __future__ import annotations
 import importlib.util
 import inspect
 import json
-import shutil
 import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.types import columns_of, signature
 from ..sources.files import DATA, METADATA, Dataset, Kind, SourceError, is_compiled, metadata, read, resolve, write
+from ..sources.paths import AnyPath, place, remove
 from .analysis import Mode, build, inventory, schema_groups
 
 
@@ -64,7 +64,7 @@ def apply(f: Callable, df: DataFrame, context: Context) -> DataFrame:
     return out
 
 
-def default_output(dataset: Dataset) -> Path:
+def default_output(dataset: Dataset) -> AnyPath:
     """<name>_transformed beside the source, with the suffix of a file."""
     p = dataset.path
     return p.with_name(f"{p.stem}_transformed{p.suffix}") if dataset.kind is Kind.FILE else p.with_name(f"{p.name}_transformed")
@@ -72,15 +72,15 @@ def default_output(dataset: Dataset) -> Path:
 
 @dataclass
 class Transformed:
-    path: Path
-    files: list[Path] = field(default_factory=list)
+    path: AnyPath
+    files: list[AnyPath] = field(default_factory=list)
 
 
 def transform(spark: SparkSession, source: str | Path, script: str | Path, output: str | Path | None = None, workers: int = 1) -> Transformed:
     """Apply a user function to each file and write the result under the same layout. The output must not
     exist; a failure leaves none. A compiled dataset's metadata is made anew, with a deep profile."""
     dataset, f = resolve(source), load(script)
-    out = Path(output).expanduser().resolve() if output else default_output(dataset)
+    out = place(output) if output else default_output(dataset)
     if out.exists():
         raise TransformError(f"Output already exists: {out}")
     single = dataset.kind is Kind.FILE
@@ -89,7 +89,7 @@ def transform(spark: SparkSession, source: str | Path, script: str | Path, outpu
     if single and not out.suffix:
         out = out / dataset.path.name
 
-    def one(path: Path) -> Path:
+    def one(path: AnyPath) -> AnyPath:
         df = read(spark, path)
         columns = columns_of(df.schema)
         context = Context(path.name, str(path), dict(columns), FileMetadata(df.count(), signature(columns)))
@@ -109,7 +109,7 @@ def transform(spark: SparkSession, source: str | Path, script: str | Path, outpu
             (out / METADATA).write_text(json.dumps({"analysis": analysis.to_dict(), "compiled": known | {"transformed_by": Path(script).name}}, indent=1))
             assert is_compiled(out)
     except BaseException:
-        shutil.rmtree(out, ignore_errors=True) if out.is_dir() else out.unlink(missing_ok=True)
+        remove(out)
         raise
     return Transformed(out, done)
 

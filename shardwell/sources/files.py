@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import shutil
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from enum import StrEnum
-from pathlib import Path
+from pathlib import Path, PurePosixPath
 from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +20,7 @@ from ..functions.ordinal import ORDER, order_key
 from ..functions.types import union_relaxed, widened
 from ..session import settings
 from .arrow import FILE, ROW, read_arrow, write_arrow
+from .paths import AnyPath, StorePath, move, place, remove
 
 SUFFIXES = (".csv", ".feather", ".arrow", ".parquet")
 SOURCE_FILE = "_source_file"
@@ -38,10 +39,10 @@ class Kind(StrEnum):
 
 @dataclass(frozen=True)
 class Dataset:
-    path: Path
+    path: AnyPath
     kind: Kind
 
-    def files(self) -> list[Path]:
+    def files(self) -> list[AnyPath]:
         """Sorted files: the file itself, a compiled dataset's parts, or a folder's supported files at any depth."""
         if self.kind is Kind.FILE:
             return [self.path]
@@ -49,16 +50,16 @@ class Dataset:
             return sorted((self.path / DATA).glob("*.parquet"))
         return sorted(p for p in self.path.rglob("*") if p.is_file() and p.suffix.lower() in SUFFIXES)
 
-    def relative(self, file: Path) -> str:
+    def relative(self, file: AnyPath) -> str:
         return file.name if self.kind is Kind.FILE else file.relative_to(self.path).as_posix()
 
 
-def is_compiled(path: Path) -> bool:
+def is_compiled(path: AnyPath) -> bool:
     return (path / METADATA).is_file() and (path / DATA).is_dir()
 
 
 def resolve(path: str | os.PathLike) -> Dataset:
-    found = Path(path).expanduser().resolve()
+    found = place(path)
     if not found.exists():
         raise SourceError(f"Source does not exist: {path}")
     if found.is_file():
@@ -82,7 +83,7 @@ def csv_layout(spark: SparkSession, name: str) -> tuple[T.StructType, bool]:
     """The schema of a CSV file, types inferred from all rows and integers as bigint, and whether quoted values hold
     line breaks. Such files are read whole by a task; all others are split. A value holds a line break if some line
     has an odd number of quotes."""
-    path = Path(name.removeprefix("file://"))
+    path = place(name)
     key = (name, *((s.st_size, s.st_mtime_ns) if path.is_file() and (s := path.stat()) else ()))
     if key in _LAYOUTS:
         return _LAYOUTS[key]
@@ -100,7 +101,7 @@ def csv_layout(spark: SparkSession, name: str) -> tuple[T.StructType, bool]:
 def read(spark: SparkSession, path: str | os.PathLike, ordered: bool = False) -> DataFrame:
     """A file as a frame. CSV types are inferred, dates and naive times too, and integers are bigint; quoted values
     may hold line breaks and quotes. With `ordered`, a column ORDER sorts the rows as they stand in the file."""
-    name, suffix = str(path), Path(path).suffix.lower()
+    name, suffix = str(path), PurePosixPath(str(path)).suffix.lower()
     if suffix == ".csv":
         schema, broken = csv_layout(spark, name)
         df = spark.read.csv(name, schema=schema, multiLine=broken, **CSV)
@@ -108,6 +109,8 @@ def read(spark: SparkSession, path: str | os.PathLike, ordered: bool = False) ->
         with settings(spark, spark__sql__legacy__parquet__nanosAsLong="true", spark__sql__timeType__enabled="true"):
             df = spark.read.parquet(name)
     elif suffix in (".feather", ".arrow"):
+        if isinstance(place(path), StorePath):
+            raise SourceError(f"Arrow files are read from local or mounted paths only: {name}")
         df = read_arrow(spark, [name], tagged=ordered)
         return df.withColumn(ORDER, F.struct(F.col(FILE).alias("file"), F.lit(0).cast("bigint").alias("start"), F.col(ROW).alias("row"))).drop(FILE, ROW) if ordered else df
     else:
@@ -115,7 +118,7 @@ def read(spark: SparkSession, path: str | os.PathLike, ordered: bool = False) ->
     return df.withColumn(ORDER, order_key()) if ordered else df
 
 
-def read_all(spark: SparkSession, dataset: Dataset, files: list[Path] | None = None, tagged: bool = False, ordered: bool = False) -> DataFrame:
+def read_all(spark: SparkSession, dataset: Dataset, files: list[AnyPath] | None = None, tagged: bool = False, ordered: bool = False) -> DataFrame:
     """All files under each other by name and common type; `tagged` adds the relative path of each row's file.
     Parquet files of a compiled dataset, all of one schema, are one scan."""
     paths = dataset.files() if files is None else files
@@ -127,7 +130,7 @@ def read_all(spark: SparkSession, dataset: Dataset, files: list[Path] | None = N
     return union_relaxed(frames)
 
 
-def rows_of(spark: SparkSession, paths: list[Path]) -> dict[Path, int]:
+def rows_of(spark: SparkSession, paths: list[AnyPath]) -> dict[AnyPath, int]:
     """How many rows files of one format hold, in one job; a file without rows may be missing. Of Parquet only the
     footers are read."""
     names, suffix = [str(p) for p in paths], paths[0].suffix.lower()
@@ -139,17 +142,29 @@ def rows_of(spark: SparkSession, paths: list[Path]) -> dict[Path, int]:
     else:
         df = spark.read.schema(T.StructType([])).parquet(*names)
     rows = df.groupBy(F.col("_metadata.file_path").alias("path")).count().collect()
-    return {Path(unquote(urlsplit(r["path"]).path)): r["count"] for r in rows}
+    # a store may write its own URIs otherwise than they were given; the end of the path stays
+    known = {p.as_posix() if isinstance(p, Path) else urlsplit(str(p)).path: p for p in paths}
+    return {known[next(k for k in _ends(unquote(urlsplit(r["path"]).path)) if k in known)]: r["count"] for r in rows}
+
+
+def _ends(path: str) -> Iterator[str]:
+    """A path and what is left of it without its first folders."""
+    yield path
+    while path.count("/") > 1:
+        path = "/" + path.split("/", 2)[2]
+        yield path
 
 
 def write(df: DataFrame, path: str | os.PathLike) -> None:
     """Write one file by suffix, through a staging folder beside it, so that it appears whole."""
-    target = Path(path)
+    target = place(path)
     target.parent.mkdir(parents=True, exist_ok=True)
     suffix = target.suffix.lower()
     stage = target.parent / f".stage-{uuid.uuid4().hex}"
     try:
         if suffix in (".feather", ".arrow"):
+            if isinstance(target, StorePath):
+                raise SourceError(f"Arrow files are written to local or mounted paths only: {target}")
             stage.mkdir()
             write_arrow(df, str(stage / "part"))
             part = stage / "part"
@@ -166,15 +181,15 @@ def write(df: DataFrame, path: str | os.PathLike) -> None:
         if part is None:  # a CSV without rows has no part
             part = stage / "part"
             part.write_text(",".join(df.columns) + "\n")
-        os.replace(part, target)
+        move(part, target)
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        remove(stage)
 
 
 PART_BYTES = 256 << 20
 
 
-def write_parts(df: DataFrame, folder: Path, bytes_per_row: float = 64.0) -> None:
+def write_parts(df: DataFrame, folder: AnyPath, bytes_per_row: float = 64.0) -> None:
     """Parquet parts named part-000 on, in the frame's order of partitions, of about PART_BYTES at most by the bytes
     that a row takes in the source."""
     rows_per_file = max(1000, int(PART_BYTES / max(bytes_per_row, 1.0)))
@@ -183,9 +198,9 @@ def write_parts(df: DataFrame, folder: Path, bytes_per_row: float = 64.0) -> Non
         df.write.option("maxRecordsPerFile", rows_per_file).parquet(str(stage))
         folder.mkdir(parents=True, exist_ok=True)
         for i, part in enumerate(sorted(stage.glob("part-*"))):
-            os.replace(part, folder / f"part-{i:03d}.parquet")
+            move(part, folder / f"part-{i:03d}.parquet")
     finally:
-        shutil.rmtree(stage, ignore_errors=True)
+        remove(stage)
 
 
 def metadata(dataset: Dataset) -> dict | None:
@@ -197,13 +212,9 @@ def metadata(dataset: Dataset) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def content_hash(path: Path) -> str:
-    with path.open("rb") as f:
-        return hashlib.file_digest(f, "sha256").hexdigest()
-
-
-def content_hashes(spark: SparkSession, paths: list[Path]) -> dict[str, str]:
-    """SHA-256 of many files, hashed on the executors in pieces, whatever their size."""
+def content_hashes(spark: SparkSession, paths: list[AnyPath]) -> dict[str, str]:
+    """SHA-256 of many files, hashed on the executors: local files in pieces, whatever their size, those of a store as
+    Spark reads them, under 2 GB each."""
     if not paths:
         return {}
 
@@ -217,6 +228,10 @@ def content_hashes(spark: SparkSession, paths: list[Path]) -> dict[str, str]:
                     found.append(hashlib.file_digest(f, "sha256").hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["path", "hash"])
 
+    if any(isinstance(p, StorePath) for p in paths):
+        known = {urlsplit(str(p)).path: str(p) for p in paths}
+        rows = spark.read.format("binaryFile").load([str(p) for p in dict.fromkeys(paths)]).select("path", F.sha2("content", 256).alias("hash")).collect()
+        return {known[next(k for k in _ends(unquote(urlsplit(r["path"]).path)) if k in known)]: r["hash"] for r in rows}
     names = spark.createDataFrame([(str(p),) for p in dict.fromkeys(paths)], "path string")
     rows = names.repartition(min(len(paths), 256)).mapInArrow(run, "path string, hash string").collect()
     return {r.path: r.hash for r in rows}

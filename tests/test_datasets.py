@@ -4,7 +4,7 @@ import json
 import pytest
 from helpers import put, rows
 
-from shardwell.plans import compiling, diffing, plotting, preview, transforming
+from shardwell.plans import compiling, diffing, merging, plotting, preview, transforming
 from shardwell.plans.analysis import Analysis, Cache, Mode, analyse, build, schema_groups, type_changes
 from shardwell.plans.diffing import Level
 from shardwell.sources import files as files_module
@@ -112,6 +112,56 @@ def test_parts_by_size(spark, tmp_path, monkeypatch):
     assert sorted(p.name for p in (tmp_path / "parts").iterdir()) == ["part-000.parquet", "part-001.parquet", "part-002.parquet"]
 
 
+@pytest.fixture
+def store(spark, tmp_path):
+    """A folder by a URI that only Hadoop's file systems know."""
+    (tmp_path / "store").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.shop{tmp_path.name}.link./data", f"file://{tmp_path / 'store'}")
+    return f"viewfs://shop{tmp_path.name}/data", tmp_path / "store"
+
+
+def test_paths_in_a_store(spark, store, tmp_path):
+    uri, local = store
+    put(local / "in" / "a.csv", id=[1, 2], value=[1.5, 2.5])
+    put(local / "in" / "sub" / "b.parquet", id=[3], value=[3.5])
+    dataset = resolve(f"{uri}/in/")
+    assert dataset.kind is Kind.FOLDER and [dataset.relative(p) for p in dataset.files()] == ["a.csv", "sub/b.parquet"]
+    a = build(spark, dataset, Mode.STANDARD)
+    assert {f.relative: f.rows for f in a.files} == {"a.csv": 2, "sub/b.parquet": 1} and a.statistics["id"].mean == 2.0 and len(a.schemas) == 1
+    done = compiling.compile_dataset(spark, f"{uri}/in", f"{uri}/out")
+    assert done.analysis.row_count == 3 and resolve(f"{uri}/out").kind is Kind.COMPILED and (local / "out" / "data" / "part-000.parquet").exists()
+    assert compiling.validate(spark, f"{uri}/out", f"{uri}/in").ok
+    assert [r["id"] for r in preview.head_dataset(spark, resolve(f"{uri}/out"), 9)[0][1]] == [1, 2, 3]
+    script = tmp_path / "t.py"
+    script.write_text("def transform(df, context):\n    return df.filter('id <> 2')\n")
+    transforming.transform(spark, f"{uri}/in", script, f"{uri}/changed")
+    r = diffing.diff(spark, f"{uri}/in", f"{uri}/changed", keys=["id"])
+    assert r.files["modified"] == ["a.csv", "sub/b.parquet"] and r.rows.removed == 1 and r.examples["removed"] == [{"key": {"id": 2}, "source": "a.csv"}]
+    assert diffing.diff(spark, f"{uri}/in/a.csv", f"{uri}/in").files == {"unmodified": ["a.csv"]}
+    with pytest.raises(SourceError, match="Source does not exist"):
+        resolve(f"{uri}/nothing")
+    with pytest.raises(SourceError, match="mounted"):
+        write(spark.range(1), f"{uri}/x.feather")
+    with pytest.raises(compiling.CompileError, match="already exists"):
+        compiling.compile_dataset(spark, f"{uri}/in", f"{uri}/out")
+    write(spark.createDataFrame([], "id bigint, value double"), f"{uri}/none.csv")
+    assert (local / "none.csv").read_text() == "id,value\n"
+
+
+def test_merging_in_a_store(spark, store):
+    uri, local = store
+    put(local / "s" / "a.csv", id=[2, 3], v=[20, 30])
+    put(local / "s" / "new.csv", id=[9], v=[90])
+    put(local / "t" / "a.csv", id=[1, 2], v=[10, 0])
+    put(local / "t" / "keep.csv", id=[5], v=[50])
+    options = merging.Options(merging.Strategy.UPSERT, ("id",), out=f"{uri}/o")
+    merging.run(spark, f"{uri}/s", f"{uri}/t", options)
+    assert rows(spark, local / "o" / "a.csv") == [(1, 10), (2, 20), (3, 30)]
+    assert sorted(p.name for p in (local / "o").iterdir() if not p.name.startswith(".")) == ["a.csv", "keep.csv", "new.csv"]
+    merging.run(spark, f"{uri}/s/a.csv", f"{uri}/t/a.csv", merging.Options(inplace=True))
+    assert rows(spark, local / "t" / "a.csv") == [(1, 10), (2, 0), (2, 20), (3, 30)]
+
+
 def test_compile(spark, drift, tmp_path):
     with pytest.raises(compiling.CompileError):
         compiling.compile_dataset(spark, drift, tmp_path / "out")
