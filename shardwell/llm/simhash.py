@@ -263,9 +263,13 @@ def shingle_set(data: bytes | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(1, np.uint64)
 
 
-def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -> DataFrame:
+NONE = np.zeros(0, np.uint64)
+
+
+def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray = NONE, marked: bool = False) -> DataFrame:
     """(token, node): of each row of `docs(node, text)` the first tokens of its shingle set, in order of hash with the
-    ascending hashes `late` after all others.
+    ascending hashes `late` after all others. With `marked` also fp, n and bits, in a row of its own without a token for
+    each row of `docs`: see marks().
 
     Two sets of at least that Jaccard similarity have a token in common among the first n - ceil(similarity * n) + 1
     of each, in any one order of all tokens.
@@ -274,10 +278,16 @@ def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -
     def run(batches):
         import pyarrow as pa
 
+        empty = lambda n: [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
+        names = ["token", "node", "fp", "n", "bits"] if marked else ["token", "node"]
         for batch in batches:
-            tokens = []
+            tokens, fps, sizes, bits = [], [], [], []
             for text in texts(batch.column(1)):
                 h = shingle_set(text, width)
+                if marked:
+                    fps.append(majority(bit_counts(h), len(h)))
+                    sizes.append(len(h))
+                    bits.append(np.packbits(np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes())
                 most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
@@ -285,32 +295,21 @@ def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray) -
                 tokens.append(h[:most])
             if not tokens:
                 continue
+            if marked:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(fps), pa.int64()), batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=names)
             counts = np.array([len(t) for t in tokens])
             node = np.repeat(batch.column(0).to_numpy(), counts)
-            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node)], names=["token", "node"])
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node), *(empty(len(node)) if marked else [])], names=names)
             yield from (out.slice(i, 1 << 17) for i in range(0, out.num_rows, 1 << 17))
 
-    return docs.select("node", "text").mapInArrow(run, "token bigint, node bigint")
-
-
-def marks(docs: DataFrame, width: int) -> DataFrame:
-    """(node, fp, n, bits) of `docs(node, text)`, each node once: the fingerprint of the set of its shingles, the
-    set's size, and for each of 512 buckets of hashes whether it holds an odd number of the set. Two sets differ in
-    at least as many shingles as such bits, so the bits rule pairs out without a miss."""
-
-    def run(batches):
-        import pyarrow as pa
+    return docs.select("node", "text").mapInArrow(run, "token bigint, node bigint" + (", fp bigint, n int, bits binary" if marked else ""))
 
-        for batch in batches:
-            fps, sizes, bits = [], [], []
-            for text in texts(batch.column(1)):
-                h = shingle_set(text, width)
-                fps.append(majority(bit_counts(h), len(h)))
-                sizes.append(len(h))
-                bits.append(np.packbits(np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=["node", "fp", "n", "bits"])
 
-    return docs.select("node", "text").mapInArrow(run, "node bigint, fp bigint, n int, bits binary").dropDuplicates(["node"])
+def marks(looked: DataFrame) -> DataFrame:
+    """(node, fp, n, bits) of the marked prefixes, each node once: the fingerprint of the set of its shingles, the set's
+    size, and for each of 512 buckets of hashes whether it holds an odd number of the set. Two sets differ in at least as
+    many shingles as such bits, so the bits rule pairs out without a miss."""
+    return looked.filter("token is null").select("node", "fp", "n", "bits").dropDuplicates(["node"])
 
 
 def by_trie(told: DataFrame, budget: int = 3) -> DataFrame:
@@ -465,8 +464,11 @@ def _similar(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     spark = pairs.sparkSession
-    left = attach(pairs, "a", held.select(F.col("node").alias("a"), F.col("text").alias("s")))
-    both = attach(left, "b", held.select(F.col("node").alias("b"), F.col("text").alias("t")))
+    # only the texts that pairs ask for move, each once
+    asked = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
+    found = cut(attach(held.select("node", "text"), "node", asked).dropDuplicates(["node"]), "texts")
+    left = attach(pairs, "a", found.select(F.col("node").alias("a"), F.col("text").alias("s")))
+    both = attach(left, "b", found.select(F.col("node").alias("b"), F.col("text").alias("t")))
     with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="256"):  # each row holds two whole texts
         return cut(both.select("a", "b", "s", "t").mapInArrow(run, "a bigint, b bigint"), "near")
 
@@ -485,25 +487,28 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """
     with Scope() as scope:
         rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("hash"), F.col(text_col).alias("text")).withColumn("node", F.xxhash64("id", "hash"))
-        counts = prefixes(rows, width, similarity, np.zeros(0, np.uint64)).groupBy("token").count().filter(F.col("count") > common)
+        spark = docs.sparkSession
+        looked = cut(prefixes(rows, width, similarity, marked=True), "looked")
+        counts = looked.filter("token is not null").groupBy("token").count().filter(F.col("count") > common)
         late = np.sort(np.array([r[0] for r in counts.orderBy(F.desc("count")).limit(most_late).select("token").collect()], np.int64).view(np.uint64))
+        every = cut(marks(looked), "marks")
+        forget(spark, looked)
         tokens = cut(prefixes(rows, width, similarity, late), "tokens")
         several = tokens.groupBy("token").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("token")
         shared = cut(attach(tokens, "token", cut(several, "several")).distinct(), "shared")
-        forget(docs.sparkSession, tokens)
-        held = cut(attach(rows, "node", cut(shared.select("node").distinct(), "nodes")), "texts")
-        told = cut(marks(held, width), "marks")
-        texts_of = held.select("node", "text").dropDuplicates(["node"])
-        edges = _similar(cut(by_trie(told), "pairs"), texts_of, width, similarity)
+        forget(spark, tokens)
+        # a row that shares no token is like no other
+        told = cut(attach(every, "node", cut(shared.select("node").distinct(), "nodes")), "told")
+        edges = _similar(cut(by_trie(told), "pairs"), rows, width, similarity)
         left = shared
         for turn in range(turns + 1):
             roots = cut(components(edges), "roots")
             left = left.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
             left = left if turn else _needed(left)
             pairs = cut(candidates(_dealt(left, class_size), told, similarity, turn < turns), "pairs")
-            edges = edges.union(_similar(pairs, texts_of, width, similarity))
+            edges = edges.union(_similar(pairs, rows, width, similarity))
         roots = cut(components(edges), "roots")
-        own = cut(attach(held.select("node", "id", "hash"), "node", roots).distinct(), "components")
+        own = cut(attach(rows.select("node", "id", "hash"), "node", roots).distinct(), "components")
         first = own.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first"))
         gone = attach(own, "root", cut(first, "first"))
         gone = gone.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")))).select("id", "hash").distinct()

@@ -248,8 +248,8 @@ def test_candidates_like_brute_force(spark):
         base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
         texts += [" ".join(base[: rng.randrange(70, 121)]) for _ in range(6)]
     held = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
-    told = cut(simhash.marks(held, 5), "marks")
-    tokens = simhash.prefixes(held, 5, 0.8, np.zeros(0, np.uint64)).withColumn("comp", F.when(F.col("node") % 6 < 2, F.lit(0)).otherwise(F.col("node")))
+    told = cut(simhash.marks(simhash.prefixes(held, 5, 0.8, marked=True)), "marks")
+    tokens = simhash.prefixes(held, 5, 0.8).withColumn("comp", F.when(F.col("node") % 6 < 2, F.lit(0)).otherwise(F.col("node")))
     comp = {i: 0 if i % 6 < 2 else i for i in range(len(texts))}
     want = {(i, j) for j in range(len(texts)) for i in range(j) if comp[i] != comp[j] and similarity(texts[i], texts[j]) >= 0.8}
     for rows in (tokens, simhash._needed(cut(tokens, "tokens"))):
@@ -273,6 +273,6 @@ def test_trie_pairs_are_those_of_the_join(spark):
     rng = random.Random(25)
     base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
     texts = [" ".join(base), " ".join(base[:-1]), " ".join(base[1:]), " ".join(f"w{rng.randrange(10**6)}" for _ in range(50)), " ".join(base)]
-    told = cut(simhash.marks(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"), 5), "marks")
+    told = cut(simhash.marks(simhash.prefixes(spark.createDataFrame(list(enumerate(texts)), "node bigint, text string"), 5, 0.8, marked=True)), "marks")
     got = {(r["a"], r["b"]) for r in simhash.by_trie(told).collect()}
     assert (0, 4) in got and {x for p in got for x in p} == {0, 1, 2, 4}
