@@ -2,7 +2,7 @@
 
 Spark's own exact median keeps every distinct value of a group in one buffer. Here a sketch with a proven rank
 error brackets each quantile first; a second pass counts the rows below each bracket and keeps only the values
-inside, a few thousandths of the rows, which are ranked exactly.
+inside, less than a thousandth of the rows, which are ranked exactly.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ACCURACY = 1000
+ACCURACY = 10_000
 
 
 def exact_quantiles(rows: DataFrame, group: str, value: str, shares: list[float], accuracy: int = ACCURACY) -> DataFrame:

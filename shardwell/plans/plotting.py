@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.filters import Expression, parse, predicate
 from ..functions.histogram import bound_label, finite, numeric_histogram, time_label
@@ -64,11 +65,19 @@ def _need(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def xy(df: DataFrame, x: str, y: str, options: Options, source: str = "") -> Plot:
-    """A line or scatter chart of a frame that has the order key."""
+    """A line or scatter chart of a frame that has the order key. Two columns of the source are read, once: they are
+    kept on the executors' disks until the chart is done."""
     _need(df, (x, y))
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+    rows = _filtered(df, parse(options.filter) if options.filter else None).select(*dict.fromkeys((x, y)), ORDER).persist(StorageLevel.DISK_ONLY)
+    try:
+        return _xy(rows, x, y, options, source)
+    finally:
+        rows.unpersist()
+
+
+def _xy(rows: DataFrame, x: str, y: str, options: Options, source: str) -> Plot:
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
     x_kind = series.axis_kind(kinds[x])
-    rows = _filtered(df, parse(options.filter) if options.filter else None).select(*dict.fromkeys((x, y)), ORDER)
     points = series.prepare(rows, x, y, ORDER)
     plot = Plot(options.kind or "", x, y, x_kind=x_kind, source=source)
     plot.rows, failures = rows.agg(F.count("*"), F.count_if(quoted(y).isNotNull() & series.y_number(quoted(y), kinds[y]).isNull())).first()
