@@ -264,6 +264,12 @@ def shingle_set(data: bytes | None, width: int) -> np.ndarray:
 
 
 NONE = np.zeros(0, np.uint64)
+FEW, MANY = 512, 4096  # buckets of the parity bits; the many are for sets of over FEW
+
+
+def parity(hashes: np.ndarray, buckets: int) -> bytes:
+    """For each bucket, by the hashes' last bits, whether it holds an odd number of them."""
+    return np.packbits(np.bincount((hashes & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1).tobytes()
 
 
 def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray = NONE, marked: bool = False) -> DataFrame:
@@ -278,16 +284,17 @@ def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray =
     def run(batches):
         import pyarrow as pa
 
-        empty = lambda n: [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())]
-        names = ["token", "node", "fp", "n", "bits"] if marked else ["token", "node"]
+        empty = lambda n: [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+        names = ["token", "node", "fp", "n", "bits", "more"] if marked else ["token", "node"]
         for batch in batches:
-            tokens, fps, sizes, bits = [], [], [], []
+            tokens, fps, sizes, bits, more = [], [], [], [], []
             for text in texts(batch.column(1)):
                 h = shingle_set(text, width)
                 if marked:
                     fps.append(majority(bit_counts(h), len(h)))
                     sizes.append(len(h))
-                    bits.append(np.packbits(np.bincount((h & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes())
+                    bits.append(parity(h, FEW))
+                    more.append(parity(h, MANY) if len(h) > FEW else None)
                 most = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h
@@ -296,20 +303,20 @@ def prefixes(docs: DataFrame, width: int, similarity: float, late: np.ndarray =
             if not tokens:
                 continue
             if marked:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(fps), pa.int64()), batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(fps), pa.int64()), batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), pa.array(more, pa.binary())], names=names)
             counts = np.array([len(t) for t in tokens])
             node = np.repeat(batch.column(0).to_numpy(), counts)
             out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(node), *(empty(len(node)) if marked else [])], names=names)
             yield from (out.slice(i, 1 << 17) for i in range(0, out.num_rows, 1 << 17))
 
-    return docs.select("node", "text").mapInArrow(run, "token bigint, node bigint" + (", fp bigint, n int, bits binary" if marked else ""))
+    return docs.select("node", "text").mapInArrow(run, "token bigint, node bigint" + (", fp bigint, n int, bits binary, more binary" if marked else ""))
 
 
 def marks(looked: DataFrame) -> DataFrame:
-    """(node, fp, n, bits) of the marked prefixes, each node once: the fingerprint of the set of its shingles, the set's
-    size, and for each of 512 buckets of hashes whether it holds an odd number of the set. Two sets differ in at least as
-    many shingles as such bits, so the bits rule pairs out without a miss."""
-    return looked.filter("token is null").select("node", "fp", "n", "bits").dropDuplicates(["node"])
+    """(node, fp, n, bits, more) of the marked prefixes, each node once: the fingerprint of the set of its shingles, the
+    set's size, and its parity bits, for large sets in more buckets too. Two sets differ in at least as many shingles as
+    parity bits, so the bits rule pairs out without a miss."""
+    return looked.filter("token is null").select("node", "fp", "n", "bits", "more").dropDuplicates(["node"])
 
 
 def by_trie(told: DataFrame, budget: int = 3) -> DataFrame:
@@ -367,15 +374,24 @@ def _binary(column, width: int) -> np.ndarray:
     return np.frombuffer(data, np.uint64, len(column) * width, int(offsets[0])).reshape(len(column), width)
 
 
+def _optional(column, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a binary Arrow column of values of `width` words or null: each row's place among the values (-1 for null), and
+    the values as uint64 rows."""
+    data, offsets, valid = utf8(column)
+    values = np.frombuffer(data, np.uint64, int(valid.sum()) * width, int(offsets[0])).reshape(-1, width)
+    return np.where(valid, np.cumsum(valid) - 1, -1), values
+
+
 def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: bool, rows_at_once: int = 1 << 17) -> DataFrame:
     """(a, b): pairs of nodes of different components that meet in a group of (g, side, node, comp) and that size and
     bits allow; with `forest` only as many as join what all of them join, so no more than rows."""
 
     def pairs(part) -> tuple[list, list]:
         side, node, comp, n = (part.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
-        g, bits = part.column("g").to_numpy(), _binary(part.column("bits").combine_chunks(), 8)
+        g, bits = part.column("g").to_numpy(), _binary(part.column("bits").combine_chunks(), FEW // BITS)
+        has, more = _optional(part.column("more").combine_chunks(), MANY // BITS)
         _, label = np.unique(comp, return_inverse=True)
-        up = np.arange(label.max() + 1)
+        up, at_all = np.arange(label.max() + 1), np.arange(len(g))
         left, right = [], []
         at, k = np.arange(len(g)), 0
         while True:
@@ -388,9 +404,12 @@ def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: boo
             j = i + k
             ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-9
             i, j = i[ok], j[ok]
-            differ = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-            ok = differ <= (1 - similarity) / (1 + similarity) * (n[i].astype(np.int64) + n[j]) + 1e-9
-            i, j = i[ok], j[ok]
+            for place, words in ((at_all, bits), (has, more)):
+                both = np.flatnonzero((place[i] >= 0) & (place[j] >= 0))
+                differ = np.bitwise_count(words[place[i[both]]] ^ words[place[j[both]]]).sum(axis=1, dtype=np.int64)
+                ok = np.ones(len(i), bool)
+                ok[both] = differ <= (1 - similarity) / (1 + similarity) * (n[i[both]].astype(np.int64) + n[j[both]]) + 1e-9
+                i, j = i[ok], j[ok]
             if not forest:
                 left += node[i].tolist()
                 right += node[j].tolist()
@@ -405,8 +424,8 @@ def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: boo
                     up[max(p, q)] = min(p, q)
                     left.append(node[x])
                     right.append(node[y])
-            while (more := up[up] != up).any():
-                up[more] = up[up[more]]
+            while (stale := up[up] != up).any():
+                up[stale] = up[up[stale]]
 
     def run(batches):
         import pyarrow as pa
@@ -435,8 +454,8 @@ def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: boo
         if count:
             yield from out(pa.Table.from_batches(held).combine_chunks())
 
-    rows = attach(dealt, "node", told.select("node", "n", "bits"))
-    return rows.select("g", "side", "node", "comp", "n", "bits").repartition(partitions(dealt.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = attach(dealt, "node", told.select("node", "n", "bits", "more"))
+    return rows.select("g", "side", "node", "comp", "n", "bits", "more").repartition(partitions(dealt.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _similar(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
