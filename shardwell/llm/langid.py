@@ -5,8 +5,8 @@ hashes to one of `buckets` embeddings; a document is their mean over all its sub
 gives the language. Trained by stochastic gradient descent in numpy on a bounded sample of the labelled rows.
 
 A text is rejected for either of two things, whose levels are set on labelled rows kept out of training: its
-calibrated probability is too low, or its subwords are too strange to the language that it is given. How strange
-those of an unknown language are is told by each known one as the others see it.
+calibrated probability is too low, or its subwords are too strange to every language. How strange those of an
+unknown language are is told by each known one as the others see it.
 """
 
 from __future__ import annotations
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def predict(model: Model, column) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(lang, score, rejected) for an Arrow string array: `und` with score 0, rejected, where the text is null
     or has no letter; else the likeliest language, rejected where its calibrated probability is too low or the text's
-    subwords are too strange to it."""
+    subwords are too strange to all languages."""
     n, k = len(column), len(model.langs)
     sums, grams = np.zeros((n, max(k, 1)), complex), np.zeros(n)  # scores and, as the imaginary part, `likely`
     empty = np.ones(n, bool)
@@ -227,7 +227,7 @@ def predict(model: Model, column) -> tuple[list[str], np.ndarray, np.ndarray]:
     p = model.probabilities(means.real)
     score = np.where(empty, 0.0, p.max(axis=1))
     best = p.argmax(axis=1)
-    strange = model.strange(means.imag[np.arange(n), best], grams)
+    strange = model.strange(means.imag.max(axis=1), grams)  # to every language
     return ["und" if e else model.langs[b] for e, b in zip(empty, best, strict=True)], score, empty | (score < model.reject_below) | strange
 
 
