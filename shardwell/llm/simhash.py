@@ -346,7 +346,7 @@ def _needed(rows: DataFrame, anchors: int = 2) -> DataFrame:
 
 
 def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
-    """(g, side, node, comp) from (token, node, comp): groups within which rows of different components meet.
+    """(g, side, token, node, comp) from (token, node, comp): groups within which rows of different components meet.
 
     A token of over `chunk` rows is dealt into chunks: those of its largest component, and those of the rest. Each
     two chunks of the rest make a group, and each of them with each of the largest component (then `side` tells them
@@ -365,7 +365,7 @@ def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
     of_both = F.transform(up_to(F.col("many")), lambda o: F.struct(F.xxhash64("token", mixed, "own", o).alias("g"), rest.alias("side")))
     of_most = F.transform(up_to(F.col("few")), lambda o: F.struct(F.xxhash64("token", mixed, o, "own").alias("g"), most.alias("side")))
     groups = F.when(F.col("total") <= chunk, F.array(group(whole, whole, whole))).when(F.col("is_most"), of_most).otherwise(F.concat(of_rest, of_both))
-    return told.select(F.explode(groups).alias("to"), "node", "comp").select("to.g", "to.side", "node", "comp")
+    return told.select(F.explode(groups).alias("to"), "token", "node", "comp").select("to.g", "to.side", "token", "node", "comp")
 
 
 def _binary(column, width: int) -> np.ndarray:
@@ -382,12 +382,19 @@ def _optional(column, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(valid, np.cumsum(valid) - 1, -1), values
 
 
-def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: bool, rows_at_once: int = 1 << 17) -> DataFrame:
-    """(a, b): pairs of nodes of different components that meet in a group of (g, side, node, comp) and that size and
-    bits allow; with `forest` only as many as join what all of them join, so no more than rows."""
+LEAST = 8
+
+
+def candidates(rows: DataFrame, told: DataFrame, similarity: float, forest: bool, chunk: int = 1024, rows_at_once: int = 1 << 17) -> DataFrame:
+    """(a, b): pairs of nodes of different components that share a token of (token, node, comp) and that size and bits
+    allow; with `forest` only as many as join what all of them join, so no more than rows.
+
+    Each row knows the LEAST smallest tokens of its node, so a pair is given by its smallest token alone, but where that
+    is not among them."""
 
     def pairs(part) -> tuple[list, list]:
-        side, node, comp, n = (part.column(c).to_numpy() for c in ("side", "node", "comp", "n"))
+        side, token, node, comp, n = (part.column(c).to_numpy() for c in ("side", "token", "node", "comp", "n"))
+        least = part.column("least").combine_chunks().flatten().to_numpy().reshape(-1, LEAST)
         g, bits = part.column("g").to_numpy(), _binary(part.column("bits").combine_chunks(), FEW // BITS)
         has, more = _optional(part.column("more").combine_chunks(), MANY // BITS)
         _, label = np.unique(comp, return_inverse=True)
@@ -410,6 +417,9 @@ def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: boo
                 ok = np.ones(len(i), bool)
                 ok[both] = differ <= (1 - similarity) / (1 + similarity) * (n[i[both]].astype(np.int64) + n[j[both]]) + 1e-9
                 i, j = i[ok], j[ok]
+            same = (least[i][:, :, None] == least[j][:, None, :]) & (least[i] < token[i][:, None])[:, :, None]
+            ok = ~same.any(axis=(1, 2))
+            i, j = i[ok], j[ok]
             if not forest:
                 left += node[i].tolist()
                 right += node[j].tolist()
@@ -454,8 +464,11 @@ def candidates(dealt: DataFrame, told: DataFrame, similarity: float, forest: boo
         if count:
             yield from out(pa.Table.from_batches(held).combine_chunks())
 
-    rows = attach(dealt, "node", told.select("node", "n", "bits", "more"))
-    return rows.select("g", "side", "node", "comp", "n", "bits", "more").repartition(partitions(dealt.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
+    filler = F.array_repeat(F.lit((1 << 63) - 1), LEAST)
+    least = rows.groupBy("node").agg(F.slice(F.concat(F.sort_array(F.collect_set("token")), filler), 1, LEAST).alias("least"))
+    known = cut(attach(told.select("node", "n", "bits", "more"), "node", least), "known")
+    met = attach(_dealt(rows, chunk), "node", known)
+    return met.select("g", "side", "token", "node", "comp", "n", "bits", "more", "least").repartition(partitions(rows.sparkSession), "g").sortWithinPartitions("g").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _similar(pairs: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -524,7 +537,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             roots = cut(components(edges), "roots")
             left = left.select("token", "node").join(roots, "node", "left").select("token", "node", F.coalesce("root", "node").alias("comp"))
             left = left if turn else _needed(left)
-            pairs = cut(candidates(_dealt(left, class_size), told, similarity, turn < turns), "pairs")
+            pairs = cut(candidates(left, told, similarity, turn < turns, class_size), "pairs")
             edges = edges.union(_similar(pairs, rows, width, similarity))
         roots = cut(components(edges), "roots")
         own = cut(attach(rows.select("node", "id", "hash"), "node", roots).distinct(), "components")

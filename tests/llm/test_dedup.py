@@ -254,10 +254,10 @@ def test_candidates_like_brute_force(spark):
     want = {(i, j) for j in range(len(texts)) for i in range(j) if comp[i] != comp[j] and similarity(texts[i], texts[j]) >= 0.8}
     for rows in (tokens, simhash._needed(cut(tokens, "tokens"))):
         for chunk in (1024, 2, 3):
-            got = simhash._similar(simhash.candidates(simhash._dealt(rows, chunk), told, 0.8, False, rows_at_once=5), held, 5, 0.8).collect()
+            got = simhash._similar(simhash.candidates(rows, told, 0.8, False, chunk, rows_at_once=5), held, 5, 0.8).collect()
             assert want and {(r["a"], r["b"]) for r in got} == want
-    forest = simhash.candidates(simhash._dealt(tokens, 1024), told, 0.8, True).collect()
-    every = simhash.candidates(simhash._dealt(tokens, 1024), told, 0.8, False).collect()
+    forest = simhash.candidates(tokens, told, 0.8, True).collect()
+    every = simhash.candidates(tokens, told, 0.8, False).collect()
 
     def joined(edges):
         up = dict(comp)
