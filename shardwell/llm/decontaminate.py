@@ -286,7 +286,7 @@ class Search:
         return out
 
 
-def _taken(batches, column: int, most: int = 1 << 26):
+def _taken(batches, column: int, most: int = 1 << 24):
     """Arrow batches in parts whose texts hold about `most` bytes."""
     for batch in batches:
         _, offsets, _ = utf8(batch.column(column))

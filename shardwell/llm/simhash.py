@@ -385,7 +385,7 @@ def _optional(column, width: int) -> tuple[np.ndarray, np.ndarray]:
 LEAST = 8
 
 
-def candidates(rows: DataFrame, told: DataFrame, similarity: float, forest: bool, chunk: int = 1024, rows_at_once: int = 1 << 17) -> DataFrame:
+def candidates(rows: DataFrame, told: DataFrame, similarity: float, forest: bool, chunk: int = 1024, rows_at_once: int = 1 << 15) -> DataFrame:
     """(a, b): pairs of nodes of different components that share a token of (token, node, comp) and that size and bits
     allow; with `forest` only as many as join what all of them join, so no more than rows.
 
