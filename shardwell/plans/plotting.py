@@ -27,6 +27,8 @@ MOST_CATEGORIES = 1000
 
 @dataclass
 class Plot:
+    """What is drawn; of a line also all its points, x and y in order, as a frame that is not collected."""
+
     kind: str
     x: str
     y: str
@@ -42,6 +44,7 @@ class Plot:
     sorted_input: bool = True
     source: str = ""
     warnings: list[str] = field(default_factory=list)
+    line: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -105,6 +108,8 @@ def _xy(rows: DataFrame, x: str, y: str, options: Options, source: str) -> Plot:
                 raise PlotError(f"{x} is not sorted")
             plot.warnings.append(f"{x} was sorted for the line")
         line = points.select(series.to_number(F.col("x"), kinds[x]).alias("x"), "y", F.col("o")).filter(finite(F.col("x")))
+        # not read here: it is planned when it is first read, by then from the source and not from the rows kept for the chart
+        plot.line = line.orderBy("x", "o").select("x", "y")
         if line.limit(MOST_POINTS + 1).count() > MOST_POINTS:
             line = series.resample(line.select("x", "y"), MOST_POINTS // 10, options.interpolation)
             plot.warnings.append(f"over {MOST_POINTS} points: the line is resampled at {MOST_POINTS // 10} places")

@@ -140,12 +140,13 @@ def analyse_run(spark, sf_dir):
 
 @QUERIES.add("select user_id as x, round(avg(value), 6) as y from events where value > 10 group by 1")
 def plot_run_line(spark, sf_dir):
-    """A filtered line of means by x, sorted for the line."""
+    """A filtered line of means by x, sorted for the line: all its points, however many are drawn."""
     folder = local_folder(spark, "plot")
     write(table(spark, sf_dir, "events").select("user_id", "value"), folder / "events.parquet")
     [plot] = plotting.plot_dataset(spark, resolve(folder), ["user_id", "value"], plotting.Options(kind="line", aggregate_x="mean", filter="value > 10"))
     assert plot.kind == "line" and plot.points == sorted(plot.points)
-    return spark.createDataFrame([(int(x), round(y, 6)) for x, y in plot.points], "x bigint, y double")
+    # scaled and rounded half away from zero, as the SQL's round does
+    return plot.line.select(F.col("x").cast("bigint").alias("x"), (F.round(F.col("y") * 1e6) / 1e6).alias("y"))
 
 
 @QUERIES.add("select cast(dense_rank() over (order by first) - 1 as double) as x, round(y, 6) as y, event_type as category from (select event_type, min(event_id) as first, sum(value) as y from events group by 1)")

@@ -276,6 +276,18 @@ def test_plots(spark, tmp_path):
             plotting.plot_dataset(spark, only, columns, options)
 
 
+def test_a_line_keeps_all_points(spark, tmp_path, monkeypatch):
+    n = 500
+    path = put(tmp_path / "l.parquet", x=[i * 7 % n for i in range(n)] * 2, y=[float(i % 11) for i in range(n)] * 2)
+    whole = {how: plotting.plot_dataset(spark, resolve(path), ["x", "y"], plotting.Options(kind="line", aggregate_x=how))[0] for how in (None, "mean", "median")}
+    monkeypatch.setattr(plotting, "MOST_POINTS", 100)
+    for how, before in whole.items():
+        [plot] = plotting.plot_dataset(spark, resolve(path), ["x", "y"], plotting.Options(kind="line", aggregate_x=how))
+        assert len(plot.points) < 100 and any("resampled" in w for w in plot.warnings)
+        assert [tuple(r) for r in plot.line.collect()] == before.points and len(before.points) == (n if how else 2 * n)
+        assert "InMemoryTableScan" not in plot.line._jdf.queryExecution().toString()
+
+
 def test_temporal_histogram(spark, tmp_path):
     path = put(tmp_path / "t.parquet", at=[dt.datetime(2024, 1, d) for d in (1, 2, 3, 4)])
     found = plotting.plot_dataset(spark, resolve(path), ["at"], plotting.Options(kind="histogram"))[0]

@@ -5,6 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from helpers import put
 
 from shardwell.queries import all_queries
 
@@ -39,5 +40,15 @@ def test_query(spark, con, name):
     assert norm(map(tuple, df.collect()), df.columns) == norm(found.fetchall(), columns)
 
 
+def test_plot_run_line_of_many_users(spark, tmp_path):
+    """More points than are drawn, each a tie of the sixth digit, and rows that the filter drops."""
+    users = range(20_500)
+    put(tmp_path / "events.parquet", user_id=[*users, *users], value=[*((20_000_001 + 2 * u) / 2e6 for u in users), *(float(u % 10) for u in users)])
+    query, sql = QUERIES["plot_run_line"]
+    want = duckdb.sql(sql.replace("events", f"'{tmp_path}/events.parquet'")).fetchall()
+    assert len(want) == len(users)
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_every_query_has_sql():
     assert [n for n, (_, sql) in QUERIES.items() if not sql] == []
